@@ -1,13 +1,15 @@
 """Ordered operations over groups of any length.
 
-A plain ``Window.partitionBy(bag).orderBy(stamp)`` puts a whole bag into one task.  Here a group
-is cut into slices of its order column, the window runs per ``(group, slice)``, and what crosses a
-slice edge is carried by a summary of one row per ``(group, slice)``.  Slice edges are literals
-found once, so that a recomputed task sees the same cut.
+A plain ``Window.partitionBy(bag).orderBy(stamp)`` puts a whole bag into one task.  That is right
+while every group is small, and ``SlicedOrder.fit`` measures it.  When one is not, groups are cut
+into slices of their order column, the window runs per ``(group, slice)``, and what crosses a slice
+edge is carried by a summary of one row per ``(group, slice)``.  Slice edges are literals found
+once, so that a recomputed task sees the same cut.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,18 @@ from pyspark.sql.window import Window
 
 SLICE = "_slice"
 MAX_SLICES = 1024
+# A group of this many small rows still sorts well inside one task.
+GROUP_ROWS = 2_000_000
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder the cluster names."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pathclear-checkpoint-"))
+    return df.checkpoint()
 
 
 def _between(column: Column, bounds: Sequence, first: int) -> Column:
@@ -28,9 +42,7 @@ def _between(column: Column, bounds: Sequence, first: int) -> Column:
     ).otherwise(_between(column, bounds[mid + 1 :], first + mid + 1))
 
 
-def slice_bounds(
-    df: DataFrame, column: str, rows_per_slice: int = 1_000_000, min_slices: int = 4
-) -> list:
+def slice_bounds(df: DataFrame, column: str, rows_per_slice: int = 1_000_000) -> list:
     """Edges that split ``df`` into slices of about equal row count along ``column``.
 
     One pass over one column.  The sketch only places the cuts; it never enters a result.
@@ -41,7 +53,7 @@ def slice_bounds(
     ).first()
     if not row or not row["q"]:
         return []
-    slices = max(min_slices, min(MAX_SLICES, -(-row["n"] // rows_per_slice)))
+    slices = min(MAX_SLICES, -(-row["n"] // rows_per_slice))
     picks = [row["q"][round(i * MAX_SLICES / slices) - 1] for i in range(1, slices)]
     return sorted(set(picks))
 
@@ -49,18 +61,30 @@ def slice_bounds(
 class SlicedOrder:
     """Window operations for ``keys`` ordered by ``order``, cut on the first order column."""
 
-    def __init__(self, keys: Sequence[str], order: Sequence[str], bounds: Sequence):
+    def __init__(self, keys: Sequence[str], order: Sequence[str], bounds: Sequence, hot=False):
         self.keys, self.order, self.bounds = list(keys), list(order), list(bounds)
-        self.parts = [*self.keys, SLICE]
+        self.parts = [*self.keys, SLICE] if self.bounds else self.keys
+        self.hot = hot
 
     @classmethod
-    def fit(cls, df: DataFrame, keys, order, rows_per_slice=1_000_000, min_slices=4):
-        return cls(keys, order, slice_bounds(df, order[0], rows_per_slice, min_slices))
+    def fit(cls, df: DataFrame, keys, order, group_rows=GROUP_ROWS, rows_per_slice=1_000_000):
+        """Slices for a measured table: none while its largest group fits a task."""
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+        if largest <= group_rows:
+            return cls(keys, order, [])
+        return cls(keys, order, slice_bounds(df, order[0], rows_per_slice), hot=True)
 
     def cut(self, df: DataFrame) -> DataFrame:
-        if SLICE in df.columns:
+        """Adds the slice column.
+
+        Summaries read their input a second time; on a hot table the input is settled first, so a
+        chain of operations reads it a fixed number of times instead of twice per link.
+        """
+        if not self.bounds or SLICE in df.columns:
             return df
-        return df.withColumn(SLICE, _between(F.col(self.order[0]), self.bounds, 0))
+        sliced = df.withColumn(SLICE, _between(F.col(self.order[0]), self.bounds, 0))
+        return settle(sliced) if self.hot else sliced
 
     def local(self):
         return Window.partitionBy(*self.parts).orderBy(*self.order)
@@ -75,9 +99,19 @@ class SlicedOrder:
     def _attach(self, df: DataFrame, summary: DataFrame) -> DataFrame:
         return df.join(summary, self.parts, "left")
 
+    def _next_pass(self, df: DataFrame) -> DataFrame:
+        return settle(df) if self.hot and SLICE in df.columns else self.cut(df)
+
     def running_sum(self, df, sums: Mapping[str, Column], totals: Mapping[str, str] | None = None):
         """Inclusive running sums; ``totals`` names columns for the whole group's sum."""
-        df, totals = self.cut(df), totals or {}
+        df, totals = self._next_pass(df), totals or {}
+        upto = self.local().rowsBetween(Window.unboundedPreceding, 0)
+        if not self.bounds:
+            whole = Window.partitionBy(*self.keys)
+            return df.withColumns({
+                **{n: F.sum(e).over(upto) for n, e in sums.items()},
+                **{t: F.sum(sums[n]).over(whole) for n, t in totals.items()},
+            })
         summary = df.groupBy(*self.parts).agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
         before = self._slices().rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy(*self.keys)
@@ -86,7 +120,6 @@ class SlicedOrder:
             *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
             *[F.sum(f"_t_{n}").over(whole).alias(t) for n, t in totals.items()],
         )
-        upto = self.local().rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumns({n: F.sum(e).over(upto) for n, e in sums.items()})
         df = self._attach(df, summary)
         zero = F.lit(0)
@@ -104,7 +137,7 @@ class SlicedOrder:
         return self._fill(df, values, forward=False, inclusive=inclusive)
 
     def _fill(self, df, values, forward, inclusive):
-        df = self.cut(df)
+        df = self._next_pass(df)
         near = 0 if inclusive else 1
         if forward:
             pick, far = F.last, (Window.unboundedPreceding, -1)
@@ -112,6 +145,11 @@ class SlicedOrder:
         else:
             pick, far = F.first, (1, Window.unboundedFollowing)
             frame, edge = (near, Window.unboundedFollowing), F.min_by
+        inside = self.local().rowsBetween(*frame)
+        if not self.bounds:
+            return df.withColumns(
+                {n: pick(e, ignorenulls=True).over(inside) for n, e in values.items()}
+            )
         summary = df.groupBy(*self.parts).agg(
             *[
                 edge(e, F.when(e.isNotNull(), self._edge())).alias(f"_t_{n}")
@@ -123,7 +161,6 @@ class SlicedOrder:
             *self.parts,
             *[pick(f"_t_{n}", ignorenulls=True).over(across).alias(f"_c_{n}") for n in values],
         )
-        inside = self.local().rowsBetween(*frame)
         df = df.withColumns({n: pick(e, ignorenulls=True).over(inside) for n, e in values.items()})
         df = self._attach(df, summary)
         df = df.withColumns({n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in values})
@@ -135,8 +172,12 @@ class SlicedOrder:
         The nearest row is the last (first) element; every element is wrapped as ``struct<v>`` so
         that nulls survive.
         """
-        df = self.cut(df)
+        df = self._next_pass(df)
         wrapped = F.struct(value.alias("v"))
+        near = (1, count) if following else (-count, -1)
+        beside = F.collect_list(wrapped).over(self.local().rowsBetween(*near))
+        if not self.bounds:
+            return df.withColumn(name, beside)
         edge = [F.col(c).asc() if following else F.col(c).desc() for c in self.order]
         rank = F.row_number().over(Window.partitionBy(*self.parts).orderBy(*edge))
         tails = (
@@ -155,8 +196,7 @@ class SlicedOrder:
             else F.reverse(F.slice(F.reverse(gathered), 1, count))
         )
         tails = tails.select(*self.parts, kept.alias("_c"))
-        near = (1, count) if following else (-count, -1)
-        df = df.withColumn(name, F.collect_list(wrapped).over(self.local().rowsBetween(*near)))
+        df = df.withColumn(name, beside)
         df = self._attach(df, tails)
         carried = F.coalesce(F.col("_c"), F.array().cast(df.schema[name].dataType))
         if following:
@@ -166,10 +206,14 @@ class SlicedOrder:
         return df.withColumn(name, joined).drop("_c")
 
     def lag(self, df, name: str, value: Column, back: int = 1):
+        if not self.bounds:
+            return df.withColumn(name, F.lag(value, back).over(self.local()))
         df = self.neighbours(df, name, value, back)
         return df.withColumn(name, F.try_element_at(name, F.lit(-back))["v"])
 
     def lead(self, df, name: str, value: Column, ahead: int = 1):
+        if not self.bounds:
+            return df.withColumn(name, F.lead(value, ahead).over(self.local()))
         df = self.neighbours(df, name, value, ahead, following=True)
         return df.withColumn(name, F.try_element_at(name, F.lit(ahead))["v"])
 
@@ -181,12 +225,14 @@ class SlicedOrder:
         looked at across slices.
         """
         at = self.order[0]
-        tagged = self.tag_islands_locally(self.cut(df), gap)
+        tagged = self.tag_islands_locally(self._next_pass(df), gap)
         sums = sums or {}
         parts = tagged.groupBy(*self.parts, "_isl").agg(
             F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("rows"),
             *[F.sum(e).alias(n) for n, e in sums.items()],
         )
+        if not self.bounds:
+            return parts.withColumnRenamed("_isl", "island")
         shifted = self._number(parts, gap)
         return shifted.groupBy(*self.keys, "island").agg(
             F.min("start").alias("start"), F.max("end").alias("end"), F.sum("rows").alias("rows"),
@@ -217,7 +263,9 @@ class SlicedOrder:
     def tag_islands(self, df, gap, name="island"):
         """Every row with its island number."""
         at = self.order[0]
-        tagged = self.tag_islands_locally(self.cut(df), gap)
+        tagged = self.tag_islands_locally(self._next_pass(df), gap)
+        if not self.bounds:
+            return tagged.withColumnRenamed("_isl", name)
         edges = tagged.groupBy(*self.parts, "_isl").agg(
             F.min(at).alias("start"), F.max(at).alias("end")
         )

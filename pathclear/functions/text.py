@@ -72,7 +72,20 @@ def valid_stamp_ns(sec: Column, nanosec: Column) -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+    """Fixed decimals of the exact binary value, as C and Python print them.
+
+    ``format_string`` rounds the shortest decimal text instead, which differs where that text ends
+    in a 5.  The sign of the distance to the midpoint is exact because the value is split in two.
+    """
+    scale = 2 * 10**digits
+    halves = F.round(value * scale)
+    high = value.cast("float").cast("double")
+    past = (high * scale - halves) + (value - high) * scale
+    below = F.floor(halves / 2)
+    up = (past > 0) | ((past == 0) & (F.pmod(below, F.lit(2)) == 1))
+    odd = F.pmod(halves, F.lit(2)) == 1
+    units = F.when(odd, below + F.when(up, 1).otherwise(0)).otherwise(halves / 2)
+    return F.format_string(f"%.{digits}f", units / 10.0**digits)
 
 
 def assessment_text(row: dict[str, Column], tracks: Column) -> Column:
@@ -82,9 +95,9 @@ def assessment_text(row: dict[str, Column], tracks: Column) -> Column:
         lambda t: F.struct(t["distance_m"].alias("d"), t.alias("t")),
     ))
     lines = F.transform(confirmed, lambda c: F.format_string(
-        "- id %d: %.1f m, %.1f x %.1f x %.1f m, hits %d%s",
-        c["t"]["id"], c["t"]["distance_m"], F.get(c["t"]["size"], 0), F.get(c["t"]["size"], 1),
-        F.get(c["t"]["size"], 2), c["t"]["hits"],
+        "- id %d: %s m, %s x %s x %s m, hits %d%s",
+        c["t"]["id"], fixed(c["t"]["distance_m"], 1),
+        *[fixed(F.get(c["t"]["size"], i), 1) for i in range(3)], c["t"]["hits"],
         F.when(c["t"]["coasting"], ", predicted").otherwise(""),
     ))
     known = row["distance_valid"] & row["distance_m"].isNotNull() & ~F.isnan(row["distance_m"])

@@ -20,34 +20,33 @@ CROSSING_SPEED_MPS, CROSSING_HALF_WIDTH_M, RAIL_BELOW_LIDAR_M = 1.0, 1.5, 1.075
 MIN_VISIBLE_POINTS, MAX_EVENT_DISTANCE_M, MAX_RANGE_M, ROI_PAD_M = 10, 200.0, 200.0, 0.1
 
 
-def _box_entry(df: DataFrame, directions: list[str], low, high) -> DataFrame:
-    enter, leave = g.ray_box_span([F.col(d) for d in directions], low, high)
+def _box_entry(df: DataFrame, direction: list[str], low, high, unit: Column) -> DataFrame:
+    """Adds ``entry``; directions may have any length, ``unit`` is that length in metres."""
+    enter, leave = g.ray_box_span([F.col(d) for d in direction], low, high)
     df = df.withColumns({"_enter": enter, "_leave": leave})
-    return df.withColumn("entry", g.entry_distance(F.col("_enter"), F.col("_leave"))).drop(
-        "_enter", "_leave"
-    )
+    entry = g.entry_distance(F.col("_enter"), F.col("_leave")) * unit
+    return df.withColumn("entry", entry).drop("_enter", "_leave")
 
 
 def occlude(points: DataFrame, low, high) -> DataFrame:
-    """Returns behind the box move along their ray onto its surface."""
+    """Returns behind the box move along their ray onto its surface.
+
+    The slab test runs on the point itself as direction: cheap to push down with ``hidden``.
+    """
     df = points.withColumn("range", g.norm(*[F.col(c) for c in "xyz"]))
-    measured = g.finite(F.col("range")) & (F.col("range") > 0)
-    df = df.withColumns({
-        f"_d{c}": F.when(measured, F.try_divide(F.col(c), F.col("range"))) for c in "xyz"
-    })
-    df = _box_entry(df, ["_dx", "_dy", "_dz"], low, high)
-    hidden = F.coalesce(F.col("entry") < F.col("range") - 1e-6, F.lit(False))
+    df = _box_entry(df, ["x", "y", "z"], low, high, F.col("range"))
+    hidden = g.finite(F.col("range")) & (F.col("entry") < F.col("range") - 1e-6)
     df = df.withColumn("hidden", hidden)
-    return df.withColumns({
-        f"moved_{c}": F.when(F.col("hidden"), F.col(f"_d{c}") * F.col("entry")).otherwise(F.col(c))
-        for c in "xyz"
-    }).drop("_dx", "_dy", "_dz")
+    share = F.when(F.col("hidden"), F.col("entry") / F.col("range")).otherwise(1.0)
+    return df.withColumns({f"moved_{c}": F.col(c) * share for c in "xyz"})
 
 
 def fill_empty(cells: DataFrame, low, high) -> DataFrame:
     """Cells without a return whose ray meets the box in range get a return on its surface."""
-    hit = _box_entry(cells, ["dx", "dy", "dz"], low, high).filter(F.col("entry") <= MAX_RANGE_M)
-    return hit.withColumns({c: F.col(f"d{c}") * F.col("entry") for c in "xyz"})
+    hit = _box_entry(cells, ["dx", "dy", "dz"], low, high, F.lit(1.0))
+    return hit.filter(F.col("entry") <= MAX_RANGE_M).withColumns(
+        {c: F.col(f"d{c}") * F.col("entry") for c in "xyz"}
+    )
 
 
 def median_rays(points: DataFrame, keys: list[str]) -> DataFrame:

@@ -460,10 +460,10 @@ SAMPLES_SQL = """
 samples AS (
   SELECT frame_seq, CASE WHEN y > 0 THEN 0 ELSE 1 END * 27 + least(CAST(trunc((z + 1 - 0.3e0) / 0.1e0) AS INTEGER), 26) AS section,
     CASE WHEN y > 0 THEN 0 ELSE 1 END * 3 + CASE WHEN z + 1 < 1 THEN 0 WHEN z + 1 < 2 THEN 1 ELSE 2 END AS row,
-    least(CAST(trunc((x - 3) / 0.05e0) AS INTEGER), 639) AS bin, abs(y) AS lateral
+    least(CAST(trunc((x - 3) / 0.05e0) AS INTEGER), 639) AS bin, abs(y) AS side_m
   FROM points WHERE x >= 3 AND x < 35 AND abs(y) BETWEEN 1 AND 4 AND z + 1 >= 0.3 AND z + 1 < 3
 ), medians AS (
-  SELECT frame_seq, section, list_sort(list(lateral))[count(*) // 2 + 1] AS median, count(*) AS n FROM samples GROUP BY ALL
+  SELECT frame_seq, section, list_sort(list(side_m))[count(*) // 2 + 1] AS median, count(*) AS n FROM samples GROUP BY ALL
 )"""
 
 
@@ -477,7 +477,7 @@ def section_median(spark, sf_dir):
 
 @query("q_lateral_profile", f"""
 WITH {POINTS_SQL}, {SAMPLES_SQL}
-SELECT frame_seq, row, bin, min(lateral - median) AS value FROM samples JOIN medians USING (frame_seq, section) GROUP BY ALL""")
+SELECT frame_seq, row, bin, min(side_m - median) AS value FROM samples JOIN medians USING (frame_seq, section) GROUP BY ALL""")
 def lateral_profile(spark, sf_dir):
     """Least departure from the mean cross-section per row and 5 cm bin."""
     samples = grids.profile_points(points(spark, sf_dir), F.col("z") + 1)

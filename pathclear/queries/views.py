@@ -16,7 +16,7 @@ points AS (
   SELECT l_orderkey // 400 AS frame_seq,
          (((l_orderkey % 400) * 8 + l_linenumber) * 16777216 + l_partkey % 16777216) * 16777216
            + CAST(round(l_extendedprice * 100) AS BIGINT) % 16777216 AS raw_index,
-         2 * l_quantity + l_linenumber * 0.125e0 AS x,
+         2 * l_quantity + l_linenumber * 0.25e0 AS x,
          (round(l_discount * 100) - 5) * 0.5e0 AS y,
          round(l_tax * 100) * 0.5e0 - 2 AS z,
          l_extendedprice AS intensity,
@@ -50,7 +50,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.expr("l_orderkey div 400").alias("frame_seq"),
         ((place + F.col("l_partkey") % 16777216) * 16777216 + cents % 16777216).alias("raw_index"),
-        (2 * F.col("l_quantity") + F.col("l_linenumber") * 0.125).alias("x"),
+        (2 * F.col("l_quantity") + F.col("l_linenumber") * 0.25).alias("x"),
         ((F.round(F.col("l_discount") * 100) - 5) * 0.5).alias("y"),
         (F.round(F.col("l_tax") * 100) * 0.5 - 2).alias("z"),
         F.col("l_extendedprice").alias("intensity"),
