@@ -713,14 +713,14 @@ def gap_clusters(spark, sf_dir):
 
 @query("q_ray_box", f"""
 WITH {POINTS_SQL}, rays AS (
-  SELECT frame_seq, raw_index, x, y, z, {RANGE_SQL} AS range, x / {RANGE_SQL} AS dx, y / {RANGE_SQL} AS dy, z / {RANGE_SQL} AS dz FROM points
+  SELECT frame_seq, raw_index, x, y, z, {RANGE_SQL} AS range FROM points
 ), slabs AS (
   SELECT *,
-    greatest(least(30 / dx, 31 / dx), CASE WHEN dy = 0 THEN '-inf'::DOUBLE ELSE least(-0.5 / dy, 0.5 / dy) END, CASE WHEN dz = 0 THEN '-inf'::DOUBLE ELSE least(-1 / dz, 0.75 / dz) END) AS enter,
-    least(greatest(30 / dx, 31 / dx), CASE WHEN dy = 0 THEN 'inf'::DOUBLE ELSE greatest(-0.5 / dy, 0.5 / dy) END, CASE WHEN dz = 0 THEN 'inf'::DOUBLE ELSE greatest(-1 / dz, 0.75 / dz) END) AS leave
+    range * greatest(least(30 / x, 31 / x), CASE WHEN y = 0 THEN '-inf'::DOUBLE ELSE least(-0.5 / y, 0.5 / y) END, CASE WHEN z = 0 THEN '-inf'::DOUBLE ELSE least(-1 / z, 0.75 / z) END) AS enter,
+    range * least(greatest(30 / x, 31 / x), CASE WHEN y = 0 THEN 'inf'::DOUBLE ELSE greatest(-0.5 / y, 0.5 / y) END, CASE WHEN z = 0 THEN 'inf'::DOUBLE ELSE greatest(-1 / z, 0.75 / z) END) AS leave
   FROM rays
 )
-SELECT frame_seq, raw_index, round(enter, 6) AS entry, round(dx * enter, 6) AS moved_x, round(dy * enter, 6) AS moved_y, round(dz * enter, 6) AS moved_z
+SELECT frame_seq, raw_index, round(enter, 6) AS entry, round(x * enter / range, 6) AS moved_x, round(y * enter / range, 6) AS moved_y, round(z * enter / range, 6) AS moved_z
 FROM slabs WHERE enter <= leave AND enter > 0 AND enter < range - 1e-6""")
 def ray_box(spark, sf_dir):
     """Returns hidden behind an inserted box move onto its surface."""
