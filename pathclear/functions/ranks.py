@@ -35,14 +35,17 @@ def truncated(share: float):
 
 
 def rank_values(
-    df: DataFrame, keys: list[str], value: str, ranks: Mapping[str, object], bounds=None
+    df: DataFrame, keys: list[str], value: str, ranks: Mapping[str, object], bounds=None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Per group: the value at each zero-based rank (a function of the group size) and ``n``.
 
-    ``ranks`` maps output names to functions of the row count.  Null values are ignored.
+    ``ranks`` maps output names to functions of the row count.  Null values are ignored; a row
+    counts ``weight`` times.
     """
     known = df.filter(F.col(value).isNotNull())
-    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = known.groupBy(*keys, value).agg(times.alias("_count"))
     if bounds is None:
         bounds = slice_bounds(known, value)
     order = SlicedOrder(keys, [value], bounds)
@@ -56,14 +59,15 @@ def rank_values(
 
 
 def linear_percentiles(
-    df: DataFrame, keys: list[str], value: str, shares: Mapping[str, float], bounds=None
+    df: DataFrame, keys: list[str], value: str, shares: Mapping[str, float], bounds=None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Percentiles with linear interpolation between the two neighbouring ranks."""
     ranks = {}
     for name, share in shares.items():
         ranks[f"_lo_{name}"] = lambda n, s=share: F.floor(F.lit(s) * (n - 1))
         ranks[f"_hi_{name}"] = lambda n, s=share: F.ceil(F.lit(s) * (n - 1))
-    found = rank_values(df, keys, value, ranks, bounds)
+    found = rank_values(df, keys, value, ranks, bounds, weight)
     out = []
     for name, share in shares.items():
         at = F.lit(share) * (F.col("n") - 1)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathclear.config import DetectorConfig
 from pathclear.functions import geometry as g
@@ -201,7 +202,13 @@ def route_from_walls(walls: Column, config: DetectorConfig) -> Column:
     return follow(walls)
 
 
-@F.pandas_udf("c0 double, c1 double, c2 double, rail_slices int")
+REFIT = T.StructType([
+    *[T.StructField(c, T.DoubleType()) for c in ("c0", "c1", "c2")],
+    T.StructField("rail_slices", T.IntegerType()),
+])
+
+
+@F.pandas_udf(REFIT)
 def refit_with_rails(
     route: pd.DataFrame, rails: pd.Series, weight: pd.Series, min_radius: pd.Series
 ) -> pd.DataFrame:

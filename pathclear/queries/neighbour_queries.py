@@ -240,7 +240,7 @@ def nodes(spark, sf_dir):
 
 
 @query("q_eps_neighbours", f"""WITH {POINTS_SQL}, {NODES_SQL}
-SELECT n.frame_seq, n.id, n.copies, CAST(n.copies - 1 + coalesce(sum(cv), 0) AS BIGINT) AS neighbours FROM nodes n LEFT JOIN pairs p ON p.frame_seq = n.frame_seq AND p.u = n.id GROUP BY ALL""")
+SELECT n.frame_seq, n.id, any_value(n.copies) AS copies, CAST(any_value(n.copies) - 1 + coalesce(sum(cv), 0) AS BIGINT) AS neighbours FROM nodes n LEFT JOIN pairs p ON p.frame_seq = n.frame_seq AND p.u = n.id GROUP BY n.frame_seq, n.id""")
 def eps_neighbours(spark, sf_dir):
     """Returns within a radius that grows with range."""
     places = nodes(spark, sf_dir)
@@ -284,9 +284,8 @@ def eps_clusters(spark, sf_dir):
         *[(F.max(c) - F.min(c)).alias(f"size_{c}") for c in "xyz"],
         (F.sum(x * F.col("copies")) / F.sum("copies")).alias("center_x"),
     )
-    spread = named.withColumn("range", F.explode(F.array_repeat("range", F.col("copies").cast("int"))))
     medians = linear_percentiles(
-        spread, key, "range", {"range": 0.5}, [10.0, 20.0, 30.0, 50.0, 70.0]
+        named, key, "range", {"range": 0.5}, [10.0, 20.0, 30.0, 50.0, 70.0], weight="copies"
     ).drop("n")
     facts = facts.join(medians, key)
     person = bg.plausible_person(
