@@ -93,45 +93,52 @@ def fit_plane(seeds: np.ndarray, draws: np.ndarray, config: DetectorConfig):
     return _refit(seeds, plane, config)
 
 
-def floor_from_seeds(seeds: Column, config: DetectorConfig) -> Column:
-    """Plane struct per frame from ``array<struct<cell, x, y, z>>`` in cell order.
+def floor_from_seeds(x: Column, y: Column, z: Column, config: DetectorConfig) -> Column:
+    """Plane struct per frame from the seed coordinates in cell order.
 
-    The grid bounds the array to about 90 x 26 seeds, whatever the cloud holds.
+    The grid bounds the arrays to about 90 x 26 seeds, whatever the cloud holds.
     """
     draws = sample_draws()
 
     @F.pandas_udf("a double, b double, c double, valid boolean")
-    def fit(frames: pd.Series) -> pd.DataFrame:
+    def fit(xs: pd.Series, ys: pd.Series, zs: pd.Series) -> pd.DataFrame:
         rows = []
-        for frame in frames:
-            xyz = np.array([(s["x"], s["y"], s["z"]) for s in frame]) if frame is not None else []
-            plane = fit_plane(xyz, draws, config) if len(xyz) else None
+        for seeds in zip(xs, ys, zs):
+            plane = fit_plane(np.column_stack(seeds), draws, config)
             a, b, c = plane if plane is not None else (0.0, 0.0, 0.0)
             rows.append((a, b, c, plane is not None))
         return pd.DataFrame(rows, columns=["a", "b", "c", "valid"])
 
-    return fit(seeds)
+    return fit(x, y, z)
+
+
+def curve_of(now: np.ndarray, then: np.ndarray, last: int) -> list[float]:
+    """Mean capped difference per forward shift of two (row, bin) profiles; NaN marks gaps."""
+    bins, curve = now.shape[1], []
+    for shift in range(last + 1):
+        gap = np.abs(now[:, : bins - shift] - then[:, shift:]).astype(np.float64)
+        gap = gap[~np.isnan(gap)]
+        curve.append(np.minimum(gap, 0.3).mean() if len(gap) >= 200 else np.nan)
+    return curve
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def shift_curve(now: pd.Series, then: pd.Series, last: pd.Series) -> pd.Series:
-    """Error of every forward shift between two lateral profiles (flat float32 arrays).
+def shift_curve(
+    at: pd.Series, value: pd.Series, past_at: pd.Series, past_value: pd.Series, last: pd.Series
+) -> pd.Series:
+    """Error of every forward shift between two lateral profiles, given as occupied bins.
 
-    NaN marks empty bins.  A shift with fewer than 200 common bins has no error.
+    A shift with fewer than 200 common bins has no error.
     """
+    def dense(k, v):
+        flat = np.full(6 * 640, np.nan, dtype=np.float32)
+        flat[k] = v
+        return flat.reshape(6, 640)
+
     curves = []
-    for a, b, top in zip(now, then, last):
-        if a is None or b is None or top is None or np.isnan(top):
-            curves.append(None)
-            continue
-        a = np.asarray(a, dtype=np.float32).reshape(6, -1)
-        b = np.asarray(b, dtype=np.float32).reshape(6, -1)
-        bins, curve = a.shape[1], []
-        for shift in range(int(top) + 1):
-            gap = np.abs(a[:, : bins - shift] - b[:, shift:]).astype(np.float64)
-            gap = gap[~np.isnan(gap)]
-            curve.append(np.minimum(gap, 0.3).mean() if len(gap) >= 200 else np.nan)
-        curves.append(curve)
+    for k, v, pk, pv, top in zip(at, value, past_at, past_value, last):
+        missing = pk is None or top is None or np.isnan(top)
+        curves.append(None if missing else curve_of(dense(k, v), dense(pk, pv), int(top)))
     return pd.Series(curves)
 
 

@@ -49,15 +49,20 @@ def admitted_points(frames: DataFrame, config: DetectorConfig) -> DataFrame:
     return ops.classify(raw, config, turn, move).drop("rotation", "translation", "sx", "sy", "sz")
 
 
-def admission(frames: DataFrame, points: DataFrame, config: DetectorConfig) -> DataFrame:
-    """Frames with counters, trust and the first reason that keeps them from the detector."""
-    counts = ops.count_fates(points, KEY)
-    n = F.coalesce(F.size("points"), F.lit(0))
-    meta = frames.select(
+def frame_rows(frames: DataFrame) -> DataFrame:
+    """Frames without their points."""
+    return frames.select(
         *KEY, "measurement_time_ns", "transform_available", "calibration_verified",
-        "allow_unverified_calibration", "translation", n.alias("point_count"),
+        "allow_unverified_calibration", "translation",
+        F.coalesce(F.size("points"), F.lit(0)).alias("point_count"),
         g.valid_rotation(F.col("rotation"), F.col("translation")).alias("transform_valid"),
-    ).join(counts, KEY, "left").na.fill(0, [c for c in counts.columns if c.endswith("_count")])
+    )
+
+
+def admission(rows: DataFrame, points: DataFrame, config: DetectorConfig) -> DataFrame:
+    """Frames with counters, trust and the first reason that keeps them from the detector."""
+    counts = ops.count_fates(points, KEY)
+    meta = rows.join(counts, KEY, "left").na.fill(0, [c for c in counts.columns if c.endswith("_count")])
     reason = ops.admission_reason(
         F.col("point_count"), config.max_points, F.col("transform_available"),
         F.col("transform_valid"), F.col("overflow_count") > 0, F.col("calibration_verified"),
@@ -100,12 +105,19 @@ def _h():
     return g.height(F.col("x"), F.col("y"), F.col("z"), _plane())
 
 
+def _each(array: str, field: str):
+    """One field of an array of structs."""
+    return F.transform(array, lambda item: item[field])
+
+
 def floors(points: DataFrame, config: DetectorConfig) -> DataFrame:
     """Fitted plane and its followed reach per frame."""
     seeds = grids.lowest_per_cell(points, KEY, config)
     planes = seeds.groupBy(*KEY).agg(
         F.array_sort(F.collect_list(F.struct("cell", "x", "y", "z"))).alias("seeds")
-    ).select(*KEY, floor_from_seeds(F.col("seeds"), config).alias("p")).filter("p.valid").select(
+    ).select(*KEY, floor_from_seeds(
+        *[_each("seeds", c) for c in "xyz"], config
+    ).alias("p")).filter("p.valid").select(
         *KEY, "p.a", "p.b", "p.c"
     )
     with_plane = points.join(planes, KEY)
@@ -163,12 +175,11 @@ def motion_inputs(used: DataFrame, points: DataFrame, config: DetectorConfig) ->
         array_upper_median(F.collect_list("lateral")).alias("median")
     )
     bins = grids.lateral_profile(samples, medians, KEY)
-    flat = F.col("row") * grids.PROFILE_BINS + F.col("bin")
-    profile = bins.groupBy(*KEY).agg(F.map_from_entries(
-        F.collect_list(F.struct(flat.cast("int").alias("k"), F.col("value").alias("v")))
-    ).alias("m")).select(*KEY, F.transform(
-        F.sequence(F.lit(0), F.lit(grids.PROFILE_ROWS * grids.PROFILE_BINS - 1)),
-        lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(float("nan")).cast("float")),
+    flat = (F.col("row") * grids.PROFILE_BINS + F.col("bin")).cast("int")
+    profile = bins.groupBy(*KEY).agg(
+        F.collect_list(F.struct(flat.alias("k"), F.col("value").alias("v"))).alias("m")
+    ).select(*KEY, F.struct(
+        _each("m", "k").alias("at"), _each("m", "v").alias("value")
     ).alias("profile"))
     order = SlicedOrder.fit(rows, LIFE, ["frame_sequence"])
     rows = order.running_sum(rows, {"place": F.lit(1)})
@@ -177,7 +188,9 @@ def motion_inputs(used: DataFrame, points: DataFrame, config: DetectorConfig) ->
     dt = F.when(F.col("measurement_time_ns") > F.col("_before"),
                 (F.col("measurement_time_ns") - F.col("_before")) * 1e-9).otherwise(0.0)
     rows = rows.withColumn("dt_s", F.coalesce(dt, F.lit(0.0))).drop("_before")
-    nothing = F.array_repeat(F.lit(float("nan")).cast("float"), grids.PROFILE_ROWS * grids.PROFILE_BINS)
+    nothing = F.struct(
+        F.array().cast("array<int>").alias("at"), F.array().cast("array<float>").alias("value")
+    )
     placed = rows.join(profile, KEY, "left").withColumn("profile", F.coalesce("profile", nothing))
     # The previous profile is found by its place, not by a window: profiles are wide rows.
     earlier = placed.select(*LIFE, (F.col("place") + 1).alias("place"), F.col("profile").alias("then"))
@@ -185,7 +198,11 @@ def motion_inputs(used: DataFrame, points: DataFrame, config: DetectorConfig) ->
     last = F.when((F.col("dt_s") > 0) & (last >= 4) & F.col("then").isNotNull(), last)
     paired = placed.join(earlier, [*LIFE, "place"], "left")
     return paired.withColumns({
-        "errors": shift_curve(F.col("profile"), F.col("then"), last.cast("double")), "motion": F.lit(True),
+        "errors": shift_curve(
+            F.col("profile.at"), F.col("profile.value"), F.col("then.at"), F.col("then.value"),
+            last.cast("double"),
+        ),
+        "motion": F.lit(True),
     }).drop("profile", "then", "place")
 
 
@@ -513,9 +530,6 @@ def candidate_arrays(rows: DataFrame) -> DataFrame:
     fields = [c.split(":")[0] for c in CANDIDATE[len("struct<"):-1].split(",") if ":" in c]
     fields = [f for f in fields if f != "id"]
     ordered = F.array_sort(F.collect_list(F.struct(*fields)))
-    numbered = F.transform(ordered, lambda c, i: F.struct(
-        (i + 1).cast("int").alias("id"), *[c[f].alias(f) for f in fields]
-    ))
     return rows.groupBy(*KEY).agg(ordered.alias("_c")).select(
         *KEY, F.transform("_c", lambda c, i: F.struct(
             (i + 1).cast("int").alias("id"), *[c[f].alias(f) for f in fields]
@@ -525,8 +539,16 @@ def candidate_arrays(rows: DataFrame) -> DataFrame:
 
 def analyse(frames: DataFrame, config: DetectorConfig) -> DataFrame:
     """Analysis of every frame: status, reason, trust, floor, route, range and candidates."""
-    raw = admitted_points(frames, config)
-    meta = settle(chains(admission(frames, raw, config)))
+    return analyse_points(frame_rows(frames), admitted_points(frames, config), config)
+
+
+def analyse_points(rows: DataFrame, raw: DataFrame, config: DetectorConfig) -> DataFrame:
+    """The same for clouds stored as one row per point.
+
+    ``rows`` as from ``frame_rows``; ``raw`` as from ``operators.points.classify``.  Frames over
+    the point limit are refused from their combined counts before any per-frame group is formed.
+    """
+    meta = settle(chains(admission(rows, raw, config)))
     live = meta.filter(F.col("stop_reason").isNull()).select(*KEY)
     points = settle(
         raw.filter(F.col("fate") == ops.GEOMETRY).drop("fate").join(live, KEY, "left_semi")
