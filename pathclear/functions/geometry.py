@@ -12,7 +12,8 @@ INF = float("inf")
 
 
 def finite(c: Column) -> Column:
-    return ~F.isnan(c) & (F.abs(c) != F.lit(INF)) & c.isNotNull()
+    """False for null, infinity and NaN (which orders above infinity)."""
+    return F.coalesce(F.abs(c) < INF, F.lit(False))
 
 
 def all_finite(*columns: Column) -> Column:

@@ -9,29 +9,20 @@ once, so that a recomputed task sees the same cut.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pathclear.functions.settling import settle
+
 SLICE = "_slice"
 MAX_SLICES = 1024
 # A group of this many small rows still sorts well inside one task.
 GROUP_ROWS = 2_000_000
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pathclear-checkpoint-"))
-    return df.checkpoint()
-
-
 def _between(column: Column, bounds: Sequence, first: int) -> Column:
     """Balanced decision tree: number of bounds <= column, offset by ``first``."""
     if not bounds:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathclear.functions import geometry as g
-from pathclear.functions.ordering import settle
+from pathclear.functions.settling import settle
 
 
 def shifts(reach: int, axes: int = 2, half: bool = False) -> list[tuple[int, ...]]:

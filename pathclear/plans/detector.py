@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from pathclear.config import DetectorConfig
 from pathclear.functions import geometry as g
-from pathclear.functions.ordering import SlicedOrder, settle
+from pathclear.functions.ordering import SlicedOrder
 from pathclear.functions.ranks import array_upper_median
+from pathclear.functions.settling import settle, settle_by
 from pathclear.operators import background as bg
 from pathclear.operators import candidates as cand
 from pathclear.operators import folds, graph, grids, route
@@ -29,24 +30,27 @@ LIFE = [*CHAIN, "life"]
 MAX_GAP_NS = 2_000_000_000
 
 
-def admitted_points(frames: DataFrame, config: DetectorConfig) -> DataFrame:
-    """Target-frame points of every frame that may be transformed, one row per raw point.
+def unfold(frames: DataFrame, config: DetectorConfig) -> DataFrame:
+    """One row per raw point of every frame that may be transformed.
 
     A frame beyond ``max_points`` is refused before it is unfolded, which bounds every per-frame
-    group from here on.
+    group from here on.  Frames are spread before they grow.
     """
     count = F.coalesce(F.size("points"), F.lit(0))
     usable = frames.filter(
         (count <= config.max_points) & F.col("transform_available")
         & g.valid_rotation(F.col("rotation"), F.col("translation"))
     )
-    raw = usable.select(
-        *KEY, "rotation", "translation", F.posexplode("points").alias("raw_index", "p")
-    ).select(*KEY, "raw_index", "rotation", "translation",
-             *[F.col(f"p.{c}").alias(f"s{c}") for c in "xyz"])
-    turn = [F.get("rotation", i) for i in range(9)]
-    move = [F.get("translation", i) for i in range(3)]
-    return ops.classify(raw, config, turn, move).drop("rotation", "translation", "sx", "sy", "sz")
+    turn = [F.get("rotation", i).alias(f"r{i}") for i in range(9)]
+    move = [F.get("translation", i).alias(f"t{i}") for i in range(3)]
+    spread = usable.select(*KEY, *turn, *move, "points").repartition(*KEY)
+    return spread.select(
+        *KEY, *[f"r{i}" for i in range(9)], *[f"t{i}" for i in range(3)],
+        F.posexplode("points").alias("raw_index", "p"),
+    ).select(
+        *KEY, "raw_index", *[f"r{i}" for i in range(9)], *[f"t{i}" for i in range(3)],
+        *[F.col(f"p.{c}").alias(f"s{c}") for c in "xyz"],
+    )
 
 
 def frame_rows(frames: DataFrame) -> DataFrame:
@@ -539,28 +543,28 @@ def candidate_arrays(rows: DataFrame) -> DataFrame:
 
 def analyse(frames: DataFrame, config: DetectorConfig) -> DataFrame:
     """Analysis of every frame: status, reason, trust, floor, route, range and candidates."""
-    return analyse_points(frame_rows(frames), admitted_points(frames, config), config)
+    return analyse_points(frame_rows(frames), unfold(frames, config), config)
 
 
 def analyse_points(rows: DataFrame, raw: DataFrame, config: DetectorConfig) -> DataFrame:
     """The same for clouds stored as one row per point.
 
-    ``rows`` as from ``frame_rows``; ``raw`` as from ``operators.points.classify``.  Frames over
-    the point limit are refused from their combined counts before any per-frame group is formed.
+    ``rows`` as from ``frame_rows``; ``raw`` as from ``unfold``.  Frames over the point limit are
+    refused from their combined counts before any per-frame group is formed.
     """
-    meta = settle(chains(admission(rows, raw, config)))
+    turn, move = [F.col(f"r{i}") for i in range(9)], [F.col(f"t{i}") for i in range(3)]
+    fates = ops.classify(raw, config, turn, move).select(*KEY, "fate", "in_detection", *"xyz")
+    meta = settle(chains(admission(rows, fates, config)))
     live = meta.filter(F.col("stop_reason").isNull()).select(*KEY)
-    points = settle(
-        raw.filter(F.col("fate") == ops.GEOMETRY).drop("fate").join(live, KEY, "left_semi")
-        .repartition(*KEY)
-    )
+    kept = ops.geometry_points(raw, config, turn, move).select(*KEY, "raw_index", *"xyz", "in_detection")
+    points = settle_by(kept.join(live, KEY, "left_semi"), KEY)
     held = settle(hold_floor(meta, floors(points, config), config))
     used = held.filter(F.col("geometry_reason").isNull())
     moved = motion_and_route(motion_inputs(used, points, config), config)
     params = settle(frame_parameters(used, moved, config).withColumn(
         "moving", F.col("ego_motion_valid") & (F.col("ego_speed_mps") >= config.envelope_min_speed_mps)
     ))
-    placed = settle(placed_points(points, params, config))
+    placed = settle_by(placed_points(points, params, config), KEY)
     history = config.background_history_frames
     if not history:
         rows, judged = find_candidates(points, params, placed, None, config)
