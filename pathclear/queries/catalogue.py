@@ -1,4 +1,9 @@
 """All registered queries."""
 
-from pathclear.queries import frame_queries, neighbour_queries, point_queries  # noqa: F401
+from pathclear.queries import (  # noqa: F401
+    frame_queries,
+    neighbour_queries,
+    point_queries,
+    stateful_queries,
+)
 from pathclear.queries.registry import QUERIES, SQL  # noqa: F401
