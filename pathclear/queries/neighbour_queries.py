@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pathclear.config import DetectorConfig
 from pathclear.functions import geometry as g
 from pathclear.functions.ranks import linear_percentiles
+from pathclear.functions.settling import settle
 from pathclear.operators import background as bg
 from pathclear.operators import candidates as cand
 from pathclear.operators import graph, grids
@@ -268,7 +269,7 @@ SELECT frame_seq, component, points, cells, round(r, 6) AS range, size_x, size_y
     AND greatest(size_x, size_y) <= 1.2e0 + r * 0.003490658503988659e0 AS person FROM f""")
 def eps_clusters(spark, sf_dir):
     """Single-link clusters with their features and the person test."""
-    places = nodes(spark, sf_dir)
+    places = settle(nodes(spark, sf_dir))
     labels = graph.connected_components(
         places.select("frame_seq", "id"), graph.close_pairs(places, FRAME), FRAME
     )
