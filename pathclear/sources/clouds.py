@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,20 +81,27 @@ def decode(clouds: DataFrame, limits: CloudLimits = CloudLimits(), extra: tuple
 
     def run(batches):
         for batch in batches:
-            points, more = [], {n: [] for n in extra}
-            for message in batch.to_dict("records"):
+            flat, sizes = [], []
+            for message in batch.to_pylist():
                 if message["decode_error"] is not None or not message["width"] * message["height"]:
-                    points.append([])
-                    for n in extra:
-                        more[n].append([])
+                    sizes.append(0)
                     continue
-                x, y, z = (field_view(message, n)[::stride].astype(float) for n in "xyz")
-                points.append(pd.DataFrame({"x": x, "y": y, "z": z}).to_dict("records"))
-                for n in extra:
-                    more[n].append(field_view(message, n)[::stride].astype(float))
-            yield batch[kept].assign(points=points, **more)
-
-    return checked.mapInPandas(run, schema)
+                values = [field_view(message, n)[::stride].astype(float) for n in ("x", "y", "z", *extra)]
+                flat.append(values)
+                sizes.append(len(values[0]))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            columns = [
+                pa.array(np.concatenate([f[i] for f in flat]) if flat else np.empty(0))
+                for i in range(3 + len(extra))
+            ]
+            points = pa.StructArray.from_arrays(columns[:3], names=["x", "y", "z"])
+            lists = [pa.ListArray.from_arrays(offsets, v) for v in (points, *columns[3:])]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(batch.schema.get_field_index(c)) for c in kept], *lists],
+                names=[*kept, "points", *extra],
+            )
+
+    return checked.mapInArrow(run, schema)
 
 
 def to_frames(decoded: DataFrame, rotation, translation, verified: bool, allow: bool) -> DataFrame:

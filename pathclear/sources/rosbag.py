@@ -12,6 +12,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -136,26 +137,35 @@ CLOUD_FIELDS = (
 )
 
 
+def _arrow_schema() -> pa.Schema:
+    field = pa.struct([("name", pa.string()), *[(n, pa.int32()) for n in ("offset", "datatype", "count")]])
+    return pa.schema([
+        ("file", pa.string()), ("bag_stamp_ns", pa.int64()), ("stamp_sec", pa.int64()),
+        ("stamp_nanosec", pa.int64()), ("frame_id", pa.string()), ("height", pa.int64()),
+        ("width", pa.int64()), ("fields", pa.list_(field)), ("is_bigendian", pa.bool_()),
+        ("point_step", pa.int64()), ("row_step", pa.int64()), ("data", pa.binary()),
+        ("parse_error", pa.string()),
+    ])
+
+
 def read_clouds(spark: SparkSession, paths: list[str], topic: str) -> DataFrame:
     """Cloud rows of one topic; a message that cannot be parsed keeps its ``parse_error``."""
     register(spark)
     raw = spark.read.format("rosbag").option("path", ",".join(paths)).load().filter(F.col("topic") == topic)
 
     def run(batches):
-        import pandas as pd
-
+        schema = _arrow_schema()
         for batch in batches:
             out = []
-            for message in batch.itertuples():
+            for message in batch.to_pylist():
                 try:
-                    row = {**parse_cloud(message.data), "parse_error": None}
+                    row = {**parse_cloud(message["data"]), "parse_error": None}
                 except (struct.error, UnicodeDecodeError, IndexError):
                     row = {"parse_error": "DESERIALIZATION_ERROR"}
-                out.append({"file": message.file, "bag_stamp_ns": message.timestamp, **row})
-            names = [f.split()[0] for f in ("file string, bag_stamp_ns long, " + CLOUD_FIELDS).split(", ")]
-            yield pd.DataFrame(out, columns=names)
+                out.append({"file": message["file"], "bag_stamp_ns": message["timestamp"], **row})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return raw.filter(F.col("type") == CLOUD_TYPE).mapInPandas(
+    return raw.filter(F.col("type") == CLOUD_TYPE).mapInArrow(
         run, "file string, bag_stamp_ns long, " + CLOUD_FIELDS
     )
 
