@@ -129,31 +129,32 @@ class SlicedOrder:
 
     def _fill(self, df, values, forward, inclusive):
         df = self._next_pass(df)
-        near = 0 if inclusive else 1
-        if forward:
-            pick, far = F.last, (Window.unboundedPreceding, -1)
-            frame, edge = (Window.unboundedPreceding, -near), F.max_by
-        else:
-            pick, far = F.first, (1, Window.unboundedFollowing)
-            frame, edge = (near, Window.unboundedFollowing), F.min_by
-        inside = self.local().rowsBetween(*frame)
+        # Both directions read backwards: a frame that ends at the current row grows by one row at
+        # a time, one that starts there is rebuilt for every row.
+        frame = (Window.unboundedPreceding, 0 if inclusive else -1)
+        turn = (lambda c: F.col(c).asc()) if forward else (lambda c: F.col(c).desc())
+        inside = Window.partitionBy(*self.parts).orderBy(*[turn(c) for c in self.order])
+        inside = inside.rowsBetween(*frame)
+        df_filled = df.withColumns(
+            {n: F.last(e, ignorenulls=True).over(inside) for n, e in values.items()}
+        )
         if not self.bounds:
-            return df.withColumns(
-                {n: pick(e, ignorenulls=True).over(inside) for n, e in values.items()}
-            )
+            return df_filled
+        edge = F.max_by if forward else F.min_by
         summary = df.groupBy(*self.parts).agg(
             *[
                 edge(e, F.when(e.isNotNull(), self._edge())).alias(f"_t_{n}")
                 for n, e in values.items()
             ]
         )
-        across = self._slices().rowsBetween(*far)
+        across = Window.partitionBy(*self.keys).orderBy(turn(SLICE)).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
         summary = summary.select(
             *self.parts,
-            *[pick(f"_t_{n}", ignorenulls=True).over(across).alias(f"_c_{n}") for n in values],
+            *[F.last(f"_t_{n}", ignorenulls=True).over(across).alias(f"_c_{n}") for n in values],
         )
-        df = df.withColumns({n: pick(e, ignorenulls=True).over(inside) for n, e in values.items()})
-        df = self._attach(df, summary)
+        df = self._attach(df_filled, summary)
         df = df.withColumns({n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in values})
         return df.drop(*[f"_c_{n}" for n in values])
 

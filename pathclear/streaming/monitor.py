@@ -61,7 +61,7 @@ class LineMonitor(StatefulProcessor):
     def _save(self, monitor, gate, kept):
         self.state.update((json.dumps({"monitor": monitor.dump(), "gate": gate.dump(), "kept": kept}),))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         monitor, gate, kept = self._load()
         frames = pd.concat(list(rows), ignore_index=True).sort_values("received", kind="stable")
         out = []
@@ -92,12 +92,12 @@ class LineMonitor(StatefulProcessor):
             for old in self.handle.listTimers():
                 self.handle.deleteTimer(old)
             left = max(0.0, self.timeout_ms - kept["age_ms"])
-            now = timer.getCurrentProcessingTimeInMs()
+            now = timerValues.getCurrentProcessingTimeInMs()
             self.handle.registerTimer(int((now if now > 0 else time.time() * 1000) + left) + 1)
         self._save(monitor, gate, kept)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _columns()])
 
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The result has grown too old: UNKNOWN, with the key of the last frame kept."""
         monitor, gate, kept = self._load()
         row = {
