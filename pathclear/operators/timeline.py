@@ -121,16 +121,23 @@ def count_in_spans(
     )
 
 
-def slerp(p: list[Column], q: list[Column], share: Column) -> list[Column]:
-    """Spherical interpolation of unit quaternions along the shorter arc."""
+def with_slerp(df: DataFrame, p: list[Column], q: list[Column], share: Column, name: str) -> DataFrame:
+    """Adds the spherical interpolation of two unit quaternions along the shorter arc.
+
+    The angle and the two weights are columns of their own, evaluated once per row.
+    """
     dot = sum((a * b for a, b in zip(p[1:], q[1:])), p[0] * q[0])
-    sign = F.when(dot < 0, -1.0).otherwise(1.0)
-    angle = F.acos(F.least(F.lit(1.0), F.abs(dot)))
-    close = angle < 1e-9
+    df = df.withColumn("_dot", dot)
+    df = df.withColumn("_angle", F.acos(F.least(F.lit(1.0), F.abs("_dot"))))
+    angle, close = F.col("_angle"), F.col("_angle") < 1e-9
+    sign = F.when(F.col("_dot") < 0, -1.0).otherwise(1.0)
     whole = F.when(close, 1.0).otherwise(F.sin(angle))
-    a = F.when(close, 1 - share).otherwise(F.sin((1 - share) * angle) / whole)
-    b = F.when(close, share).otherwise(F.sin(share * angle) / whole) * sign
-    return [a * u + b * v for u, v in zip(p, q)]
+    df = df.withColumns({
+        "_wp": F.when(close, 1 - share).otherwise(F.sin((1 - share) * angle) / whole),
+        "_wq": F.when(close, share).otherwise(F.sin(share * angle) / whole) * sign,
+    })
+    mixed = F.array(*[F.col("_wp") * u + F.col("_wq") * v for u, v in zip(p, q)])
+    return df.withColumn(name, mixed).drop("_dot", "_angle", "_wp", "_wq")
 
 
 def rotation_from_quaternion(q: Column) -> Column:
@@ -173,9 +180,10 @@ def transforms_at(
         F.get(b["translation"], i)
         + (F.get(F.col("_end.translation"), i) - F.get(b["translation"], i)) * s for i in range(3)
     ]
+    beside = with_slerp(beside, p, q, s, "quaternion")
     beside = beside.withColumns({
         "translation": F.when(F.col("_usable"), F.array(*moved)),
-        "quaternion": F.when(F.col("_usable"), F.array(*slerp(p, q, s))),
+        "quaternion": F.when(F.col("_usable"), F.col("quaternion")),
     })
     length = F.aggregate("quaternion", F.lit(0.0), lambda t, v: t + v * v)
     available = F.col("_usable") & (F.abs(length - 1) <= 1e-6)
