@@ -35,6 +35,8 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "16g")
         .config("spark.sql.adaptive.enabled", "true")
+        # Methods over the JIT limit run interpreted; smaller pieces are faster then.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
