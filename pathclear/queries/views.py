@@ -66,10 +66,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind.isin("view", "click"), "NO_OBSTACLE_DETECTED")
         .otherwise("UNKNOWN")
     )
+    # The table's stamps carry no zone and are UTC, whatever the session's zone is.
+    instant = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts"))
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         (F.col("user_id") % 8).alias("bag_id"),
         "event_id",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("stamp_us"),
+        F.unix_micros(instant.cast("timestamp")).alias("stamp_us"),
         state.alias("state"),
         F.col("value").alias("distance_m"),
         kind.alias("reason"),
