@@ -1,34 +1,31 @@
 """Intermediate tables that cut lineage and survive lost executors.
 
-They are written once to the shared folder named by ``spark.checkpoint.dir`` and read back, so a
-later stage scans only the columns it needs and the planner knows their real size: small ones are
-broadcast under the session's threshold, large ones are joined by shuffle or by bucket.
+They are written once to a folder that all executors share and read back, so a later stage scans
+only the columns it needs and the planner knows their real size: small ones are broadcast under the
+session's threshold, large ones are joined by shuffle or by bucket. The folder is the one named by
+``spark.checkpoint.dir``; where that is unset, one below the session's warehouse, which is shared
+as well. Files go when the application ends.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder from the session; a temporary one only where none is set, as in tests."""
+    """Folder for intermediate tables that the driver and all executors see."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="pathclear-")
-    return _local[app]
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_settled"
 
 
 def _fresh(spark: SparkSession) -> tuple[str, str]:
     name = f"settled_{uuid.uuid4().hex}"
-    return name, f"{shared_folder(spark).rstrip('/')}/{name}"
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return name, folder
 
 
 def settle(df: DataFrame) -> DataFrame:
