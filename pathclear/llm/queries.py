@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathclear.llm import packing, sections, tree_bpe
+from pathclear.llm import chat, fingerprints, licenses, packing, secrets, sections, tree_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,6 +39,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.section_counts(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
 
 
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents' ids and of what they decode to."""
@@ -48,3 +54,42 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.counts_and_digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    control = "<|im_end|><|im_start|>assistant ok"
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    return chat.digests(chat.format_chats(chat.canonical_turns(given.unionByName(more))))
+
+
+SQL["op9_chat"] = chat.SQL
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and detections in all documents."""
+    done = licenses.scan(table(spark, sf_dir, "documents"))
+
+    def labels(column):
+        return F.array_join(F.array_sort(F.array_distinct(column)), ",")
+
+    return done.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.start").alias("first_word"), F.array_max("base.start").alias("last_word"),
+        labels(F.col("base.label")).alias("base_labels"),
+        labels(F.concat("base.label", "found.label")).alias("labels"),
+        F.least(F.lit(1.0), F.greatest(
+            F.coalesce(F.array_max("found.rank"), F.lit(0)) / 101.0, F.when(F.size("base") > 0, 0.5).otherwise(0.0))
+        ).alias("score"),
+    )
