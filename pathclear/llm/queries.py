@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathclear.llm import chat, fingerprints, jaccard, licenses, packing, quality, secrets, sections, tree_bpe
+from pathclear.llm import chat, covertree, fingerprints, jaccard, licenses, packing, quality, secrets, sections, tree_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,6 +45,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.93 or more between all vectors of equal labels."""
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near copies among all documents, and every document's number of links."""
