@@ -266,16 +266,15 @@ def _bucket_figures(rows: DataFrame, *keys: str) -> DataFrame:
         F.sum(F.shiftrightunsigned(mark, 20)).alias("s")).filter(F.col("n") > 1)
 
 
-def similarity_join(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links`` of every row of ``docs``.
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a hash of their text, by which a node's text is found again."""
+    return docs.select(*columns, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
 
-    ``n_links`` is the number of other rows whose set is similar by 4/5 or more, ``class_id`` the smallest
-    doc_id that is reachable by links (its own, without any). Null and empty texts, and those of white space
-    alone, have the empty set and are similar to each other only. Rows that repeat are copies of each other.
-    Rows without an id are kept; a class of such rows alone has a null id. Other columns are not read.
-    """
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their nodes; nodes with class id, links, own first row and the class's first row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = _keyed(docs, "doc_id", "text")
     described = settle(keyed.mapInArrow(
         _described, f"doc_id {kind}, text_key long, node long, check long, size long, "
         "buckets array<struct<path:bigint,kids:array<bigint>>>"))
@@ -312,10 +311,34 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     forest = found.filter("v is not null").select("u", "v")
     ends = forest.select(F.col("u").alias("id")).union(forest.select("v")).distinct()
     groups = settle(connected_components(ends, forest, []).withColumnRenamed("id", "node").join(
-        nodes.select("node", "least"), "node"))
-    least = groups.groupBy("component").agg(F.min("least").alias("class_least"))
-    classes = groups.join(least, "component").select("node", "class_least")
-    result = nodes.select("node", "least", "copies").join(counts, "node", "left").join(classes, "node", "left").select(
-        "node", F.when(F.col("class_least").isNull(), F.col("least")).otherwise(F.col("class_least")).alias("class_id"),
-        (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return described.select("doc_id", "node").join(result, "node").select("doc_id", "class_id", "n_links")
+        nodes.select("node", "least", "one"), "node"))
+    least = groups.groupBy("component").agg(F.min("least").alias("class_least"), F.min("one").alias("class_one"))
+    classes = groups.join(least, "component").select("node", "class_least", "class_one")
+    result = nodes.select("node", "least", "one", "copies").join(counts, "node", "left").join(classes, "node", "left").select(
+        "node", F.when(F.col("class_one").isNull(), F.col("least")).otherwise(F.col("class_least")).alias("class_id"),
+        (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
+        "one", F.coalesce("class_one", "one").alias("first"))
+    return described.select("doc_id", "node"), result
+
+
+def similarity_join(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, n_links`` of every row of ``docs``.
+
+    ``n_links`` is the number of other rows whose set is similar by 4/5 or more, ``class_id`` the smallest
+    doc_id that is reachable by links (its own, without any). Null and empty texts, and those of white space
+    alone, have the empty set and are similar to each other only. Rows that repeat are copies of each other.
+    Rows without an id are kept; a class of such rows alone has a null id. Other columns are not read.
+    """
+    rows, nodes = _classes(docs)
+    return rows.join(nodes, "node").select("doc_id", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their class (by id, then by a hash of the text; no id is
+    before all), with all their columns. Of equal first rows one stays."""
+    _, nodes = _classes(docs)
+    kept = settle(nodes.filter(F.col("one").eqNullSafe(F.col("first"))).select(
+        F.col("one.doc_id").alias("kept_id"), F.col("one.text_key").alias("kept_key")))
+    found = _keyed(docs, *docs.columns).join(
+        kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
+    return found.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)

@@ -13,7 +13,6 @@ the network's weights. All counts cover all documents.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pathclear.functions.settling import settle
 from pathclear.llm.pieces import classes, code_points, mixed, powers, steps
 
 BUCKETS, WIDTH, NEIGHBOURS, SPARSE = 1 << 13, 48, 2, 4
@@ -199,44 +198,60 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def crc_held_out(doc_id) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 3 == 1
+def _rows(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in x], pa.binary())
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row of ``docs``, from its text alone.
-
-    ``labels`` has doc_id and quality (0 or 1). Null labels or ids teach nothing; a document labelled more
-    than once counts each time. Null texts are empty, and scored; rows that repeat are scored each; other
-    columns are not read. Without labels every score is that of label 1.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
+    """Word vectors from all texts and the network fitted to at most ``SAMPLE`` labelled ones."""
     vectors = word_vectors(docs)
+    taught = labels.select("doc_id", "quality").filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).filter(
+        ~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in steps(batch):
-                x = pooled(texts, vectors)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+                    [part.column("mark"), part.column("quality"), _rows(pooled(texts, vectors))], names=["mark", "quality", "x"])
 
-    # Written once; the learning rows and the scores come from it.
-    known = settle(docs.select("doc_id", "text").mapInArrow(features, f"doc_id {kind}, x binary"))
-    taught = labels.select("doc_id", "quality").filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).filter(
-        ~held_out(F.col("doc_id")))
-    rows = (
-        taught.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE).join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(SAMPLE).select("quality", "x").toPandas()
-    )
-    x = np.frombuffer(b"".join(map(bytes, rows.x)), np.float32).reshape(-1, FEATURES).astype(np.float64)
-    network = fit(x, rows.quality.to_numpy().astype(np.float64))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # SAMPLE bounds what is broadcast, and what comes back.
+    sample = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").select(
+        F.xxhash64("doc_id").alias("mark"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(
+        features, "mark long, quality int, x binary").orderBy("mark", "quality", "x").limit(SAMPLE).toPandas()
+    x = np.frombuffer(b"".join(map(bytes, sample.x)), np.float32).reshape(-1, FEATURES).astype(np.float64)
+    return vectors, fit(x, sample.quality.to_numpy().astype(np.float64))
+
+
+def with_score(docs: DataFrame, model: tuple[np.ndarray, Network], name: str = "score") -> DataFrame:
+    """The rows of ``docs`` with the score of their text as a further column ``name``."""
+    vectors, network = model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(network.scores(x.astype(np.float64)))], names=["doc_id", "score"])
+            for part, texts in steps(batch):
+                scores = network.scores(pooled(texts, vectors).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row of ``docs``, from its text alone.
 
-    return known.mapInArrow(scored, f"doc_id {kind}, score double").select(
+    ``labels`` has doc_id and quality (0 or 1). Null labels or ids teach nothing; a document labelled more
+    than once counts each time. Null texts are empty, and scored; rows that repeat are scored each; other
+    columns are not read. Without labels every score is that of label 1.
+    """
+    rows = docs.select("doc_id", "text")
+    scored = with_score(rows, learn(rows, labels))
+    return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, with their columns as they were."""
+    name = "quality_score"
+    while name in docs.columns:
+        name += "_"
+    return with_score(docs, learn(docs, labels), name).filter(F.col(name) >= 0.5).select(*docs.columns)
