@@ -4,7 +4,8 @@ A plain ``Window.partitionBy(bag).orderBy(stamp)`` puts a whole bag into one tas
 while every group is small, and ``SlicedOrder.fit`` measures it.  When one is not, groups are cut
 into slices of their order column, the window runs per ``(group, slice)``, and what crosses a slice
 edge is carried by a summary of one row per ``(group, slice)``.  Slice edges are literals found
-once, so that a recomputed task sees the same cut.
+once, so that a recomputed task sees the same cut.  The cut only decides where work is done: rows,
+nulls and sums are the same with any edges or none.
 """
 
 from __future__ import annotations
@@ -18,35 +19,43 @@ from pyspark.sql.window import Window
 from pathclear.functions.settling import settle
 
 SLICE = "_slice"
-MAX_SLICES = 1024
-# A group of this many small rows still sorts well inside one task.
-GROUP_ROWS = 2_000_000
+# Rows of a slice; a group of twice as many still sorts well inside one task.
+SLICE_ROWS = 1_000_000
+# Beyond this many edges a slice is found by search in an array instead of nested conditions.
+NESTED = 64
 
 
-def _between(column: Column, bounds: Sequence, first: int) -> Column:
-    """Balanced decision tree: number of bounds <= column, offset by ``first``."""
+def _between(column: Column, bounds: Sequence, first: int = 0) -> Column:
+    """Number of bounds <= column, offset by ``first``; nulls sort first, so they are in slice ``first``."""
     if not bounds:
         return F.lit(first)
+    if len(bounds) > NESTED:
+        edges, steps = F.array(*[F.lit(b) for b in bounds]), [1]
+        while steps[0] * 2 <= len(bounds):
+            steps.insert(0, steps[0] * 2)
+        found = F.aggregate(
+            F.array(*[F.lit(s) for s in steps]), F.lit(0),
+            lambda at, s: F.when(F.try_element_at(edges, at + s) <= column, at + s).otherwise(at),
+        )
+        return found + F.lit(first)
     mid = len(bounds) // 2
     return F.when(
-        column < F.lit(bounds[mid]), _between(column, bounds[:mid], first)
-    ).otherwise(_between(column, bounds[mid + 1 :], first + mid + 1))
+        column >= F.lit(bounds[mid]), _between(column, bounds[mid + 1 :], first + mid + 1)
+    ).otherwise(_between(column, bounds[:mid], first))
 
 
-def slice_bounds(df: DataFrame, column: str, rows_per_slice: int = 1_000_000) -> list:
+def slice_bounds(df: DataFrame, column: str, rows_per_slice: int = SLICE_ROWS) -> list:
     """Edges that split ``df`` into slices of about equal row count along ``column``.
 
-    One pass over one column.  The sketch only places the cuts; it never enters a result.
+    One pass over one column for the count and a sketch; as many slices as the rows need.  The
+    sketch only places the cuts; it never enters a result.
     """
-    grid = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
-    row = df.agg(
-        F.count(column).alias("n"), F.percentile_approx(column, grid, 10_000).alias("q")
-    ).first()
-    if not row or not row["q"]:
+    rows = df.agg(F.count(column).alias("n")).first()["n"]
+    slices = -(-rows // rows_per_slice)
+    if slices < 2:
         return []
-    slices = min(MAX_SLICES, -(-row["n"] // rows_per_slice))
-    picks = [row["q"][round(i * MAX_SLICES / slices) - 1] for i in range(1, slices)]
-    return sorted(set(picks))
+    grid = [i / slices for i in range(1, slices)]
+    return sorted(set(df.agg(F.percentile_approx(column, grid, 10 * slices).alias("q")).first()["q"]))
 
 
 class SlicedOrder:
@@ -58,13 +67,20 @@ class SlicedOrder:
         self.hot = hot
 
     @classmethod
-    def fit(cls, df: DataFrame, keys, order, group_rows=GROUP_ROWS, rows_per_slice=1_000_000):
-        """Slices for a measured table: none while its largest group fits a task."""
+    def fit(cls, df: DataFrame, keys, order, group_rows=2 * SLICE_ROWS, rows_per_slice=SLICE_ROWS):
+        """Slices for a measured table: none while its largest group fits a task.
+
+        The edges are those of the large groups' own rows.
+        """
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
-        if largest <= group_rows:
+        large = sizes.filter(F.col("n") > group_rows).select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+        if large.isEmpty():
             return cls(keys, order, [])
-        return cls(keys, order, slice_bounds(df, order[0], rows_per_slice), hot=True)
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        rows = df.join(large, same, "left_semi")
+        return cls(keys, order, slice_bounds(rows, order[0], rows_per_slice), hot=True)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Adds the slice column.
@@ -74,21 +90,28 @@ class SlicedOrder:
         """
         if not self.bounds or SLICE in df.columns:
             return df
-        sliced = df.withColumn(SLICE, _between(F.col(self.order[0]), self.bounds, 0))
+        sliced = df.withColumn(SLICE, _between(F.col(self.order[0]), self.bounds))
         return settle(sliced) if self.hot else sliced
 
     def local(self):
         return Window.partitionBy(*self.parts).orderBy(*self.order)
 
     def _slices(self):
-        """Window over the slice summaries of a group (at most MAX_SLICES rows per group)."""
+        """Window over the slice summaries of a group (one row for each million of its rows)."""
         return Window.partitionBy(*self.keys).orderBy(SLICE)
 
     def _edge(self) -> Column:
         return F.struct(*[F.col(c) for c in self.order])
 
     def _attach(self, df: DataFrame, summary: DataFrame) -> DataFrame:
-        return df.join(summary, self.parts, "left")
+        """By null-safe keys: rows without a key are a group as well."""
+        other = summary.select(*[
+            F.col(c).alias(f"_p_{c}") if c in self.parts else F.col(c) for c in summary.columns
+        ])
+        same = F.lit(True)
+        for c in self.parts:
+            same = same & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+        return df.join(other, same, "left").drop(*[f"_p_{c}" for c in self.parts])
 
     def _next_pass(self, df: DataFrame) -> DataFrame:
         return settle(df) if self.hot and SLICE in df.columns else self.cut(df)
@@ -113,9 +136,9 @@ class SlicedOrder:
         )
         df = df.withColumns({n: F.sum(e).over(upto) for n, e in sums.items()})
         df = self._attach(df, summary)
-        zero = F.lit(0)
+        # Null only while no value has come, here as without slices.
         df = df.withColumns(
-            {n: F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"_c_{n}"), zero) for n in sums}
+            {n: F.coalesce(F.col(n) + F.col(f"_c_{n}"), F.col(n), F.col(f"_c_{n}")) for n in sums}
         )
         return df.drop(*[f"_c_{n}" for n in sums])
 
@@ -248,7 +271,7 @@ class SlicedOrder:
         edges = edges.select(*self.parts, "_n", joins.alias("_j"))
         shift = F.coalesce(F.sum(F.col("_n") - F.col("_j")).over(before), F.lit(0)) - F.col("_j")
         edges = edges.select(*self.parts, shift.alias("_shift"))
-        return parts.join(edges, self.parts).withColumn(
+        return self._attach(parts, edges).withColumn(
             "island", (F.col("_isl") + F.col("_shift")).cast("long")
         )
 
@@ -264,7 +287,8 @@ class SlicedOrder:
         numbers = self._number(edges, gap).select(
             *self.parts, "_isl", F.col("island").alias(name)
         )
-        return tagged.join(numbers, [*self.parts, "_isl"]).drop("_isl")
+        wide = SlicedOrder([*self.keys, "_isl"], self.order, self.bounds)
+        return wide._attach(tagged, numbers).drop("_isl")
 
     def finish(self, df):
         return df.drop(SLICE)

@@ -62,6 +62,36 @@ def test_islands_do_not_depend_on_the_cut(rows, cuts, gap):
     assert values(by_tag) == values(plain.islands(some, gap).select("bag", "island", "start", "end"))
 
 
+@pytest.mark.parametrize("cuts", [[2], [0], [1, 4], list(range(0, 60))])
+def test_nulls_ties_and_missing_keys_do_not_depend_on_the_cut(spark, cuts):
+    order_of = [None, None, 0, 1, 2, 3, 3, 4, 5, 59, 60]
+    v = [5, None, None, None, None, 1, None, 1, 1, None, 2]
+    rows = spark.createDataFrame(
+        [(bag, t, n, None if bag == "b" and n < 6 else x) for bag in ("a", None, "b") for n, (t, x) in enumerate(zip(order_of, v, strict=True))],
+        "bag string, t int, n int, v int",
+    )
+    results = []
+    for bounds in ([], cuts):
+        order = SlicedOrder(["bag"], ["t", "n"], bounds)
+        df = order.running_sum(rows, {"s": F.col("v")}, {"s": "whole"})
+        for name, step in (("k", order.last_known), ("x", order.next_known)):
+            df = step(df, {name: F.col("v")})
+            df = step(df, {f"{name}_strict": F.col("v")}, inclusive=False)
+        df = order.lead(order.lag(df, "before", F.col("v"), 2), "after", F.col("v"))
+        results.append(values(order.finish(order.tag_islands(df, 1))))
+    assert results[0] == results[1]
+
+
+def test_a_slice_is_the_number_of_edges_passed(spark):
+    from pathclear.functions.ordering import _between
+
+    edges = [float(v) for v in range(0, 300, 3)]
+    rows = spark.createDataFrame([(None,), (-1.0,), *[(v / 2,) for v in range(0, 700, 7)]], "x double")
+    for bounds in (edges[:1], edges[:7], edges[:65], edges):
+        for r in rows.select("x", _between(F.col("x"), bounds).alias("s")).collect():
+            assert r.s == (0 if r.x is None else sum(b <= r.x for b in bounds))
+
+
 def test_measured_hot_group_is_cut_and_settled(rows):
     hot = SlicedOrder.fit(rows, ["bag"], ["t", "n"], group_rows=10, rows_per_slice=40)
     assert hot.hot and 2 <= len(hot.bounds) <= 6
