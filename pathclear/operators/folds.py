@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pathclear.operators.speed import SpeedTracker
+
 
 def ordered_fold(
     df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Callable], schema: str
@@ -82,123 +83,6 @@ class FloorHold:
         return row
 
 
-class SpeedTracker:
-    """Forward speed from error curves: acquires, follows, holds and forgets."""
-
-    STEP_M = 0.05
-    # Limits of the speed estimate.
-    MAX_ACCELERATION, STANDSTILL_SHARE, MIN_UNIQUENESS, LOW_SPEED = 2.0, 0.6, 1.5, 2.0
-    ESCAPE_FRAMES, CONFIRM_FRAMES, HOLD_S, FORGET_S, GAIN = 25, 3, 5.0, 10.0, 0.5
-
-    def __init__(self, min_contrast: float):
-        self.min_contrast = min_contrast
-        self.speed, self.known, self.unconfirmed_s = 0.0, False, 0.0
-        self.pending = (0.0, 0)
-        self.escape = (0.0, 0)
-
-    @staticmethod
-    def _streak(streak, speed):
-        """Consecutive frames at about the same speed."""
-        return speed, streak[1] + 1 if abs(speed - streak[0]) <= 1.0 else 1
-
-    def update(self, errors, dt: float) -> tuple[bool, float]:
-        """(valid, displacement in metres) of one frame; missing errors are infinite."""
-        e = np.asarray(errors, dtype=float) if errors is not None else np.empty(0)
-        top = len(e) - 1
-        if dt <= 0 or top < 4:
-            return False, 0.0
-        known = np.sort(e[np.isfinite(e)])
-        median = known[len(known) // 2] if len(known) >= 4 else np.inf
-        guarded = not self.known or self.speed >= self.LOW_SPEED
-        sharp_zero = e[0] <= self.STANDSTILL_SHARE * median
-
-        def search(centre, window):
-            low = int(max(0.0, np.floor(centre - window)))
-            high = min(top, int(np.ceil(centre + window)))
-            if low > high:
-                return None
-            best = low + int(np.argmin(e[low : high + 1]))
-            clear = np.isfinite(median) and np.isfinite(e[best]) and median - e[best] >= self.min_contrast
-            if not clear or (guarded and best <= 1 and not sharp_zero):
-                return None
-            return best
-
-        def stands_out(shift):
-            wide = np.concatenate([[np.inf], e, [np.inf]])
-            low = np.minimum(np.minimum(wide[:-2], wide[1:-1]), wide[2:])
-            # Flat runs: first and last index of every stretch of equal values.
-            edge = np.flatnonzero(low[1:] != low[:-1]) + 1
-            first = np.concatenate([[0], edge])
-            last = np.concatenate([edge - 1, [top]])
-            value = low[first]
-            padded = np.concatenate([[np.inf], value, [np.inf]])
-            dip = np.isfinite(value) & (padded[:-2] > value) & (padded[2:] > value)
-            far = (first > shift + 3) | (last + 3 < shift)
-            rivals = value[dip & far]
-            rival = max(0.0, float(median - rivals.min())) if len(rivals) else 0.0
-            return median - e[shift] >= self.MIN_UNIQUENESS * rival
-
-        predicted = self.speed * dt / self.STEP_M
-        best = int(np.argmin(e))
-        jump = None
-        if self.known:
-            distinct = (
-                abs(best - predicted) > 2 and (best > 1 or sharp_zero) and np.isfinite(median)
-                and median - e[best] >= self.min_contrast and stands_out(best)
-            )
-            if distinct:
-                speed = best * self.STEP_M / dt
-                self.escape = self._streak(self.escape, speed)
-                jump = speed if self.escape[1] >= self.ESCAPE_FRAMES else None
-            else:
-                self.escape = (self.escape[0], 0)
-        tracked = search(np.floor(predicted + 0.5), 2) if self.known else None
-        candidate = None
-        if tracked is None:
-            reach = 1 + np.ceil(
-                self.MAX_ACCELERATION * (self.unconfirmed_s + dt) * dt / self.STEP_M
-            )
-            candidate = search(predicted, reach) if self.known else search(0, float(top))
-            if candidate is not None and (abs(candidate - best) > 1 or not stands_out(candidate)):
-                candidate = None
-        elif not guarded and abs(best - tracked) > 1 and e[tracked] - e[best] > self.min_contrast:
-            candidate = search(float(best), 0)
-            if candidate is not None and not stands_out(candidate):
-                candidate = None
-        adopted = False
-        if candidate is None:
-            self.pending = (self.pending[0], 0)
-        else:
-            self.pending = self._streak(self.pending, candidate * self.STEP_M / dt)
-            if self.pending[1] >= self.CONFIRM_FRAMES:
-                tracked, adopted = candidate, True
-                self.pending = (self.pending[0], 0)
-        valid, moved = False, 0.0
-        if tracked is not None:
-            measured = tracked * self.STEP_M / dt
-            if not adopted and self.unconfirmed_s == 0 and self.known:
-                change = self.GAIN * (measured - self.speed)
-                if guarded:
-                    limit = self.MAX_ACCELERATION * dt
-                    change = min(max(change, -limit), limit)
-                self.speed += change
-            else:
-                self.speed = measured
-            self.unconfirmed_s, self.known, valid = 0.0, True, True
-            moved = self.speed * dt
-        elif self.known:
-            self.unconfirmed_s += dt
-            if self.unconfirmed_s <= self.HOLD_S:
-                valid, moved = True, self.speed * dt
-            elif self.unconfirmed_s > self.FORGET_S:
-                self.known = False
-        if jump is not None:
-            self.speed, self.unconfirmed_s, self.known = jump, 0.0, True
-            self.pending, self.escape = (self.pending[0], 0), (self.escape[0], 0)
-            valid, moved = True, jump * dt
-        return valid, moved
-
-
 class MotionAndRoute:
     """Speed, odometry and the smoothed route over the analysable frames of one life."""
 

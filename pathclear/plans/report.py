@@ -1,88 +1,112 @@
-"""Markdown reports from aggregated tables; what was not measured is N/A."""
+"""Markdown reports: every line is made by Spark, sorted there, and streamed to its file.
+
+A section is a table of a DataFrame's rows. What was not measured is a dash. The number of recordings, events
+or bins does not matter: no section is gathered on the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def shown(value, spec: str = ".3f", suffix: str = "") -> str:
-    return "N/A" if value is None else f"{value:{spec}}{suffix}"
+NOTE = (
+    "Alarms are compared with labels frame by frame, so a hit may belong to another object in view. "
+    "A dash stands for what was not measured."
+)
 
 
-def table(head: list[str], rows: list[list[str]]) -> list[str]:
-    return [
-        "| " + " | ".join(head) + " |", "|" + "---|" * len(head),
-        *["| " + " | ".join(row) + " |" for row in rows], "",
-    ]
+def number(value, decimals: int = 2) -> Column:
+    return F.format_number(F.col(value) if isinstance(value, str) else value, decimals)
 
 
-def quality_markdown(tables: dict[str, DataFrame], totals: DataFrame, ranges: DataFrame | None = None) -> str:
-    """Report of a scored run.  Only one row per recording, split, event or bin is collected."""
-    lines = [
-        "# Detection quality", "",
-        "Frame and event figures are state-level upper bounds: an alarm may belong to another object.",
-        "", "## Per split", "",
-    ]
-    lines += table(
-        ["split", "frames +/-/?", "TP", "FN (UNKNOWN)", "FP", "recall", "precision", "false alarms",
-         "events", "FP events/min", "object hits"],
-        [[
-            s["split"], f"{s['positive_frames']}/{s['negative_frames']}/{s['uncertain_frames']}",
-            str(s["tp"]), f"{s['fn']} ({s['unknown_on_positive']})", str(s["fp"]),
-            shown(s["frame_recall"], ".1%"), shown(s["frame_precision"], ".1%"),
-            shown(s["false_alarm_rate"], ".1%"), f"{s['detected_events']}/{s['positive_events']}",
-            shown(s["fp_events_per_min"], ".2f"), f"{s['object_hits']}/{s['object_reference_frames']}",
-        ] for s in sorted(totals.collect(), key=lambda s: (s["split"] == "total", s["split"]))],
-    )
-    if ranges is not None:
-        lines += ["## Within the working range", "", *table(
-            ["split", "range, m", "references (beyond)", "OBSTACLE", "hits", "state recall", "object recall"],
-            [[
-                r["split"], ", ".join(f"{v:g}" for v in r["ranges_m"]),
-                f"{r['reference_frames']} ({r['beyond_frames']})", str(r["obstacle"]), str(r["hits"]),
-                shown(r["state_recall"], ".1%"), shown(r["object_recall"], ".1%"),
-            ] for r in ranges.collect()],
-        )]
-    lines += ["## Per recording", ""]
-    cover = {r["bag_id"]: r for r in tables["coverage_scored"].collect()}
-    timing = {r["bag_id"]: r for r in tables["summary"].collect()}
-    lines += table(
-        ["recording", "frames", "TP/FN", "FP", "evaluated", "median range, m", "p95, ms"],
-        [[
-            str(r["bag_id"]), str(timing[r["bag_id"]]["frames"]), f"{r['tp']}/{r['fn']}",
-            f"{r['fp']}/{r['negative_frames']}", shown(cover.get(r["bag_id"], {"observed": None})["observed"], ".0%"),
-            shown(cover[r["bag_id"]]["median_evaluated_range_m"] if r["bag_id"] in cover else None, ".1f"),
-            shown(timing[r["bag_id"]]["p95"], ".1f"),
-        ] for r in sorted(tables["frame"].collect(), key=lambda r: str(r["bag_id"]))],
+def share(value) -> Column:
+    return F.concat(number(100 * (F.col(value) if isinstance(value, str) else value), 1), F.lit(" %"))
+
+
+def section(place: int, title: str, rows: DataFrame, cells: Mapping[str, Column], by: list[Column]) -> DataFrame:
+    """Lines of one table: ``place, part, k1, k2, line``; ``by`` sorts its rows (a text, then a number)."""
+    k1, k2 = [*by, F.lit(None), F.lit(None)][:2]
+    shown = [F.coalesce(c.cast("string"), F.lit("-")) for c in cells.values()]
+    body = rows.select(
+        F.lit(place).alias("place"), F.lit(1).alias("part"), k1.cast("string").alias("k1"), k2.cast("double").alias("k2"),
+        F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |")).alias("line"),
     )
-    lines += ["## Events", ""]
-    for e in sorted(tables["events"].collect(), key=lambda e: (str(e["bag_id"]), str(e["id"]))):
-        lines.append(
-            f"- {e['bag_id']} `{e['id']}`: {'detected' if e['detected'] else 'missed'}, "
-            f"{e['obstacle_frames']}/{e['frames']} alarm frames, first after "
-            f"{shown(e['first_alarm_delay_s'], '.2f', ' s')} at {shown(e['first_alarm_distance_m'], '.2f', ' m')}; "
-            f"object {'confirmed' if e['object_confirmed'] else 'not confirmed'} at "
-            f"{shown(e['first_matched_distance_m'], '.2f', ' m')}."
-        )
-    lines += ["", "## Objects by distance", "", *table(
-        ["recording", "from, m", "frames", "OBSTACLE", "hits", "recall"],
-        [[str(r["bag_id"]), str(r["from_m"]), str(r["frames"]), str(r["obstacle"]), str(r["hits"]),
-          shown(r["recall"], ".0%")]
-         for r in sorted(tables["by_distance"].collect(), key=lambda r: (str(r["bag_id"]), r["from_m"]))],
-    )]
-    return "\n".join(lines)
-
-
-def runtime_markdown(summary: dict) -> str:
-    lines = [
-        "# Run", "", f"Frames: {summary['frames']}", f"UNKNOWN: {shown(summary['unknown_fraction'], '.1%')}", "",
-        *table(["processing", "ms"], [[p, shown(summary[p])] for p in ("p50", "p95", "p99")]),
-        "Detection quality (TP/FP/FN, distance error) was not scored.", "",
+    head = f"\n## {title}\n\n| {' | '.join(cells)} |\n|{':--|' * len(cells)}"
+    top = rows.sparkSession.range(1).select(
+        F.lit(place).alias("place"), F.lit(0).alias("part"), F.lit(None).cast("string").alias("k1"),
+        F.lit(None).cast("double").alias("k2"), F.lit(head).alias("line"))
+    return top.unionByName(body)
+
+
+def quality_report(tables: Mapping[str, DataFrame], totals: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """Lines of the report of a scored run, in order (one column ``line``)."""
+    c = F.col
+    last = F.when(c("split") == "total", F.lit("~")).otherwise(c("split"))
+    parts = [
+        section(1, "Splits: frames", totals, {
+            "split": c("split"), "with object": c("positive_frames"), "free": c("negative_frames"), "unclear": c("uncertain_frames"),
+            "alarms on objects": c("tp"), "missed": c("fn"), "of these undecided": c("unknown_on_positive"),
+            "alarms on free track": c("fp"), "found": share("frame_recall"), "right alarms": share("frame_precision"),
+            "free frames alarmed": share("false_alarm_rate"),
+        }, [last]),
+        section(2, "Splits: events and objects", totals, {
+            "split": c("split"), "events": c("positive_events"), "events with an alarm": c("detected_events"),
+            "false events a minute": number("fp_events_per_min"), "object references": c("object_reference_frames"),
+            "objects hit": c("object_hits"),
+        }, [last]),
+        section(4, "Recordings", tables["frame"].select("bag_id", "tp", "fn", "fp", "negative_frames").join(
+            tables["summary"].select("bag_id", "frames", "p95"), "bag_id", "left").join(
+            tables["coverage_scored"].select("bag_id", "observed", "median_evaluated_range_m"), "bag_id", "left"), {
+            "recording": c("bag_id"), "frames": c("frames"), "hit": c("tp"), "missed": c("fn"), "false": c("fp"),
+            "free": c("negative_frames"), "decided": share("observed"), "range looked at (median, m)": number("median_evaluated_range_m", 1),
+            "ms (p95)": number("p95", 1),
+        }, [c("bag_id")]),
+        section(5, "Events", tables["events"], {
+            "recording": c("bag_id"), "event": c("id"), "alarmed": c("detected"), "frames with alarm": c("obstacle_frames"),
+            "frames": c("frames"), "first alarm after (s)": number("first_alarm_delay_s"), "at (m)": number("first_alarm_distance_m"),
+            "own object seen": c("object_confirmed"), "first at (m)": number("first_matched_distance_m"),
+        }, [F.concat_ws("/", "bag_id", "id")]),
+        section(6, "Objects by distance", tables["by_distance"], {
+            "recording": c("bag_id"), "from (m)": c("from_m"), "references": c("frames"), "alarmed": c("obstacle"),
+            "hit": c("hits"), "hit share": share("recall"),
+        }, [c("bag_id"), c("from_m")]),
+        section(7, "Objects that must raise no alarm", tables["negative_objects"], {
+            "recording": c("bag_id"), "references": c("reference_frames"), "with an alarm on it": c("alarm_frames"),
+        }, [c("bag_id")]),
     ]
-    return "\n".join(lines)
+    if ranges is not None:
+        parts.append(section(3, "Splits: within the working range", ranges, {
+            "split": c("split"), "ranges (m)": F.concat_ws(", ", F.transform("ranges_m", lambda r: number(r, 0))),
+            "references": c("reference_frames"), "farther away": c("beyond_frames"), "alarmed": c("obstacle"), "hit": c("hits"),
+            "alarmed share": share("state_recall"), "hit share": share("object_recall"),
+        }, [last]))
+    title = totals.sparkSession.range(1).select(
+        F.lit(0).alias("place"), F.lit(0).alias("part"), F.lit(None).cast("string").alias("k1"),
+        F.lit(None).cast("double").alias("k2"), F.lit(f"# Quality of a run\n\n{NOTE}").alias("line"))
+    return reduce(DataFrame.unionByName, parts, title).orderBy("place", "part", "k1", "k2").select("line")
+
+
+def runtime_report(summary: Mapping) -> list[str]:
+    """Lines for a run without labels."""
+    lines = ["# Times of a run", "", f"{summary['frames']} frames, quality not scored.", ""]
+    unknown = summary["unknown_fraction"]
+    lines.append(f"- undecided: {'-' if unknown is None else f'{100 * unknown:.1f} %'}")
+    return lines + [f"- {p} (ms): {'-' if summary[p] is None else round(summary[p], 3)}" for p in ("p50", "p95", "p99")]
 
 
-def write_new(text: str, path: str) -> None:
-    """A report never replaces an earlier one."""
-    with open(path, "x") as out:
-        out.write(text)
+def write_new(lines: DataFrame, path: str) -> None:
+    """Streams lines to a file of any store Spark can write; never replaces an earlier report."""
+    spark = lines.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(where):
+        raise FileExistsError(path)
+    out = files.create(where, False)
+    try:
+        for row in lines.toLocalIterator():
+            out.write(bytearray(row["line"] + "\n", "utf-8"))
+    finally:
+        out.close()

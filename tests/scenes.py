@@ -1,4 +1,8 @@
-"""Programmatic point scenes and their frame tables."""
+"""Point scenes made of surfaces, and their frame tables.
+
+A scene is a stack of surfaces, each the grid of an x, a y and a z axis; the sensor stands at the origin, one
+metre above the floor. Bends and slopes are maps of finished scenes.
+"""
 
 from __future__ import annotations
 
@@ -9,65 +13,79 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 IDENTITY = [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0]
+FLOOR_Z = -1.0
+
+
+def grid(x, y, z):
+    """All combinations of three axes as points."""
+    mesh = np.meshgrid(np.atleast_1d(x), np.atleast_1d(y), np.atleast_1d(z), indexing="ij")
+    return np.column_stack([axis.ravel() for axis in mesh]).astype(float)
+
 
+def spread(low, high, step):
+    """Even places from ``low`` to ``high``, both included, about ``step`` apart."""
+    return np.linspace(low, high, max(2, int(round((high - low) / step)) + 1))
 
-def floor(x_from, x_to, grade=0.0):
-    x, y = np.meshgrid(np.arange(x_from, x_to + 1.0), np.arange(-12, 13) * 0.2, indexing="ij")
-    return np.column_stack([x.ravel(), y.ravel(), -1.0 + grade * x.ravel()])
+
+def floor(x_from, x_to, grade=0.0, half_width=2.4):
+    """Level (or rising) floor, every other row shifted sideways by half a step."""
+    x, step = spread(x_from, x_to, 0.9), 0.22
+    y = np.arange(-half_width, half_width + 1e-9, step)
+    even, odd = grid(x[::2], y, FLOOR_Z), grid(x[1::2], y[:-1] + step / 2, FLOOR_Z)
+    points = np.concatenate([even, odd])
+    points[:, 2] += grade * points[:, 0]
+    return points
 
 
 def box(x, y0, y1, h0, h1):
-    """Lattice of 8 cm, 0.49 m deep, heights above z = -1."""
-    xs = np.arange(x, x + 0.49, 0.08)
-    ys = np.arange(y0, y1 + 1e-9, 0.08)
-    zs = -1.0 + np.arange(h0, h1 + 1e-9, 0.08)
-    return np.stack(np.meshgrid(xs, ys, zs, indexing="ij"), -1).reshape(-1, 3)
+    """Solid half a metre deep, from one height above the floor to another."""
+    return grid(spread(x, x + 0.48, 0.07), spread(y0, y1, 0.07), FLOOR_Z + spread(h0, h1, 0.07))
+
+
+def block():
+    """A chest of a person's size on the track, twenty metres ahead."""
+    return box(20, -0.32, 0.32, 0.3, 1.6)
 
 
 def flat_scene(obstacle):
-    pts = [floor(4, 50)]
-    if obstacle:
-        g = np.meshgrid(20 + np.arange(7) * 0.08, -0.32 + np.arange(9) * 0.08,
-                        -0.7 + np.arange(12) * 0.12, indexing="ij")
-        pts.append(np.stack(g, -1).reshape(-1, 3))
-    return np.concatenate(pts)
+    return np.concatenate([floor(4, 50), block()] if obstacle else [floor(4, 50)])
+
+
+def _line_side(length=300.0):
+    """Things along a line, in its own coordinates: posts at uneven gaps, walls that step in and out."""
+    rng = np.random.default_rng(20)
+    parts, at = [], 4.0
+    while at < length:
+        parts.append(grid(at + np.array([0.0, 0.08, 0.16, 0.24]), [-1.95, 1.85], FLOOR_Z + spread(0, 2.4, 0.12)))
+        at += rng.uniform(8.0, 15.0)
+    at, wide = 0.0, 2.55
+    while at < length:
+        panel = rng.uniform(0.8, 3.2)
+        parts.append(grid(np.arange(at, at + panel, 0.1), [-wide, wide], FLOOR_Z + spread(0.3, 2.9, 0.28)))
+        at, wide = at + panel, 5.6 - wide
+    return np.concatenate(parts)
+
+
+LINE_SIDE = _line_side()
 
 
 def moving_tunnel(i, speed, obstacle=False):
-    """Tunnel with irregular posts and niches, seen after ``i`` frames at 10 Hz."""
-    travelled = speed * 0.1 * i
-    pts = [floor(1, 100)]
-    spacing = [9.3, 13.7, 8.9, 14.4, 11.8, 10.1, 15.2, 12.2]
-    post, n = 3.0, 0
-    while post < 260:
-        x = post - travelled
-        if 1 <= x <= 100:
-            g = np.meshgrid(x + np.array([0, 0.1, 0.2]), [-1.9, 1.8], -1 + np.arange(0, 2.45, 0.1), indexing="ij")
-            pts.append(np.stack(g, -1).reshape(-1, 3))
-        post += spacing[n % 8]
-        n += 1
-    niche = [0.7, 2.9, 1.3, 2.1, 0.9, 3.0, 1.6, 2.4, 1.1]
-    edge, n = 0.0, 0
-    while edge < 260:
-        lateral = 3.0 if n % 2 else 2.6
-        xs = np.arange(edge, edge + niche[n % 9] - 1e-9, 0.1) - travelled
-        xs = xs[(xs >= 1) & (xs <= 100)]
-        g = np.meshgrid(xs, [-lateral, lateral], -1 + np.arange(0.3, 2.95, 0.3), indexing="ij")
-        pts.append(np.stack(g, -1).reshape(-1, 3))
-        edge += niche[n % 9]
-        n += 1
-    if obstacle:
-        pts.append(box(20, -0.4, 0.4, 0.3, 1.7))
-    return np.concatenate(pts)
+    """What is seen of the line after ``i`` frames at 10 Hz; the floor looks the same everywhere."""
+    seen = LINE_SIDE - [speed * 0.1 * i, 0, 0]
+    seen = seen[(seen[:, 0] >= 1) & (seen[:, 0] <= 100)]
+    return np.concatenate([floor(1, 100), seen, *([box(20, -0.4, 0.4, 0.3, 1.7)] if obstacle else [])])
+
+
+def bend(points, radius):
+    """The scene along a track that curves to the left."""
+    out = points.copy()
+    out[:, 1] += out[:, 0] ** 2 / (2 * radius)
+    return out
 
 
 def curved_tunnel(radius):
-    """Floor and walls bending left along y = x^2 / (2 radius)."""
-    x, off = np.meshgrid(np.arange(1.0, 91.0), np.arange(-9, 10) * 0.2, indexing="ij")
-    ground = np.column_stack([x.ravel(), x.ravel() ** 2 / (2 * radius) + off.ravel(), np.full(x.size, -1.0)])
-    xs, hs, side = np.meshgrid(np.arange(1, 90.1, 0.25), np.arange(0.2, 3.01, 0.2), [-2.3, 2.3], indexing="ij")
-    wall = np.column_stack([xs.ravel(), xs.ravel() ** 2 / (2 * radius) + side.ravel(), -1 + hs.ravel()])
-    return np.concatenate([ground, wall])
+    walls = grid(spread(1, 90, 0.24), [-2.3, 2.3], FLOOR_Z + spread(0.2, 3.0, 0.2))
+    return bend(np.concatenate([floor(1, 90, half_width=1.8), walls]), radius)
 
 
 def frame(source, seq, points, stamp_ns=0, session=1, verified=False, allow=True, tf=True,

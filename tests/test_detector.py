@@ -134,7 +134,7 @@ def test_resets_restart_the_warm_up(rolling):
 
 
 def test_held_floor_reveals_but_never_certifies(spark):
-    near = np.concatenate([s.floor(4, 15), s.flat_scene(True)[1175:]])
+    near = np.concatenate([s.floor(4, 15), s.block()])
     bare = s.floor(4, 15)
     plan = [s.flat_scene(False)] * 3 + [near, bare, bare, bare, s.flat_scene(False)]
     frames = [s.frame("hold", i + 1, p, ns(i)) for i, p in enumerate(plan)]

@@ -202,13 +202,16 @@ def test_scoring_of_a_run(spark, run, tmp_path):
     assert total["total"]["object_recall"] == pytest.approx(0.25)
     near = {r["split"]: r for r in range_totals(tables, splits).collect()}
     assert near["total"]["ranges_m"] == [20.0] and near["total"]["hits"] == 1
-    text = report.quality_markdown(tables, totals(bag_counts(tables), splits), range_totals(tables, splits))
-    assert "| unassigned | 0/61/0 | 0 | 0 (0) | 6 | N/A | N/A | 9.8% | 0/0 | 30.00 | 0/0 |" in text
+    lines = report.quality_report(tables, totals(bag_counts(tables), splits), range_totals(tables, splits))
+    text = "\n".join(r["line"] for r in lines.collect())
+    assert "| unassigned | 0 | 61 | 0 | 0 | 0 | 0 | 6 | - | - | 9.8 % |" in text
+    assert text.index("| validation |") < text.index("| total |") < text.index("within the working range") < text.index("## Recordings")
     late = {r["bag_id"]: r for r in holdout(exports, blind).collect()}
     assert (late["one"]["frames"], late["one"]["events"], late["gone"]["frames"]) == (51, 2, None)
-    report.write_new(text, str(tmp_path / "q.md"))
+    report.write_new(lines, str(tmp_path / "q.md"))
+    assert (tmp_path / "q.md").read_text() == text + "\n"
     with pytest.raises(FileExistsError):
-        report.write_new(text, str(tmp_path / "q.md"))
+        report.write_new(lines, str(tmp_path / "q.md"))
 
 
 def test_summary_refuses_nan_and_old_files(tmp_path):

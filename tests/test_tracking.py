@@ -5,7 +5,7 @@ import math
 import pytest
 
 from pathclear.config import ConfigError, TemporalConfig
-from pathclear.operators.folds import SpeedTracker
+from pathclear.operators.speed import SpeedTracker
 from pathclear.operators.tracking import Monitor, OrderGate
 
 
