@@ -38,7 +38,7 @@ class Box:
 
 @dataclass(frozen=True)
 class DetectorConfig:
-    max_points: int = 2_000_000
+    max_points: int | None = None
     record_rejected: bool = False
     record_motion: bool = False
     blind_radius_m: float = 0.5
@@ -172,6 +172,8 @@ class DetectorConfig:
             ("ego_min_contrast", 0, 0.3, False, True),
         ):
             value = getattr(self, name)
+            if value is None:
+                continue
             above = value >= low if low_ok else value > low
             below = value <= high if high_ok else value < high
             _check(above and below, f"{name} out of range: {value}")
@@ -224,7 +226,7 @@ class TemporalConfig:
     still_speed_mps: float = 0.0
     still_min_points: int = 50
     max_gap_s: float = 0.5
-    max_tracks: int = 64
+    max_tracks: int | None = None
     assumed_clear: bool = False
     assumed_clear_min_range_m: float = 50.0
 
@@ -244,7 +246,7 @@ class TemporalConfig:
             value = getattr(self, name)
             _check(_finite(value) and value > 0, f"{name} out of range")
         _check(1 <= self.release_misses <= 32, "release_misses out of range")
-        _check(1 <= self.max_tracks <= 1024, "max_tracks out of range")
+        _check(self.max_tracks is None or 1 <= self.max_tracks <= 1024, "max_tracks out of range")
 
     @property
     def longest_window(self) -> int:
@@ -256,13 +258,18 @@ class TemporalConfig:
 
 @dataclass(frozen=True)
 class CloudLimits:
-    max_points: int = 2_000_000
-    max_cloud_bytes: int = 256 << 20
+    """Limits of a cloud message; none unless a profile sets them."""
+
+    max_points: int | None = None
+    max_cloud_bytes: int | None = None
 
     def __post_init__(self):
-        _check(1 <= self.max_points <= MAX_POINT_LIMIT, "max_points must be in [1, 10000000]")
         _check(
-            1 <= self.max_cloud_bytes <= MAX_CLOUD_BYTE_LIMIT,
+            self.max_points is None or 1 <= self.max_points <= MAX_POINT_LIMIT,
+            "max_points must be in [1, 10000000]",
+        )
+        _check(
+            self.max_cloud_bytes is None or 1 <= self.max_cloud_bytes <= MAX_CLOUD_BYTE_LIMIT,
             "max_cloud_bytes must be in [1, 1073741824]",
         )
 

@@ -39,7 +39,8 @@ def settle(df: DataFrame) -> DataFrame:
 def settle_by(df: DataFrame, keys: list[str]) -> DataFrame:
     """The same rows as a table bucketed by ``keys``: later groups and joins on them move nothing.
 
-    One task writes one bucket, so there are as many files as shuffle partitions.
+    One task writes one bucket, so there are as many files as shuffle partitions; like any shuffle of the
+    session it is sized by that setting.
     """
     spark = df.sparkSession
     name, path = _fresh(spark)

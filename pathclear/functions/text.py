@@ -51,7 +51,7 @@ def channels_from_reasons(reasons: Column) -> Column:
 def offset_from_reasons(reasons: Column) -> Column:
     """Value of the last well-formed ``OFFSET=<float>`` entry; null when there is none."""
     texts = F.filter(reasons, lambda r: r.startswith("OFFSET="))
-    values = F.transform(texts, lambda r: F.substring(r, 8, 64).try_cast("double"))
+    values = F.transform(texts, lambda r: r.substr(F.lit(8), F.length(r)).try_cast("double"))
     good = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     return F.try_element_at(good, F.lit(-1))
 

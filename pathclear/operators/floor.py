@@ -144,11 +144,12 @@ def shift_curve(
 
 def touches_wall(
     low: Column, high: Column, far_cells: Column, cell_m: float = 0.5, wall_m: float = 1.6,
-    limit: int = 4000,
+    limit: int | None = None,
 ) -> Column:
     """Whether far returns lead cell by cell from a box to the wall zone beside the route.
 
-    ``far_cells``: array of structs ix, iy, offset (one per plan cell of the frame).
+    ``far_cells``: array of structs ix, iy, offset (one per plan cell of the frame).  ``limit`` gives up after so
+    many cells; none by default.
     """
 
     @F.pandas_udf("boolean")
@@ -162,7 +163,7 @@ def touches_wall(
                 for iy in range(corner[1], corner[3] + 1) if (ix, iy) in offset
             ]
             seen, stack, hit = set(start), start, False
-            while stack and len(seen) < limit and not hit:
+            while stack and not hit and (limit is None or len(seen) < limit):
                 ix, iy = stack.pop()
                 hit = abs(offset[ix, iy]) >= wall_m
                 for near_cell in ((ix + dx, iy + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)):

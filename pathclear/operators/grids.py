@@ -229,7 +229,7 @@ def depth_pixels(
         trunc((F.col(ring) - F.col("_lo")) * (height - 1)
               / F.when(flat, 1).otherwise(F.col("_hi") - F.col("_lo")))
     )
-    tenth_mm = F.least(F.col("range") * 1e4, F.lit(float(2**31))).cast("long")
+    tenth_mm = (F.col("range") * 1e4).cast("long")
     return (
         seen.withColumns({
             "px_row": F.least(F.greatest(row, F.lit(0)), F.lit(height - 1)),

@@ -101,7 +101,7 @@ def block_report(points: DataFrame, channels: DataFrame, keys: list[str]) -> Dat
 
 
 def gap_clusters(
-    points: DataFrame, keys: list[str], gap_x: float = 3.0, gap_y: float = 1.5, bounds=None
+    points: DataFrame, keys: list[str], gap_x: float = 3.0, gap_y: float = 1.5
 ) -> DataFrame:
     """Points cut at gaps along x, then each part at gaps across y: count and exact box.
 
@@ -110,9 +110,9 @@ def gap_clusters(
     merged = points.groupBy(*keys, "x", "y").agg(
         F.count(F.lit(1)).alias("n"), F.min("z").alias("lo_z"), F.max("z").alias("hi_z")
     )
-    x_order = SlicedOrder(keys, ["x", "y"], bounds or [float(v) for v in range(20, 200, 20)])
+    x_order = SlicedOrder.fit(merged, keys, ["x", "y"])
     parts = x_order.finish(x_order.tag_islands(merged, gap_x, "gx"))
-    y_order = SlicedOrder([*keys, "gx"], ["y", "x"], [-1.0, 1.0])
+    y_order = SlicedOrder.fit(parts, [*keys, "gx"], ["y", "x"])
     parts = y_order.finish(y_order.tag_islands(parts, gap_y, "gy"))
     return parts.groupBy(*keys, "gx", "gy").agg(
         F.sum("n").alias("n"), F.min("x").alias("min_x"), F.min("y").alias("min_y"),

@@ -73,7 +73,7 @@ def count_fates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def admission_reason(
-    point_count: Column, max_points: int, transform_available: Column, transform_valid: Column,
+    point_count: Column, max_points: int | None, transform_available: Column, transform_valid: Column,
     overflow: Column, verified: Column, allow_unverified: Column, geometry_points: Column,
 ) -> Column:
     """First reason that stops a frame before the detector; null when it is admitted."""

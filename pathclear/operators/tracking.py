@@ -161,7 +161,7 @@ class Monitor:
             t for t in self.tracks
             if t.distance_m > 0 and t.misses < (cfg.release_misses if t.confirmed else longest)
         ]
-        if len(self.tracks) > cfg.max_tracks:
+        if cfg.max_tracks is not None and len(self.tracks) > cfg.max_tracks:
             self.tracks.sort(key=lambda t: (not t.confirmed, -t.hits(longest), t.distance_m))
             sure = sum(t.confirmed for t in self.tracks)
             self.tracks = self.tracks[: max(cfg.max_tracks, sure)]

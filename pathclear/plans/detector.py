@@ -33,12 +33,12 @@ MAX_GAP_NS = 2_000_000_000
 def unfold(frames: DataFrame, config: DetectorConfig) -> DataFrame:
     """One row per raw point of every frame that may be transformed.
 
-    A frame beyond ``max_points`` is refused before it is unfolded, which bounds every per-frame
-    group from here on.  Frames are spread before they grow.
+    Frames are spread before they grow.  Where a profile sets ``max_points``, a frame beyond it is
+    refused before it is unfolded.
     """
     count = F.coalesce(F.size("points"), F.lit(0))
     usable = frames.filter(
-        (count <= config.max_points) & F.col("transform_available")
+        (F.lit(True) if config.max_points is None else count <= config.max_points) & F.col("transform_available")
         & g.valid_rotation(F.col("rotation"), F.col("translation"))
     )
     turn = [F.get("rotation", i).alias(f"r{i}") for i in range(9)]

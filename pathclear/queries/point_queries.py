@@ -335,20 +335,21 @@ def front_percentiles(spark, sf_dir):
     return found.select("n", *[F.round(c, 6).alias(c) for c in ("p1", "p50", "p99")])
 
 
-@query("q_corridor_columns", """
-WITH grid AS (SELECT DISTINCT l_suppkey % 720 AS col FROM lineitem)
-SELECT col, -180.0e0 + (col + 0.5e0) * 0.5e0 AS center_deg,
-  CAST(abs(((-180.0e0 + (col + 0.5e0) * 0.5e0) - 170.0e0 + 180.0e0) - 360.0e0 * floor(((-180.0e0 + (col + 0.5e0) * 0.5e0) - 170.0e0 + 180.0e0) / 360.0e0) - 180.0e0) <= 20 AS INTEGER) AS in_sector
-FROM grid""")
+@query("q_corridor_columns", f"""
+WITH {POINTS_SQL}, grid AS (
+  SELECT CAST(floor((180.0e0 - degrees(atan2(y, x))) / 0.5e0) AS BIGINT) AS col, count(*) AS points FROM points GROUP BY 1
+), centred AS (SELECT *, -180.0e0 + (col + 0.5e0) * 0.5e0 AS center_deg FROM grid)
+SELECT col, points, center_deg,
+  CAST(abs((center_deg - 170.0e0 + 180.0e0) - 360.0e0 * floor((center_deg - 170.0e0 + 180.0e0) / 360.0e0) - 180.0e0) <= 20 AS INTEGER) AS in_sector
+FROM centred""")
 def corridor_columns(spark, sf_dir):
-    """grid columns whose centre lies in a sector, across the +-180 degree seam."""
-    grid = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        (F.col("l_suppkey") % 720).alias("col")
-    ).distinct()
+    """azimuth columns of all points, looked at backwards, and those in a sector across the seam."""
+    backwards = F.floor((180.0 - F.degrees(F.atan2("y", "x"))) / 0.5)
+    grid = points(spark, sf_dir).groupBy(backwards.cast("long").alias("col")).agg(F.count(F.lit(1)).alias("points"))
     center = -180.0 + (F.col("col") + 0.5) * 0.5
     turn = g.wrapped_offset_deg(center, 170.0)
     return grid.select(
-        "col", center.alias("center_deg"), (F.abs(turn) <= 20).cast("int").alias("in_sector")
+        "col", "points", center.alias("center_deg"), (F.abs(turn) <= 20).cast("int").alias("in_sector")
     )
 
 
@@ -391,7 +392,7 @@ def floor_support(spark, sf_dir):
 @query("q_plane_lsq", f"""
 WITH {POINTS_SQL}, s AS (
   SELECT frame_seq, sum(x*x) sxx, sum(x*y) sxy, sum(x) sx, sum(y*y) syy, sum(y) sy, count(*) n,
-    sum(x*z) sxz, sum(y*z) syz, sum(z) sz FROM points WHERE z <= 0.5 GROUP BY frame_seq
+    sum(x*z) sxz, sum(y*z) syz, sum(z) sz FROM points GROUP BY frame_seq
 ), d AS (
   SELECT *, sxx * (syy * n - sy * sy) - sxy * (sxy * n - sy * sx) + sx * (sxy * sy - syy * sx) AS det FROM s
 )
@@ -402,8 +403,7 @@ SELECT frame_seq, n,
 FROM d""")
 def plane_lsq(spark, sf_dir):
     """K3: least-squares plane per frame from nine sums."""
-    low = points(spark, sf_dir).filter(F.col("z") <= 0.5)
-    return grids.least_squares_plane(low, FRAME).select(
+    return grids.least_squares_plane(points(spark, sf_dir), FRAME).select(
         "frame_seq", "n", *[F.round(c, 6).alias(c) for c in "abc"]
     )
 
@@ -553,7 +553,7 @@ def channel_groups(spark, sf_dir):
 
 @query("q_ring_order", f"""
 WITH {POINTS_SQL}, known AS (
-  SELECT frame_seq, CAST(round(z * 2) + 4 AS INTEGER) AS ring, median({ELEVATION_SQL}) AS el FROM points WHERE z <> 0 GROUP BY ALL
+  SELECT frame_seq, CAST(p.ring AS INTEGER) AS ring, median({ELEVATION_SQL}) AS el FROM points p GROUP BY ALL
 ), rings AS (
   SELECT frame_seq, unnest(range(0, top + 1)) AS ring FROM (SELECT frame_seq, max(ring) AS top FROM known GROUP BY frame_seq)
 ), filled AS (
@@ -569,9 +569,8 @@ WITH {POINTS_SQL}, known AS (
 SELECT frame_seq, ring, round(el, 6) AS elevation, row_number() OVER (PARTITION BY frame_seq ORDER BY el, ring) - 1 AS image_row FROM done""")
 def ring_order(spark, sf_dir):
     """Rings in order of their median elevation; empty rings interpolated."""
-    seen = points(spark, sf_dir).filter(F.col("z") != 0)
-    ring = (F.round(F.col("z") * 2) + 4).cast("int")
-    rows = inserted.ring_rows(seen.withColumns({"ring": ring, "elevation": _elevation()}), FRAME)
+    seen = points(spark, sf_dir).withColumns({"ring": F.col("ring").cast("int"), "elevation": _elevation()})
+    rows = inserted.ring_rows(seen, FRAME)
     return rows.select(
         "frame_seq", "ring", F.round("elevation", 6).alias("elevation"),
         F.col("image_row").cast("long").alias("image_row"),
@@ -692,14 +691,12 @@ def inserted_block(spark, sf_dir):
 
 
 @query("q_gap_clusters", f"""
-WITH {POINTS_SQL}, edge AS (
-  SELECT * FROM points WHERE z = 2 AND abs(y) >= 1
-), a AS (
-  SELECT *, CASE WHEN x - lag(x) OVER w <= 3 THEN 0 ELSE 1 END AS new FROM edge WINDOW w AS (PARTITION BY frame_seq ORDER BY x, raw_index)
+WITH {POINTS_SQL}, a AS (
+  SELECT *, CASE WHEN x - lag(x) OVER w <= 0.3e0 THEN 0 ELSE 1 END AS new FROM points WINDOW w AS (PARTITION BY frame_seq ORDER BY x, raw_index)
 ), b AS (
   SELECT *, sum(new) OVER (PARTITION BY frame_seq ORDER BY x, raw_index) AS gx FROM a
 ), c AS (
-  SELECT *, CASE WHEN y - lag(y) OVER w <= 1.5 THEN 0 ELSE 1 END AS newy FROM b WINDOW w AS (PARTITION BY frame_seq, gx ORDER BY y, raw_index)
+  SELECT *, CASE WHEN y - lag(y) OVER w <= 0.4e0 THEN 0 ELSE 1 END AS newy FROM b WINDOW w AS (PARTITION BY frame_seq, gx ORDER BY y, raw_index)
 ), d AS (
   SELECT *, sum(newy) OVER (PARTITION BY frame_seq, gx ORDER BY y, raw_index) AS gy FROM c
 )
@@ -707,8 +704,7 @@ SELECT frame_seq, count(*) AS n, min(x) AS min_x, min(y) AS min_y, min(z) AS min
 FROM d GROUP BY frame_seq, gx, gy""")
 def gap_clusters(spark, sf_dir):
     """Clusters cut at gaps along x, then across y."""
-    edge = points(spark, sf_dir).filter((F.col("z") == 2) & (F.abs("y") >= 1))
-    return inserted.gap_clusters(edge, FRAME).drop("gx", "gy")
+    return inserted.gap_clusters(points(spark, sf_dir), FRAME, 0.3, 0.4).drop("gx", "gy")
 
 
 @query("q_ray_box", f"""

@@ -14,8 +14,8 @@ from pathclear.functions.ordering import SlicedOrder
 POINTS_SQL = """
 points AS (
   SELECT l_orderkey // 400 AS frame_seq,
-         (((l_orderkey % 400) * 8 + l_linenumber) * 16777216 + l_partkey % 16777216) * 16777216
-           + CAST(round(l_extendedprice * 100) AS BIGINT) % 16777216 AS raw_index,
+         (((l_orderkey % 400) * 8 + l_linenumber) * 134217728 + l_partkey) * 16777216
+           + CAST(round(l_extendedprice * 100) AS BIGINT) AS raw_index,
          2 * l_quantity + l_linenumber * 0.25e0 AS x,
          (round(l_discount * 100) - 5) * 0.5e0 AS y,
          round(l_tax * 100) * 0.5e0 - 2 AS z,
@@ -41,15 +41,15 @@ profiles AS (
   FROM embeddings, (SELECT unnest(range(0, 64)) AS bin) u
 )"""
 
-_orders: dict = {}
-
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    place = ((F.col("l_orderkey") % 400) * 8 + F.col("l_linenumber")) * 16777216
+    place = ((F.col("l_orderkey") % 400) * 8 + F.col("l_linenumber")) * 134217728
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.expr("l_orderkey div 400").alias("frame_seq"),
-        ((place + F.col("l_partkey") % 16777216) * 16777216 + cents % 16777216).alias("raw_index"),
+        # Line numbers repeat in an order, part and price tell its lines apart: 12, 27 and 24 bits, an
+        # error beyond (in both engines' checked arithmetic), never a wrapped number.
+        ((place + F.col("l_partkey")) * 16777216 + cents).alias("raw_index"),
         (2 * F.col("l_quantity") + F.col("l_linenumber") * 0.25).alias("x"),
         ((F.round(F.col("l_discount") * 100) - 5) * 0.5).alias("y"),
         (F.round(F.col("l_tax") * 100) * 0.5 - 2).alias("z"),
@@ -80,12 +80,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames_order(spark: SparkSession, sf_dir: str) -> SlicedOrder:
-    """Slices of the frames by time; the edges are found once per data set and session."""
-    where = (spark.sparkContext.applicationId, sf_dir)
-    if where not in _orders:
-        stamps = frames(spark, sf_dir).select("bag_id", "stamp_us", "event_id")
-        _orders[where] = SlicedOrder.fit(stamps, ["bag_id"], ["stamp_us", "event_id"])
-    return _orders[where]
+    """Slices of the frames by time, measured on the data as they are now."""
+    stamps = frames(spark, sf_dir).select("bag_id", "stamp_us", "event_id")
+    return SlicedOrder.fit(stamps, ["bag_id"], ["stamp_us", "event_id"])
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

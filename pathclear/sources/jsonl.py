@@ -27,12 +27,15 @@ def result_paths(run_dir: str, bag_ids: list[str]) -> dict[str, str]:
 
 
 def read_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Frame rows with a fixed schema; blank lines are skipped.
+    """Frame rows with a fixed schema; blank lines are skipped, a line that is no frame row is an error.
 
     ``route`` is a mixed array on disk and becomes a struct.  Rows of exports without tracks keep
     a null ``tracks``.
     """
-    rows = spark.read.schema(EXPORT).json(paths)
+    rows = spark.read.schema(f"{EXPORT}, _line string").option("columnNameOfCorruptRecord", "_line").json(paths)
+    bad = F.col("_line").isNotNull() | F.col("bag_stamp_ns").isNull()
+    told = F.concat(F.lit("not a frame row: "), F.coalesce("_line", F.lit("no bag_stamp_ns")))
+    rows = rows.filter(F.when(bad, F.raise_error(told).cast("boolean")).otherwise(F.lit(True))).drop("_line")
     r = F.col("route")
 
     def number(i):
@@ -43,7 +46,7 @@ def read_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.get(r, 2).try_cast("boolean").alias("valid"), number(3).alias("max_x"),
         number(5).cast("int").alias("rail_slices"),
     )
-    return rows.filter(F.col("bag_stamp_ns").isNotNull()).withColumn("route", F.when(r.isNotNull(), route))
+    return rows.withColumn("route", F.when(r.isNotNull(), route))
 
 
 def write_exports(frames: DataFrame, path: str) -> None:

@@ -129,9 +129,12 @@ def stream_decisions(analyses: DataFrame, config: TemporalConfig, timeout_s: flo
 
 
 def fresh_latest(clouds: DataFrame, max_age_ms: float) -> DataFrame:
-    """Latest-only slot of one trigger: the newest fresh cloud per source (use in foreachBatch)."""
+    """Latest-only slot of one trigger (use in foreachBatch): the newest cloud per source, if it is fresh.
+
+    As in :func:`pathclear.operators.sequences.latest_only`, the age is looked at when the slot is taken.
+    """
     names = [c for c in clouds.columns if c not in ("source", "received")]
-    newest = clouds.filter(F.col("age_ms") <= max_age_ms).groupBy("source").agg(
+    newest = clouds.groupBy("source").agg(
         F.max(F.struct("received", *names)).alias("n"), (F.count(F.lit(1)) - 1).alias("dropped")
     )
-    return newest.select("source", "n.*", "dropped")
+    return newest.filter(F.col("n.age_ms") <= max_age_ms).select("source", "n.*", "dropped")
