@@ -8,7 +8,12 @@ from __future__ import annotations
 import math
 from dataclasses import asdict, dataclass, field
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from pathclear.config import TemporalConfig
+from pathclear.functions.ordering import SlicedOrder
+from pathclear.functions.settling import settle
 from pathclear.operators.points import GAUGE, MOTION, OK
 
 NAN = float("nan")
@@ -280,23 +285,56 @@ class OrderGate:
         return True, True, reason
 
 
+def _chains(rows: DataFrame, keys: list[str], order: list[str], config: TemporalConfig) -> DataFrame:
+    """Rows with ``chain``: a new one wherever the monitor clears all tracks (a step back or a long pause)."""
+    by = SlicedOrder.fit(rows.select(*keys, *order), keys, order)
+    now = F.when((F.col("status") == OK) & (F.coalesce("measurement_time_ns", F.lit(0)) != 0), F.col("measurement_time_ns"))
+    rows = by.last_known(rows, {"_before": now}, inclusive=False)
+    pause = (now - F.col("_before")) * 1e-9 > config.max_gap_s
+    cut = F.coalesce((now < F.col("_before")) | pause, F.lit(False)).cast("int")
+    rows = by.running_sum(rows.withColumn("_cut", cut), {"chain": F.col("_cut")})
+    return by.finish(rows).drop("_before", "_cut")
+
+
 def decide(analyses, config: TemporalConfig, keys=("source", "session"), order=("frame_sequence",)):
-    """Assessments of analysed frames, batch form: one monitor per chain."""
+    """Assessments of analysed frames, batch form: one monitor per chain between two resets.
+
+    No track outlives a reset, so chains are independent of each other but for the numbers of their tracks,
+    which go on by the count of tracks that earlier chains have begun.
+    """
     from pathclear.operators.folds import ordered_fold
     from pathclear.schemas import ANALYSIS, ASSESSMENT
 
     names = [c.split()[0] for c in ANALYSIS.split(", ")]
+    keys, order = list(keys), list(order)
 
     def start():
         monitor = Monitor(config)
 
         def step(row):
             out = monitor.step(row)
-            return {**{k: row[k] for k in names[:4]}, **out}
+            return {**{k: row[k] for k in names[:4]}, **out, "chain": row["chain"], "begun": monitor.next_id - 1}
 
         return step
 
-    return ordered_fold(analyses.select(*names), list(keys), list(order), start, ASSESSMENT)
+    rows = _chains(analyses.select(*names), keys, order, config)
+    # A chain of one reset later starts with the time of its own first frame: nothing is left to clear.
+    found = settle(ordered_fold(rows, [*keys, "chain"], order, start, f"{ASSESSMENT}, chain long, begun long"))
+    begun = found.groupBy(*keys, "chain").agg(F.max("begun").alias("n"))
+    # One row for each chain.
+    before = F.coalesce(F.sum("n").over(
+        Window.partitionBy(*keys).orderBy("chain").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = begun.select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, "chain")], before.alias("_shift"))
+    same = F.lit(True)
+    for k in (*keys, "chain"):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    moved = F.transform("tracks", lambda t: t.withField("id", (t["id"] + F.col("_shift")).cast(_id_type(found))))
+    out = found.join(shift, same).withColumn("tracks", moved)
+    return out.select(*[c for c in found.columns if c not in ("chain", "begun")])
+
+
+def _id_type(found: DataFrame):
+    return found.schema["tracks"].dataType.elementType["id"].dataType
 
 
 def gate_frames(frames, keys=("line",), order=("received",)):
