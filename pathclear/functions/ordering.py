@@ -142,6 +142,19 @@ class SlicedOrder:
         )
         return df.drop(*[f"_c_{n}" for n in sums])
 
+    def running_max(self, df, values: Mapping[str, Column], inclusive: bool = True):
+        """Largest value up to each row (or strictly before it); null while there is none."""
+        df = self._next_pass(df)
+        upto = self.local().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        found = df.withColumns({n: F.max(e).over(upto) for n, e in values.items()})
+        if not self.bounds:
+            return found
+        summary = df.groupBy(*self.parts).agg(*[F.max(e).alias(f"_t_{n}") for n, e in values.items()])
+        before = self._slices().rowsBetween(Window.unboundedPreceding, -1)
+        summary = summary.select(*self.parts, *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in values])
+        found = self._attach(found, summary)
+        return found.withColumns({n: F.greatest(n, f"_c_{n}") for n in values}).drop(*[f"_c_{n}" for n in values])
+
     def last_known(self, df, values: Mapping[str, Column], inclusive: bool = True):
         """Last non-null value at or before (or strictly before) each row."""
         return self._fill(df, values, forward=True, inclusive=inclusive)

@@ -337,23 +337,57 @@ def _id_type(found: DataFrame):
     return found.schema["tracks"].dataType.elementType["id"].dataType
 
 
-def gate_frames(frames, keys=("line",), order=("received",)):
-    """Gate verdict per arriving frame; all sources of a line share one gate (tiny rows)."""
-    from pathclear.operators.folds import ordered_fold
+class _SessionOrder:
+    """Frames of one session of the active source: later ones must not go back in sequence or time."""
 
-    def start():
-        gate = OrderGate()
+    def __init__(self):
+        self.sequence = self.stamp = None
 
-        def step(row):
-            stamp = row["stamp_ns"]
-            stamp = None if stamp is None or stamp != stamp else int(stamp)
-            accepted, reset, reason = gate.admit(row["source"], row["session"], row["sequence"], stamp)
-            return {**row, "accepted": accepted, "reset": reset, "gate_reason": reason}
+    def __call__(self, row: dict) -> dict:
+        reason = row["gate_reason"]
+        if self.sequence is not None:
+            late = row["sequence"] <= self.sequence
+            reason = "DUPLICATE_OR_LATE_SEQUENCE" if late else "STAMP_WENT_BACKWARDS" if row["stamp_ns"] < self.stamp else "IN_ORDER"
+        if self.sequence is None or reason == "IN_ORDER":
+            self.sequence, self.stamp = row["sequence"], row["stamp_ns"]
+        return {**row, "gate_reason": reason}
 
-        return step
 
-    schema = ", ".join(f"{n} {t}" for n, t in frames.dtypes)
-    return ordered_fold(
-        frames, list(keys), list(order), start,
-        f"{schema}, accepted boolean, reset boolean, gate_reason string",
+def gate_frames(frames: DataFrame, line: str = "line", received: str = "received") -> DataFrame:
+    """Gate verdict per arriving frame; all sources of a line share one gate.
+
+    A source that was not seen before always takes over, and the one it takes over from never returns. So
+    the active source is the one that appeared last, the current session is the largest of its sessions so
+    far, and only the order within one session is followed row by row.
+    """
+    from pathclear.operators.folds import ordered_fold
+
+    c = F.col
+    problem = (
+        F.when(F.coalesce("source", F.lit("")) == "", "INVALID_SOURCE_ID").when(c("stamp_ns").isNull(), "INVALID_STAMP")
+        .when(F.coalesce("sequence", F.lit(0)) == 0, "INVALID_SEQUENCE")
+    )
+    rows = frames.withColumn("_problem", problem)
+    valid = rows.filter(c("_problem").isNull())
+    firsts = valid.groupBy(line, "source").agg(F.min(received).alias("_first"))
+    valid = valid.drop("_problem").join(firsts, [line, "source"])
+    by_line = SlicedOrder.fit(valid.select(line, received), [line], [received])
+    starts = c(received) == c("_first")
+    valid = by_line.last_known(valid, {"_active": F.when(starts, c("source"))})
+    valid = by_line.finish(by_line.running_sum(valid, {"_nth": F.when(starts, 1).otherwise(0)}))
+    names = frames.columns
+    retired = valid.filter(c("source") != c("_active")).select(*names, F.lit("RETIRED_SOURCE").alias("gate_reason"))
+    active = valid.filter(c("source") == c("_active"))
+    by_source = SlicedOrder.fit(active.select(line, "source", received), [line, "source"], [received])
+    active = by_source.finish(by_source.running_max(active, {"_session": c("session")}, inclusive=False))
+    old = active.filter(c("session") < c("_session")).select(*names, F.lit("OLD_SESSION").alias("gate_reason"))
+    begins = (
+        F.when(starts, F.when(c("_nth") == 1, "FIRST_SOURCE").otherwise("NEW_SOURCE")).otherwise("NEW_SESSION")
     )
+    current = active.filter(~F.coalesce(c("session") < c("_session"), F.lit(False))).select(*names, begins.alias("gate_reason"))
+    schema = ", ".join(f"{n} {t}" for n, t in frames.dtypes) + ", gate_reason string"
+    followed = ordered_fold(current, [line, "source", "session"], [received], _SessionOrder, schema)
+    refused = rows.filter(c("_problem").isNotNull()).select(*names, c("_problem").alias("gate_reason"))
+    found = followed.unionByName(old).unionByName(retired).unionByName(refused)
+    resets = c("gate_reason").isin("FIRST_SOURCE", "NEW_SOURCE", "NEW_SESSION")
+    return found.withColumns({"accepted": resets | (c("gate_reason") == "IN_ORDER"), "reset": resets})

@@ -1,4 +1,4 @@
-"""Queries through the ordered folds and the whole detector (no SQL equivalent)."""
+"""Queries through the ordered folds and the whole detector."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pathclear.config import DetectorConfig, TemporalConfig
 from pathclear.operators.tracking import decide, gate_frames
 from pathclear.plans.detector import analyse_points
 from pathclear.queries.registry import query
-from pathclear.queries.views import frames, points
+from pathclear.queries.views import FRAMES_SQL, frames, points
 from pathclear.schemas import CANDIDATE
 
 
@@ -61,7 +61,40 @@ def track_decision(spark, sf_dir):
     )
 
 
-@query("q_order_gate")
+GATE_SQL = f"""
+WITH RECURSIVE {FRAMES_SQL}, arriving AS (
+  SELECT bag_id % 4 AS line, event_id AS received, 'source ' || CAST(bag_id AS VARCHAR) AS source,
+    stamp_us // 86400000000 AS session, event_id - CASE WHEN k > 95 THEN 40 ELSE 0 END AS sequence,
+    CASE WHEN k <> 3 THEN stamp_us * 1000 END AS stamp_ns,
+    row_number() OVER (PARTITION BY bag_id % 4 ORDER BY event_id) AS n
+  FROM frames
+), gate AS (
+  SELECT DISTINCT line, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS gate_reason, CAST(NULL AS VARCHAR) AS a_source,
+    CAST(NULL AS BIGINT) AS a_session, CAST(NULL AS BIGINT) AS a_sequence, CAST(NULL AS BIGINT) AS a_stamp, CAST([] AS VARCHAR[]) AS retired
+  FROM arriving
+  UNION ALL
+  SELECT line, n, r, CASE WHEN ok THEN source ELSE a_source END, CASE WHEN ok THEN session ELSE a_session END,
+    CASE WHEN ok THEN sequence ELSE a_sequence END, CASE WHEN ok THEN stamp_ns ELSE a_stamp END,
+    CASE WHEN r = 'NEW_SOURCE' THEN list_append(retired, a_source) ELSE retired END
+  FROM (
+    SELECT *, r IN ('FIRST_SOURCE', 'NEW_SOURCE', 'NEW_SESSION', 'IN_ORDER') AS ok FROM (
+      SELECT a.*, g.a_source, g.a_session, g.a_sequence, g.a_stamp, g.retired,
+        CASE WHEN coalesce(a.source, '') = '' THEN 'INVALID_SOURCE_ID' WHEN a.stamp_ns IS NULL THEN 'INVALID_STAMP'
+          WHEN coalesce(a.sequence, 0) = 0 THEN 'INVALID_SEQUENCE' WHEN list_contains(g.retired, a.source) THEN 'RETIRED_SOURCE'
+          WHEN g.a_source IS NULL THEN 'FIRST_SOURCE' WHEN a.source <> g.a_source THEN 'NEW_SOURCE'
+          WHEN a.session < g.a_session THEN 'OLD_SESSION' WHEN a.session > g.a_session THEN 'NEW_SESSION'
+          WHEN a.sequence <= g.a_sequence THEN 'DUPLICATE_OR_LATE_SEQUENCE'
+          WHEN a.stamp_ns < g.a_stamp THEN 'STAMP_WENT_BACKWARDS' ELSE 'IN_ORDER' END AS r
+      FROM gate g JOIN arriving a ON a.line = g.line AND a.n = g.n + 1)
+  )
+)
+SELECT a.line, received, source, session, sequence, stamp_ns,
+  gate_reason IN ('FIRST_SOURCE', 'NEW_SOURCE', 'NEW_SESSION', 'IN_ORDER') AS accepted,
+  gate_reason IN ('FIRST_SOURCE', 'NEW_SOURCE', 'NEW_SESSION') AS reset, gate_reason
+FROM arriving a JOIN gate g ON g.line = a.line AND g.n = a.n"""
+
+
+@query("q_order_gate", GATE_SQL)
 def order_gate(spark, sf_dir):
     """ST12: verdict of the order gate per arriving frame of every line."""
     arriving = frames(spark, sf_dir).select(

@@ -77,6 +77,7 @@ def test_nulls_ties_and_missing_keys_do_not_depend_on_the_cut(spark, cuts):
         for name, step in (("k", order.last_known), ("x", order.next_known)):
             df = step(df, {name: F.col("v")})
             df = step(df, {f"{name}_strict": F.col("v")}, inclusive=False)
+        df = order.running_max(order.running_max(df, {"m": F.col("v")}), {"m_strict": F.col("v")}, inclusive=False)
         df = order.lead(order.lag(df, "before", F.col("v"), 2), "after", F.col("v"))
         results.append(values(order.finish(order.tag_islands(df, 1))))
     assert results[0] == results[1]

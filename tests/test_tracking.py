@@ -1,12 +1,13 @@
 """Decision table, track sequences, speed curves and the order gate."""
 
 import math
+import random
 
 import pytest
 
 from pathclear.config import ConfigError, TemporalConfig
 from pathclear.operators.speed import SpeedTracker
-from pathclear.operators.tracking import Monitor, OrderGate
+from pathclear.operators.tracking import Monitor, OrderGate, gate_frames
 
 
 def candidate(x, y=0.0, channels=1, points=100, valid=True, edge=False, offset=0.0):
@@ -200,6 +201,21 @@ def test_order_gate():
         g = OrderGate().load(g.dump())
 
 
+def test_batch_gate_equals_the_one_that_is_stepped(spark):
+    rng, rows = random.Random(3), []
+    for line in range(4):
+        gate = OrderGate()
+        for n in range(300):
+            key = (rng.choice(["a", "b", "c", "", None, "d"]) if n > 20 else "a", n // 40 + rng.choice([0, 0, 0, 1, -1]),
+                   rng.choice([0, n, n, n, n - 5, n + 9]), rng.choice([None, n, n, n, n - 7, n + 8]))
+            rows.append((line, n, *key, *gate.admit(*key)))
+    kinds = "line int, received long, source string, session long, sequence long, stamp_ns long"
+    frames = spark.createDataFrame([r[:6] for r in rows], kinds)
+    found = sorted(map(tuple, gate_frames(frames).select(
+        "line", "received", "accepted", "reset", "gate_reason").collect()))
+    assert found == [(*r[:2], *r[6:]) for r in rows] and len({r[8] for r in rows}) >= 9
+
+
 def test_config_bounds():
     with pytest.raises(ConfigError):
         TemporalConfig(confirm_hits=2, confirm_window=1)
