@@ -9,7 +9,9 @@ unless that would not lessen the work: its nodes then share nearly everything (a
 Buckets that cannot be split are compared whole, in blocks, so none is ever cut short. Runs repeat until
 a pair of just the threshold's similarity is met with probability ``RECALL``.
 
-A bucket's pairs are compared exactly, by products of the sets' incidence matrices; a pair that meets in
+Within a bucket, pairs whose sizes differ too much, or whose sketches (64 bytes of one-permutation
+min-hashes, for sets that are large enough) are far from the threshold, are put aside first; only nodes
+with a likely partner go on with their whole sets. A bucket's pairs are compared exactly, by products of the sets' incidence matrices; a pair that meets in
 several buckets counts in the one of smallest key. No pairs leave a bucket: a node's link counts are summed
 there, and its links are reduced to a spanning forest, from which components are found.
 """
@@ -32,8 +34,12 @@ WORDS, THRESHOLD_PARTS = 5, (4, 5)  # five words, similarity of 4/5 or more
 RECALL = 0.99999
 #: Tokens sampled per set and run, and per bucket that is split.
 SHARED, SPLIT = 2.0, 3.0
-#: Nodes of a bucket that is compared at once; nodes and bytes of a block of a larger one.
-SMALL, BLOCK, BLOCK_BYTES = 64, 512, 32 << 20
+#: Nodes of a bucket that is not split; of a larger one, nodes and bytes of a block, and nodes of a block of sketches.
+SMALL, BLOCK, BLOCK_BYTES, SKETCH_BLOCK = 64, 1024, 32 << 20, 4096
+
+#: Bins of a sketch, smallest set that has one, and share of equal bins below which a pair is put aside: a pair
+#: of just the threshold's similarity has fewer about once in a million.
+BINS, SKETCHED, LIKELY = 64, 200, 0.55
 
 _BLANK = np.zeros(0x110000, bool)
 _BLANK[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
@@ -127,6 +133,63 @@ def chosen(gram: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return owners, keys, at[order], split_keys[order]
 
 
+def sketches(gram: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A row of bytes for each text: what is left of the least shingle of each bin, 0 for an empty bin."""
+    out = np.zeros((len(edges) - 1, BINS), np.uint8)
+    if len(gram):
+        owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        bin_ = (gram >> _U(64 - BINS.bit_length() + 1)).astype(np.int64)
+        least = np.r_[True, (bin_[1:] != bin_[:-1]) | (owner[1:] != owner[:-1])]  # shingles are sorted
+        out[owner[least], bin_[least]] = (mixed(gram[least], 503) % _U(255)).astype(np.uint8) + 1
+    return out
+
+
+def likely(size: np.ndarray, sketch: np.ndarray, a: slice) -> np.ndarray:
+    """Which pairs of rows ``a`` with all rows may be similar enough."""
+    least, most = np.minimum(size[a, None], size[None, :]), np.maximum(size[a, None], size[None, :])
+    fits = THRESHOLD_PARTS[1] * least >= THRESHOLD_PARTS[0] * most
+    rows, others = sketch[a, None, :], sketch[None, :, :]
+    equal = ((rows == others) & (rows > 0)).sum(2)
+    filled = ((rows > 0) | (others > 0)).sum(2)
+    return fits & ((least < SKETCHED) | (equal >= LIKELY * filled))
+
+
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, node) of the nodes of a bucket, or of a pair of its blocks, that have a likely partner there."""
+    def result(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        rows = list({r[1]: r for r in rows}.values())
+        own, node, size = (np.array(x) for x in list(zip(*rows, strict=True))[:3])
+        sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, BINS)
+        keep = np.zeros(len(rows), bool)
+        step = max(1, (8 << 20) // (len(rows) * BINS))
+        for i in range(0, len(rows), step):
+            a = slice(i, min(i + step, len(rows)))
+            fits = likely(size, sketch, a)
+            fits[np.arange(a.stop - i), np.arange(i, a.stop)] = False
+            if key[1] != key[2]:
+                fits &= own[a, None] != own[None, :]
+            keep[a] |= fits.any(1)
+        return [(key[0], int(n)) for n in node[keep]]
+
+    key, held = None, []
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("path", "low", "high", "own", "node", "size", "sketch")), strict=True):
+            if row[:3] != key:
+                if len(held) > 1:
+                    out += result(key, held)
+                key, held = row[:3], []
+            held.append(row[3:])
+        yield _pairs(out)
+    if len(held) > 1:
+        yield _pairs(result(key, held))
+
+
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    path, node = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(path, pa.int64()), pa.array(node, pa.int64())], names=["path", "node"])
+
+
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == _U else x.astype(np.int64))
 
@@ -150,8 +213,9 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buckets = pa.StructArray.from_arrays([_longs(keys), kids], names=["path", "kids"])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("text_key"), _longs(mixed(node, 419)), _longs(check), _longs(size),
+                 pa.array([r.tobytes() for r in sketches(gram, edges)], pa.binary()),
                  pa.ListArray.from_arrays(_offsets(np.searchsorted(owners, np.arange(len(texts) + 1))), buckets)],
-                names=["doc_id", "text_key", "node", "check", "size", "buckets"])
+                names=["doc_id", "text_key", "node", "check", "size", "sketch", "buckets"])
 
 
 def _shipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,18 +271,22 @@ def compare(path: int, low: int, high: int, rows: list[tuple]) -> list[tuple[int
     Rows are (own block, node, copies, shingles, sorted bucket keys).
     """
     seen = {r[1]: r for r in rows}  # a document that is repeated comes more than once
-    rows = list(seen.values())
+    rows = sorted(seen.values(), key=lambda r: r[0])
     size = np.array([len(r[3]) for r in rows])
-    both = np.zeros((len(rows), len(rows)), np.float32)
+    # Of two blocks only the pairs between them.
+    cut = len(rows) if low == high else sum(r[0] == low for r in rows)
+    left, right = slice(0, cut), slice(0 if low == high else cut, len(rows))
+    both = np.zeros((left.stop, right.stop - right.start), np.float32)
     for grid in _incidence([r[3] for r in rows]):
-        both += grid @ grid.T
+        both += grid[left] @ grid[right].T
     a, b = THRESHOLD_PARTS
     both = both.astype(np.int64)
-    alike = both * (a + b) >= a * (size[:, None] + size[None, :])
-    np.fill_diagonal(alike, False)
-    if low != high:
-        own = np.array([r[0] for r in rows])
-        alike &= own[:, None] != own[None, :]
+    alike = np.zeros((len(rows), len(rows)), bool)
+    alike[left, right] = both * (a + b) >= a * (size[left, None] + size[None, right])
+    if low == high:
+        np.fill_diagonal(alike, False)
+    else:
+        alike |= alike.T
     linked = np.flatnonzero(alike.any(1))
     if not len(linked):
         return []
@@ -276,11 +344,12 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = _keyed(docs, "doc_id", "text")
     described = settle(keyed.mapInArrow(
-        _described, f"doc_id {kind}, text_key long, node long, check long, size long, "
+        _described, f"doc_id {kind}, text_key long, node long, check long, size long, sketch binary, "
         "buckets array<struct<path:bigint,kids:array<bigint>>>"))
     nodes = described.groupBy("node", "check").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("one"),
-        F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
+        F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
+        F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
     nodes = settle(nodes)
     rows = nodes.select("node", "size", F.explode("buckets").alias("b")).select("node", "size", "b.path", "b.kids")
     figures = settle(_bucket_figures(rows, "path"))
@@ -296,9 +365,17 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         parts.select("path", "n", "tokens", "x", "s"))
     # Buckets of the same nodes are one.
     compared = last.groupBy("n", "x", "s").agg(F.min("path").alias("path"), F.max("tokens").alias("tokens")).select(
-        "path", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+        "path", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"),
+        F.ceil(F.col("n") / SKETCH_BLOCK).cast("int").alias("sketch_blocks"))
     members = met.select("node", "path").unionByName(kids.select("node", "path")).distinct()
-    places = members.join(compared, "path").groupBy("node").agg(F.collect_list(F.struct("path", "blocks")).alias("places"))
+    block = F.expr("pmod(shiftright(node, 7), sketch_blocks)").cast("int")
+    drawn = members.join(compared, "path").join(nodes.select("node", "size", "sketch"), "node").withColumn("own", block).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("sketch_blocks") - 1)))
+    keys = ["path", "low", "high"]
+    seen = drawn.select(
+        "path", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "size", "sketch"
+    ).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_partnered, "path long, node long").distinct()
+    places = seen.join(compared.select("path", "blocks"), "path").groupBy("node").agg(F.collect_list(F.struct("path", "blocks")).alias("places"))
     wanted = settle(places.join(nodes.select("node", "one", "copies"), "node"))
     texts = keyed.join(
         wanted.select("node", "copies", "places", F.col("one.doc_id").alias("one_id"), F.col("one.text_key").alias("one_key")),

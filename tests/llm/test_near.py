@@ -51,6 +51,7 @@ def rows_of(kind):
 def test_links_are_those_of_all_pairs(spark, monkeypatch, kind, small, block):
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SKETCH_BLOCK", block + 8)
     rows = rows_of(kind)
     want, n = classes(rows)
     got = collections.Counter(tuple(r) for r in jaccard.similarity_join(R.frame(spark, rows)).collect())
