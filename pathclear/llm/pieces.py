@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Code points that one step of a task works on; distinct pieces a worker keeps.
-STEP, KEPT = 2_000_000, 1_000_000
+STEP, KEPT = 1_000_000, 600_000
 #: Code points of the longest piece that is merged here.
 WIDE = 40
 
@@ -279,12 +279,12 @@ class Encoder:
         return mixed(a, 3), b
 
 
-def steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch with their texts (null as empty), about ``STEP`` code points each."""
+def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with their texts (null as empty), about ``most`` code points each."""
     texts = [t or "" for t in batch.column(column).to_pylist()]
     begin = size = 0
     for i, t in enumerate(texts):
         size += len(t) + 1
-        if size >= STEP or i + 1 == len(texts):
+        if size >= most or i + 1 == len(texts):
             yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
             begin, size = i + 1, 0

@@ -27,6 +27,8 @@ from pathclear.llm.pieces import classes, code_points, mixed, powers, steps
 BUCKETS, WIDTH, NEIGHBOURS, SPARSE = 1 << 13, 48, 2, 4
 #: Most labelled rows that the network is fitted to (those of smallest hash of their id).
 SAMPLE = 20_000
+#: Code points pooled at once (a word takes some hundred bytes of vectors meanwhile).
+PART = 400_000
 #: Columns of a pooled document.
 FEATURES = 2 * WIDTH + 5
 HIDDEN, ROUNDS, BATCH, RATE = 32, 60, 256, 3e-3
@@ -73,7 +75,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, sign = index_vectors()
     total = np.zeros(BUCKETS * WIDTH)
     for batch in batches:
-        for _, texts in steps(batch):
+        for _, texts in steps(batch, most=PART):
             bucket, doc, _ = words(texts)
             for gap in range(1, NEIGHBOURS + 1):
                 near = np.flatnonzero(doc[gap:] == doc[:-gap])
@@ -210,7 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in steps(batch):
+            for part, texts in steps(batch, most=PART):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("mark"), part.column("quality"), _rows(pooled(texts, vectors))], names=["mark", "quality", "x"])
 
@@ -228,7 +230,7 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, Network], name: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in steps(batch):
+            for part, texts in steps(batch, most=PART):
                 scores = network.scores(pooled(texts, vectors).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, name])
 
