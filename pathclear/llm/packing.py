@@ -175,8 +175,15 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     packed each for itself. An empty table gives an empty table.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+    return _packed(items.mapInArrow(_number, f"{fields}, pack_task long, pack_rank long"), capacity)
+
+
+def _packed(rows: DataFrame, capacity: int) -> DataFrame:
+    """Packs rows that :func:`_number` has gone over."""
     # Written once: the numbers given inside a task stay the same however often they are read.
-    numbered = settle(items.mapInArrow(_number, f"{fields}, pack_task long, pack_rank long"))
+    numbered = settle(rows)
+    kept = [f for f in numbered.schema if f.name not in ("pack_task", "pack_rank")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     per_task = numbered.groupBy("pack_task", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
     for row in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
@@ -202,17 +209,18 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
             )
 
     joined = numbered.join(before, ["pack_task", "length"]).select(
-        *[F.col(c) for c in items.columns], "pack_rank", "before"
+        *[F.col(f.name) for f in kept], "pack_rank", "before"
     )
     return joined.mapInArrow(placed, f"{fields}, sequence_id long, offset long")
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, numbered: bool = False) -> DataFrame:
     """Token ids of every text with ``end_id`` at the end, cut into pieces of ``capacity`` ids.
 
     Returns ``doc_id, piece int, start long, length long, ids binary`` (little-endian unsigned 32-bit
     ids). A null or empty text has the end id alone; rows that repeat give their pieces again; other
-    columns of ``docs`` are not read.
+    columns of ``docs`` are not read. ``numbered`` adds what :func:`pack` needs in the same pass, so a task
+    has one Python worker instead of two.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -237,9 +245,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        cut, f"doc_id {kind}, piece int, start long, length long, ids binary"
-    )
+    fields = f"doc_id {kind}, piece int, start long, length long, ids binary"
+    if numbered:
+        return docs.select("doc_id", "text").mapInArrow(
+            lambda batches: _number(cut(batches)), f"{fields}, pack_task long, pack_rank long")
+    return docs.select("doc_id", "text").mapInArrow(cut, fields)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -248,15 +258,15 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     Columns as in :func:`token_pieces`, with ``ids_crc32`` in place of the ids, then ``sequence_id``
     and ``offset``. :func:`sequences` puts the ids themselves in place.
     """
-    pieces = token_pieces(docs, path, capacity, end_id)
+    pieces = token_pieces(docs, path, capacity, end_id, numbered=True)
     # Spark's crc32 is the common one (zlib's).
-    small = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(small, capacity)
+    return _packed(pieces.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "pack_task", "pack_rank"), capacity)
 
 
 def sequences(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """The packed sequences: ``sequence_id, length, pieces`` (offset, doc_id, piece, start, ids) by offset."""
-    placed = pack(token_pieces(docs, path, capacity, end_id), capacity)
+    placed = _packed(token_pieces(docs, path, capacity, end_id, numbered=True), capacity)
     item = F.struct("offset", "doc_id", "piece", "start", "ids")
     return placed.groupBy("sequence_id").agg(
         F.sum("length").alias("length"), F.sort_array(F.collect_list(item)).alias("pieces")
