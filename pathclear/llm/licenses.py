@@ -1,8 +1,8 @@
 """License scan by ordered signature rules.
 
 A text becomes its words: letters A-Z lower-cased, runs of digits, letters and everything beyond ASCII.
-Rules are regular expressions over the words, each with one space on both sides, tried only where the
-words they are keyed by occur. Detections are then resolved by rank: one that lies within the words of a
+Rules are regular expressions over the words, each with one space on both sides, tried only where one of the
+words they are keyed by occurs; every text that a rule matches has one of its keys as a word. Detections are then resolved by rank: one that lies within the words of a
 detection of a higher-ranked rule, or of a longer one of equal rank, is suppressed. The base phrases are
 always counted.
 
@@ -73,7 +73,7 @@ _COMMONS = {"by": "attribution", "by-sa": "attribution share ?alike", "by-nd": "
 _TEXTS = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "hereby"),
-    ("bsd", "redistributions? of source code must retain the above copyright notice", "redistributions"),
+    ("bsd", "redistributions? of source code must retain the above copyright notice", "redistributions redistribution"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution"),
     ("bsd-3-clause", "neither the name of (?:[^ ]+ ){1,12}may be used to endorse or promote products", "endorse"),
     ("bsd-4-clause", "all advertising materials mentioning features or use of this software", "advertising"),
@@ -88,6 +88,10 @@ _TEXTS = (
 )
 
 
+#: Identifiers that are products too (Apache 2.4, apache2, php3): a bare major version needs a v or the word license.
+_PRODUCTS = ("apache", "php")
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -106,6 +110,13 @@ def _rules() -> list[Rule]:
         whole = version.removesuffix(".0").replace(".", " ")
         return f"{whole}(?: 0)?" if version.endswith(".0") else whole
 
+    def cited(ident: str, version: str) -> str:
+        """Identifier and version, spaced or joined."""
+        if version.endswith(".0") and ident in _PRODUCTS:
+            major = version.removesuffix(".0")
+            return f"{ident} ?(?:v?{major} 0|v{major}(?! [0-9])|v?{major}(?= licen[cs]e))"
+        return f"{ident} ?v?{words(version)}"
+
     for stem, names, versions, ident, keys in FAMILIES:
         any_name = "|".join(names)
         for v in versions:
@@ -115,7 +126,10 @@ def _rules() -> list[Rule]:
             add(label, 85, f"version {n} of the (?:{any_name})", keys)
             add(label, 100, f"spdx license identifier {ident} {v.replace('.', ' ')}(?: only)?", ["spdx"])
             add(f"{label}-or-later", 101, f"spdx license identifier {ident} {v.replace('.', ' ')} or later", ["spdx"])
-            add(label, 80, f"{ident} ?v?{v.replace('.', ' ')}", keys)
+            major = v.split(".")[0]
+            forms = [ident, f"{ident}{major}", f"{ident}v{major}"]
+            add(f"{label}-or-later", 95, f"{cited(ident, v)} or (?:at your option )?(?:any )?(?:later|newer)(?: version)?", forms)
+            add(label, 80, cited(ident, v), forms)
         add(stem, 100, f"spdx license identifier {ident}", ["spdx"])
         add(stem, 60, f"(?:released|licensed|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?(?:{any_name})", keys)
         add(stem, 50, any_name, keys)
@@ -134,7 +148,7 @@ def _rules() -> list[Rule]:
             add(f"cc-{code}-{v}", 100, f"(?:spdx license identifier )?cc {short} {n}", ["cc"])
         add(f"cc-{code}", 50, f"creative commons {name}", ["creative"])
     for label, sentence, key in _TEXTS:
-        add(label, 75, sentence, [key])
+        add(label, 75, sentence, key.split())
     for stem, place in (("apache-2.0", "apache org licenses license 2 0"), ("gpl", "gnu org licenses gpl"), ("lgpl", "gnu org licenses lgpl"),
                         ("agpl-3.0", "gnu org licenses agpl 3 0"), ("mpl-2.0", "mozilla org mpl 2 0")):
         add(stem, 70, place, ["licenses", "mpl"])
@@ -181,9 +195,10 @@ def resolve(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str,
     return kept
 
 
-def detect(text: str) -> Found:
+def detect(text: str, gated: bool = True) -> Found:
+    """``gated=False`` tries every rule, with the same result."""
     words = text.encode().translate(_TABLE).split()
-    keys = _KEYS.intersection(words)
+    keys = _KEYS.intersection(words) if gated else _KEYS
     if not keys:
         return Found(len(words), [], [])
     line = b" " + b" ".join(words) + b" "

@@ -128,6 +128,37 @@ def test_license_rules_are_ranked():
     assert many == [(0, 5, "a", 50), (1, 2, "b", 60), (4, 3, "e", 50)]
 
 
+def test_license_joined_forms():
+    def labels(text):
+        return [f[2] for f in licenses.detect(text).kept]
+
+    for text, want in {
+        "GPLv3": "gpl-3.0", "GPLv2": "gpl-2.0", "LGPLv3": "lgpl-3.0", "AGPLv3": "agpl-3.0", "LGPLv2.1": "lgpl-2.1", "MPLv1.1": "mpl-1.1",
+        "MPL2": "mpl-2.0", "CPL 1.0": "cpl-1.0", "Apachev2": "apache-2.0", "Apache 2 licensed": "apache-2.0", "GPLv2 or later": "gpl-2.0-or-later",
+        "GPLv3, 29 June 2007": "gpl-3.0", "Redistribution of source code must retain the above copyright notice": "bsd",
+    }.items():
+        assert labels(f"it is under {text}") == [want], text
+    for text in ("Apache 2.4", "Apache 2.4.52 and PHP 3.1", "/etc/apache2/apache2.conf", "index.php3", "GPLv30", "xGPLv3"):
+        assert labels(text) == [], text
+
+
+def test_license_gate_loses_nothing():
+    rng = random.Random(10)
+    parts = [w for _, names, _, ident, keys in licenses.FAMILIES for w in (*names, ident, *keys)]
+    parts += [s for _, s, _ in licenses._TEXTS if "(" not in s]
+    tails = ["", "", " license", " or later", " of the", " any later version", ","]
+    for _ in range(3000):
+        text = " ".join(
+            rng.choice(parts) + rng.choice(["", " ", "-", "v", " v", " version "]) + rng.choice(["", "0.5", "1", "1.1", "1.3c", "2", "2.0", "2.1", "3", "3.0"])
+            + rng.choice(tails) for _ in range(rng.randrange(1, 3))).replace("?", rng.choice(["", "s"])).replace("[cs]", "c")
+        assert licenses.detect(text) == licenses.detect(text, gated=False), text
+    for _, names, versions, ident, _ in licenses.FAMILIES:
+        for v in versions:
+            for gap in ("", "v", " v", "-"):
+                text = f"{ident}{gap}{v}"
+                assert licenses.detect(text) == licenses.detect(text, gated=False) and licenses.detect(text).kept, text
+
+
 def test_license_frames(spark):
     got = {r.doc_id: r for r in licenses.scan(R.frame(spark)).collect()}
     assert [b.label for b in got[11].base] == ["mit", "apache", "gpl"] and got[1].n_words == 0
