@@ -3,7 +3,7 @@
 Three base patterns are reported as they match. Beyond them, what looks like base64 or hex is decoded and
 reported only if its structure holds: nested lengths of an encoded key that fill the data exactly,
 length-prefixed fields of a public-key blob, or a signed token's header that is an object with an
-algorithm. Cheap substring tests and the length of the longest word decide which patterns run at all.
+algorithm. Keys may be wrapped, with line ends as they are or written as a backslash and a letter. Cheap substring tests and the length of the longest word decide which patterns run at all.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +29,12 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # A maximal run of hex digits or of an access key's characters is the leftmost match, long enough or not.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})KEY-----([A-Za-z0-9+/=\s]+)-----END \1KEY-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})KEY-----([A-Za-z0-9+/=\s\\]+)-----END \1KEY-----")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+# Line ends, real or escaped any number of times, with the blanks around them; base64 over two lines or more.
+_GAP = re.compile(r"(?:[ \t]*(?:\\+[nr]|\\?\r?\n|\r))+(?:[ \t]|\\+t)*")
+_WRAPPED = re.compile(
+    r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nrt]))[A-Za-z0-9+/_-]{40,}={0,2}(?:" + _GAP.pattern + r"[A-Za-z0-9+/_-]+={0,2})+")
 _HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 # An object's first byte makes the first two characters e and w to z.
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(e[w-z][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
@@ -36,7 +42,7 @@ _BLOBS = (b"ssh-rsa", b"ssh-ed25519", b"ssh-dss", b"ecdsa-sha2-")
 
 
 def unbase64(text: str) -> bytes | None:
-    text = re.sub(r"\s", "", text).replace("-", "+").replace("_", "/").rstrip("=")
+    text = re.sub(r"\\+[nrt]|[\s\\]", "", text).replace("-", "+").replace("_", "/").rstrip("=")
     if len(text) % 4 == 1:
         return None
     try:
@@ -83,11 +89,74 @@ def encoded_key(data: bytes | None) -> bool:
         return False
     inner = _fields(outer[0][1]) or []
     tags = [t for t, _ in inner]
+    if tags == [0x30, 4]:  # encrypted: an algorithm with its parameters (a digest has none)
+        return [t for t, _ in _fields(inner[0][1]) or []] == [6, 0x30]
     # Version and numbers (private), or an algorithm's sequence with key bits.
     return len(tags) >= 2 and set(tags) <= {2, 3, 4, 5, 6, 0x30, 0x31, 0xA0, 0xA1} and (
         tags[0] == 2 and (4 in tags or tags.count(2) >= 2) or tags[0] == 0x30 and 3 in tags)
 
 
+def _prefixed(data: bytes, at: int, n: int) -> int | None:
+    """Where the ``n`` length-prefixed fields from ``at`` end."""
+    for _ in range(n):
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at
+
+
+def _length(parts: list[str], i: int) -> int | None:
+    """Bytes of the key that starts with line ``i``, by what its own lengths say."""
+    head = unbase64(parts[i][:36]) or b""
+    if head[:1] == b"\x30" and len(head) > 6:
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]
+    ssh = head.startswith(b"openssh-key-v1\0")
+    kind = next((b for b in _BLOBS if head[4:].startswith(b)), None)
+    if not ssh and not kind:
+        return None
+    text = "".join(parts[i:]).partition("=")[0]
+    data = unbase64(text[: len(text) // 4 * 4]) or b""
+    if kind:
+        return _prefixed(data, 0, {b"ssh-ed25519": 2, b"ssh-dss": 5}.get(kind, 3))
+    at = _prefixed(data, 15, 3)  # cipher and key derivation, then a count of public keys, and all private ones
+    if at is None or at + 4 > len(data):
+        return None
+    n = int.from_bytes(data[at : at + 4], "big")
+    return _prefixed(data, at + 4, n + 1)
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int]]:
+    """Keys in base64 over two lines or more, from the start of a line's run to the end of another's.
+
+    Certificates and requests, a signed sequence with its signature, are no keys.
+    """
+    for block in _WRAPPED.finditer(text):
+        begins, ends = [block.start()], []
+        for gap in _GAP.finditer(text, *block.span()):
+            ends.append(gap.start())
+            begins.append(gap.end())
+        ends.append(block.end())
+        parts = [text[a:b] for a, b in zip(begins, ends, strict=True)]
+        edges = [0, *accumulate(len(p.rstrip("=")) for p in parts)]
+        i = 0
+        while i < len(parts) - 1:
+            size = _length(parts, i) if len(parts[i]) >= 40 else None
+            j = bisect_left(edges, edges[i] + -(-size * 4 // 3)) if size else 0
+            if i + 1 < j < len(edges) and edges[j] == edges[i] + -(-size * 4 // 3):
+                data = unbase64("".join(parts[i:j]))
+                if encoded_key(data) and not _signed(data):
+                    yield begins[i], ends[j - 1]
+                    i = j
+                    continue
+            i += 1
+
+
+def _signed(data: bytes) -> bool:
+    outer = _fields(data) if data[0] == 0x30 else None
+    return bool(outer) and [t for t, _ in _fields(outer[0][1]) or []] == [0x30, 0x30, 3]
+
+
 def signed_token(header: str) -> bool:
     data = unbase64(header)
     try:
@@ -111,7 +180,10 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if "-----BEGIN " in text:
         found += [("pem", m.start(), m.end()) for m in _PEM.finditer(text) if encoded_key(unbase64(m[2]))]
     if longest >= 40:
-        found += [("key64", m.start(), m.end()) for m in _BASE64.finditer(text) if encoded_key(unbase64(m[0]))]
+        whole = list(_wrapped(text))  # in order; a line of such a key is not reported by itself
+        lines = [m.span() for m in _BASE64.finditer(text) if encoded_key(unbase64(m[0]))]
+        found += [("key64", *s) for s in whole]
+        found += [("key64", a, b) for a, b in lines if not (k := bisect_left(whole, (a + 1,))) or whole[k - 1][1] < b]
     if longest >= 64:
         found += [("keyhex", m.start(), m.end()) for m in _HEXKEY.finditer(text) if encoded_key(bytes.fromhex(m[0]))]
     if longest >= 24:

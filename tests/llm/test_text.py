@@ -69,6 +69,57 @@ def test_structure_is_confirmed():
     assert not secrets.find("eyJub3QiOiJhIHRva2VuIn0.eyJzdWIiOjF9.c2ln")  # an object without an algorithm
 
 
+def spans(text):
+    return [(k, text[a:b]) for k, a, b in secrets.find(text) if k in ("pem", "key64")]
+
+
+def test_encrypted_keys():
+    kdf = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\1\5\x0c"), der(0x30, der(4, b"salt" * 2), der(2, b"\x08\0")))
+    cipher = der(0x30, der(6, b"\x60\x86\x48\1\x65\3\4\1\x2a"), der(4, b"i" * 16))
+    locked = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\1\5\x0d"), der(0x30, kdf, cipher)), der(4, bytes(range(160))))
+    assert secrets.encoded_key(locked) and not secrets.encoded_key(locked[:-1])
+    digest = der(0x30, der(0x30, der(6, b"\x60\x86\x48\1\x65\3\4\2\1"), der(5)), der(4, b"d" * 32))
+    assert not secrets.encoded_key(digest)
+    text = "-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + base64.encodebytes(locked).decode() + "-----END ENCRYPTED PRIVATE KEY-----"
+    assert spans(f"a {text} b")[0] == ("pem", text)
+
+
+def wrapped(data, width, end):
+    key = base64.b64encode(data).decode()
+    return end.join(key[i : i + width] for i in range(0, len(key), width))
+
+
+@pytest.mark.parametrize("end", ["\\n", "\\\\n", "\\r\\n", "\n", "\r\n", "\n    "])
+def test_keys_with_line_ends(end):
+    pem = f"-----BEGIN PRIVATE KEY-----{end}{wrapped(KEY, 64, end)}{end}-----END PRIVATE KEY-----"
+    text = '{"private_key": "' + pem + end + '"}'
+    assert spans(text)[0] == ("pem", pem) and spans(text.replace("/", "\\/"))[0][0] == "pem"
+    length = (3).to_bytes(4, "big")
+    openssh = b"openssh-key-v1\0" + (length + b"abc") * 3 + (1).to_bytes(4, "big") + (length + b"pub") + (120).to_bytes(4, "big") + bytes(120)
+    blob = b"\0\0\0\x07ssh-rsa" + length + b"\1\0\1" + (90).to_bytes(4, "big") + b"k" * 90
+    for data in (KEY, openssh, blob):
+        for width in (64, 76):
+            key = wrapped(data, width, end)
+            for before, after in (('"', '"'), ("key: ", ""), ("", f"{end}Then words"), (f"{'x' * 70}{end}", f"{end}{'y' * 64}{end}z")):
+                assert spans(before + key + after) == [("key64", key)], (before, after)
+            assert data == openssh or spans(key[:-8] + end + "and so on") == []
+    assert spans(f"{wrapped(KEY, 64, end)}{end}{wrapped(KEY, 76, end)}") == [("key64", wrapped(KEY, w, end)) for w in (64, 76)]
+
+
+def test_certificates_and_other_wrapped_data_are_no_keys():
+    name = der(0x30, der(6, b"\x2a\x86\x48"), der(5))
+    assert spans(wrapped(der(0x30, der(0x30, der(2, b"\1"), name), name, der(3, bytes(130))), 64, "\n")) == []
+    rng = random.Random(12)
+    for first in (b"", b"0", b"0\x81\xb1", b"0\x82\1\0", b"\0" * 9):
+        assert spans(wrapped(first + rng.randbytes(180), 64, "\n")) == []
+
+
+def test_wrapped_keys_are_redacted(spark):
+    key = wrapped(KEY, 76, "\n")
+    done = secrets.redact(R.frame(spark, [(1, f"my key:\n{key}\nis it")])).first()
+    assert done.text == "my key:\n[key64]\nis it"
+
+
 PATTERNS = {
     "assign": (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"""
                r"""[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
