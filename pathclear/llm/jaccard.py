@@ -38,8 +38,8 @@ SHARED, SPLIT = 2.0, 3.0
 SMALL, BLOCK, BLOCK_BYTES, SKETCH_BLOCK = 64, 1024, 32 << 20, 4096
 
 #: Bins of a sketch, smallest set that has one, and share of equal bins below which a pair is put aside: a pair
-#: of just the threshold's similarity has fewer about once in a million.
-BINS, SKETCHED, LIKELY = 64, 200, 0.55
+#: of just the threshold's similarity has fewer about once in twenty million (one sketch serves all runs).
+BINS, SKETCHED, LIKELY = 64, 200, 0.5
 
 _BLANK = np.zeros(0x110000, bool)
 _BLANK[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True

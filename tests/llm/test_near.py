@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 
 import numpy as np
@@ -61,6 +62,30 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, kind, small, block):
         assert kept.columns == R.frame(spark).columns and kept.count() == n
 
 
+def test_sketches_lose_next_to_nothing():
+    def fewer(n):
+        """Chance that a pair at the threshold has too few of ``n`` filled bins equal."""
+        return sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n + 1) if k < jaccard.LIKELY * n)
+
+    rng = np.random.default_rng(13)
+    filled = [np.unique(rng.integers(0, jaccard.BINS, jaccard.SKETCHED)).size for _ in range(2000)]
+    assert np.mean([fewer(n) for n in filled]) < 1e-6 and fewer(jaccard.BINS) < 1e-6
+
+
+def test_long_pairs_just_above_the_threshold(spark):
+    rng, rows = random.Random(14), []
+    for shingles in range(300, 1001, 10):
+        w = R.words(rng, shingles + 4).split()
+        least, most = -(-8 * shingles // 9), int(0.918 * shingles)  # shared ones: similarity of 0.80 to 0.85
+        new = shingles - (least if shingles % 20 else rng.randint(least, most))
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[: len(w) - new] + R.words(rng, new).split()))]
+    sets = [shingle_set(t) for _, t in rows]
+    share = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert min(share) >= 0.8 and max(share) <= 0.86
+    got = collections.Counter(tuple(r) for r in jaccard.similarity_join(R.frame(spark, rows)).collect())
+    assert got == classes(rows)[0]
+
+
 def test_empty_tables(spark):
     assert jaccard.similarity_join(R.empty(spark)).count() == 0
     assert jaccard.one_of_each(R.empty(spark)).count() == 0
