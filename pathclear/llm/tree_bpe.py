@@ -29,7 +29,8 @@ SEGMENT = 1 << 16
 #: Tokens on each side of the first window.
 WINDOW = 8
 
-_CUT = re.compile(r"(?<=\S)(?=\s)")
+# White space as the tokenizer has it (see pieces.classes): without U+001C to U+001F, which Python counts.
+_CUT = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
 
 
 def byte_table(library) -> dict[int, bytes]:

@@ -1,13 +1,15 @@
 import collections
 import random
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from pathclear.llm import packing, sections, tree_bpe
+from pathclear.llm import packing, pieces, sections, tree_bpe
 from pathclear.llm.pieces import Encoder
 from tests.llm import rows as R
 
@@ -58,6 +60,22 @@ def test_documents_encode_and_decode_as_the_library_does(spark):
     assert tree_bpe.encode_documents(R.empty(spark), BYTE).count() == 0
 
 
+def test_long_texts_are_cut_at_the_tokenizers_white_space(spark):
+    space = pieces.classes() == pieces._SPACE
+    cuts = {c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and tree_bpe._CUT.search("x" + chr(c))}
+    assert cuts == set(np.flatnonzero(space).tolist())
+    library = Tokenizer.from_file(BYTE)
+    texts = ["f(a)\x1f" * 30_000, "one f(a)\x1f\x1e" * 9_000 + "\x1f)" * 30_000]
+    batch = pa.RecordBatch.from_pydict({"text_key": ["0", "1"], "text": texts})
+    for part in tree_bpe._segments([])([batch]):
+        row = part.to_pylist()[0]
+        if row["seq"] and not row["soft"]:  # a hard cut has white space after it
+            assert space[ord(row["text"][0])]
+    got = {r.doc_id: r for r in tree_bpe.encode_documents(R.frame(spark, list(enumerate(texts))), BYTE).collect()}
+    for i, t in enumerate(texts):
+        assert list(got[i].ids) == library.encode(t, add_special_tokens=False).ids and got[i].decoded == t
+
+
 @pytest.mark.parametrize("kind", ["prose", "even", "few", "ones"])
 def test_plans_place_every_piece_once(kind):
     rng = np.random.default_rng(6)
