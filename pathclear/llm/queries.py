@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathclear.llm import chat, covertree, fingerprints, jaccard, licenses, packing, quality, secrets, sections, tree_bpe
+from pathclear.llm import (
+    chat, covertree, fingerprints, jaccard, licenses, packing, quality, secrets, sections, tree_bpe, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,3 +113,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(F.array_max("found.rank"), F.lit(0)) / 101.0, F.when(F.size("base") > 0, 0.5).otherwise(0.0))
         ).alias("score"),
     )
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to web archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL["op11_warc"] = warc.SQL
