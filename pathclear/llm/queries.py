@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathclear.llm import (
-    chat, covertree, fingerprints, jaccard, licenses, packing, quality, secrets, sections, tree_bpe, warc,
+    chat, covertree, fingerprints, jaccard, licenses, packing, quality, secrets, sections, tree_bpe, trie, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,12 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op11_warc"] = warc.SQL
+
+
+@query
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return trie.prefix_trie(trie.rebuilt(trie.turn_arrays(table(spark, sf_dir, "conversations"))))
+
+
+SQL["op12_trie"] = trie.SQL
