@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathclear.llm import (
-    chat, covertree, fingerprints, jaccard, licenses, packing, quality, secrets, sections, tree_bpe, trie, warc,
+    chat, covertree, fingerprints, jaccard, licenses, merkle, packing, quality, secrets, sections, tree_bpe, trie, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,13 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_trie"] = trie.SQL
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, checked after tampering with a third of them."""
+    made = merkle.document_manifest(table(spark, sf_dir, "documents"), merkle.tampered_text())
+    return merkle.verified(made, "doc_id", "claimed")
+
+
+SQL["op13_merkle"] = merkle.SQL

@@ -222,7 +222,7 @@ def prefix_trie(arrays: DataFrame) -> DataFrame:
     convs = settle(arrays.select("conv_id", key.alias("key"), "turns"))
     active = convs.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("least"), F.first("turns").alias("turns")).select(
-        F.lit("").alias("head"), F.lit(None).cast("string").alias("parent_head"), F.lit(0).alias("round"), F.lit(0).alias("depth"),
+        F.left("key", F.lit(0)).alias("head"), F.lit(None).cast("string").alias("parent_head"), F.lit(0).alias("round"), F.lit(0).alias("depth"),
         F.lit(None).cast("long").alias("parent_conv"), F.col("turns.id").alias("ids"), F.col("turns.size").alias("sizes"), "n", "least", "key")
     rest, bursts = [], []
     while True:
