@@ -97,6 +97,14 @@ class SpeedTracker:
     taking_up: Streak = field(default_factory=Streak)
     leaving: Streak = field(default_factory=Streak)
 
+    def kept(self) -> list:
+        """Everything that later frames depend on."""
+        return [self.speed, self.known, self.idle_s, self.taking_up.speed, self.taking_up.frames, self.leaving.speed, self.leaving.frames]
+
+    def resume(self, kept: list) -> None:
+        self.speed, self.known, self.idle_s = kept[:3]
+        self.taking_up, self.leaving = Streak(*kept[3:5]), Streak(*kept[5:])
+
     def update(self, errors, dt: float) -> tuple[bool, float]:
         """(valid, displacement in metres) of one frame; missing errors are infinite."""
         given = np.asarray(errors if errors is not None else [], dtype=float)

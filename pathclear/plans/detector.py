@@ -139,12 +139,7 @@ def hold_floor(meta: DataFrame, floor: DataFrame, config: DetectorConfig) -> Dat
         F.col("a").isNotNull().alias("floor_valid"), F.coalesce("inliers", F.lit(0)).alias("inliers"),
         F.least(F.lit(float(config.detection_roi.high[0])), reach + 3.0).alias("end_x"),
     )
-    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
-    hold = config.ground_hold_frames
-    return folds.ordered_fold(
-        rows, CHAIN, ["frame_sequence"], lambda: folds.FloorHold(hold),
-        f"{schema}, held boolean, life int, geometry_reason string",
-    )
+    return folds.hold_floors(rows, CHAIN, ["frame_sequence"], config.ground_hold_frames)
 
 
 def motion_inputs(used: DataFrame, points: DataFrame, config: DetectorConfig) -> DataFrame:
@@ -237,17 +232,6 @@ def _with_rails(rows, used, points, config):
     }).drop("refit", "rails")
 
 
-def motion_and_route(inputs: DataFrame, config: DetectorConfig) -> DataFrame:
-    kept = [(n, t) for n, t in inputs.dtypes if n not in ("errors", "motion", "dt_s")]
-    schema = ", ".join(f"{n} {t}" for n, t in kept)
-    contrast, smoothing = config.ego_min_contrast, config.route_smoothing
-    return folds.ordered_fold(
-        inputs, LIFE, ["frame_sequence"], lambda: folds.MotionAndRoute(contrast, smoothing),
-        f"{schema}, c0 double, c1 double, c2 double, ego_motion_valid boolean, "
-        "ego_speed_mps double, odometry_m double, epoch int, stood_still boolean",
-    )
-
-
 def _line():
     return F.col("c0"), F.col("c1"), F.col("c2")
 
@@ -560,7 +544,8 @@ def analyse_points(rows: DataFrame, raw: DataFrame, config: DetectorConfig) -> D
     points = settle_by(kept.join(live, KEY, "left_semi"), KEY)
     held = settle(hold_floor(meta, floors(points, config), config))
     used = held.filter(F.col("geometry_reason").isNull())
-    moved = motion_and_route(motion_inputs(used, points, config), config)
+    moved = folds.motion_and_route(
+        motion_inputs(used, points, config), LIFE, ["frame_sequence"], config.ego_min_contrast, config.route_smoothing)
     params = settle(frame_parameters(used, moved, config).withColumn(
         "moving", F.col("ego_motion_valid") & (F.col("ego_speed_mps") >= config.envelope_min_speed_mps)
     ))

@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from pathclear.queries import (  # noqa: F401
+    chain_queries,
     frame_queries,
     neighbour_queries,
     point_queries,
