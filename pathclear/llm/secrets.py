@@ -1,9 +1,13 @@
 """Secret scan with structural confirmation.
 
 Three base patterns are reported as they match. Beyond them, what looks like base64 or hex is decoded and
-reported only if its structure holds: nested lengths of an encoded key that fill the data exactly,
-length-prefixed fields of a public-key blob, or a signed token's header that is an object with an
-algorithm. Keys may be wrapped, with line ends as they are or written as a backslash and a letter. Cheap substring tests and the length of the longest word decide which patterns run at all.
+reported only if its structure holds: nested lengths of an encoded private key that fill the data exactly,
+length-prefixed fields of a private-key blob, packets of an armoured key, or a signed token's header that is an
+object with an algorithm. Public keys, certificates, requests and signatures have other parts and are told
+from private keys by them. Keys may be wrapped, with line ends as they are or written as a backslash and a
+letter. Cheap substring tests and the length of the longest word decide which patterns run at all, and every
+text is gone over in time that is linear in its length: lengths inside a key are followed from header to
+header before anything is decoded, and no candidate longer than ``LONGEST`` is a key.
 """
 
 from __future__ import annotations
@@ -29,16 +33,20 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # A maximal run of hex digits or of an access key's characters is the leftmost match, long enough or not.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})KEY-----([A-Za-z0-9+/=\s\\]+)-----END \1KEY-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-# Line ends, real or escaped any number of times, with the blanks around them; base64 over two lines or more.
-_GAP = re.compile(r"(?:[ \t]*(?:\\+[nr]|\\?\r?\n|\r))+(?:[ \t]|\\+t)*")
-_WRAPPED = re.compile(
-    r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nrt]))[A-Za-z0-9+/_-]{40,}={0,2}(?:" + _GAP.pattern + r"[A-Za-z0-9+/_-]+={0,2})+")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,60}+)-----")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
+# A line end, real or escaped any number of times; such ends with the blanks around them; base64 up to one.
+_END = r"(?:\\++[nr]|\\?\r?\n|\r(?!\n))"
+_GAP = re.compile(r"(?:[ \t]*+" + _END + r")++(?:[ \t]|\\++t)*+")
+_LEAD = re.compile(r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nrt]))[A-Za-z0-9+/_-]{40,}+={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]++={0,2}")
 _HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 # An object's first byte makes the first two characters e and w to z.
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])(e[w-z][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
-_BLOBS = (b"ssh-rsa", b"ssh-ed25519", b"ssh-dss", b"ecdsa-sha2-")
+_JWT = re.compile(r"(?<![A-Za-z0-9_.-])(e[w-z][A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{2,}+)\.[A-Za-z0-9_-]*+")
+#: Kinds of length-prefixed blobs and the fields of their private form (its name included); public ones have fewer.
+_BLOBS = {b"ssh-rsa": 7, b"ssh-ed25519": 3, b"ssh-dss": 6, b"ecdsa-sha2-": 4}
+#: Bytes of the longest private key in any encoding (those of 16,384 bits have some 10,000), and of an object's parts.
+LONGEST, PARTS = 1 << 16, 16
 
 
 def unbase64(text: str) -> bytes | None:
@@ -79,7 +87,7 @@ def encoded_key(data: bytes | None) -> bool:
     if data.startswith(b"openssh-key-v1\0"):
         return True
     size = int.from_bytes(data[:4], "big")
-    if data[4 : 4 + size].startswith(_BLOBS) and 7 <= size <= 64:
+    if data[4 : 4 + size].startswith(tuple(_BLOBS)) and 7 <= size <= 64:
         at = 0
         while at + 4 <= len(data):
             at += 4 + int.from_bytes(data[at : at + 4], "big")
@@ -96,65 +104,162 @@ def encoded_key(data: bytes | None) -> bool:
         tags[0] == 2 and (4 in tags or tags.count(2) >= 2) or tags[0] == 0x30 and 3 in tags)
 
 
-def _prefixed(data: bytes, at: int, n: int) -> int | None:
-    """Where the ``n`` length-prefixed fields from ``at`` end."""
-    for _ in range(n):
-        if at + 4 > len(data):
-            return None
+def private_parts(tags: list[int]) -> bool:
+    """Whether an object's parts are those of a private key: a version and an algorithm with key bits, a version
+    and all numbers (of two-number objects, some are public keys and some signatures), or an algorithm with what
+    it has encrypted."""
+    return tags[:3] == [2, 0x30, 4] or tags[:2] == [2, 4] or tags in ([2] * 6, [2] * 9, [2] * 9 + [0x30], [0x30, 4])
+
+
+def _blob_fields(data: bytes) -> int:
+    at = n = 0
+    while at + 4 <= len(data):
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at
+        n += 1
+    return n
 
 
-def _length(parts: list[str], i: int) -> int | None:
-    """Bytes of the key that starts with line ``i``, by what its own lengths say."""
-    head = unbase64(parts[i][:36]) or b""
-    if head[:1] == b"\x30" and len(head) > 6:
+def private_key(data: bytes | None) -> bool:
+    """A private key in one of the common encodings, by its structure."""
+    if not encoded_key(data) or len(data) > LONGEST:
+        return False
+    if data.startswith(b"openssh-key-v1\0"):
+        return True
+    if data[0] == 0x30:
+        return private_parts([t for t, _ in _fields(_fields(data)[0][1])])
+    return _blob_fields(data) >= next(n for name, n in _BLOBS.items() if data[4:].startswith(name))
+
+
+def armoured_key(data: bytes | None) -> bool:
+    """Packets of an armoured private key: the first is a secret key, and all of them fill the data."""
+    at, first = 0, True
+    while data and at + 2 < len(data):
+        head, at = data[at], at + 1
+        if not head & 0x80:
+            return False
+        tag = head & 63 if head & 0x40 else head >> 2 & 15
+        partial = True
+        while partial:
+            partial = False
+            if head & 0x40:
+                a = data[at] if at < len(data) else 255
+                wide = 1 if a < 192 or 224 <= a < 255 else 2 if a < 224 else 5
+                more = data[at + 1 : at + wide]
+                partial = 224 <= a < 255
+                size = (1 << (a & 31) if partial else a if a < 192 else (a - 192 << 8) + (more or b"\0")[0] + 192 if a < 224
+                        else int.from_bytes(more, "big"))
+            else:
+                wide = (1, 2, 4, 0)[head & 3]
+                size = int.from_bytes(data[at : at + wide], "big") if wide else len(data) - at
+            at += wide
+            if first and (tag != 5 or at >= len(data) or data[at] not in (3, 4, 5, 6)):
+                return False
+            first = False
+            at += size
+    return not first and at == len(data)
+
+
+def _armoured(text: str) -> Iterator[tuple[int, int]]:
+    """Blocks between marks of one name that hold a private key."""
+    begun = None
+    for mark in _MARK.finditer(text):
+        if mark[1] == "END" and begun and begun[2] == mark[2] and mark[2].endswith(("KEY", "KEY BLOCK")):
+            lines = [x.strip(" \t") for x in re.split(_END, re.sub(r"\\++t", " ", text[begun.end() : mark.start()]))]
+            heads = [x for x in lines if ":" in x]
+            body = [x for x in lines if ":" not in x and x[:1] != "="]
+            data = unbase64("".join(body))
+            said = " ".join(heads)
+            if mark[2].endswith("BLOCK"):
+                found = armoured_key(data)
+            elif "ENCRYPTED" in said and re.search(r"DEK-Info: *[A-Z0-9-]+,[0-9A-Fa-f]{16,}", said):
+                found = bool(data) and len(data) >= 24 and len(data) % 8 == 0  # whole blocks of the cipher
+            else:
+                found = private_key(data)
+            if found:
+                yield begun.start(), mark.end()
+        begun = mark if mark[1] == "BEGIN" else None
+
+
+class _Lines:
+    """Base64 over several lines; bytes are read from any line on without decoding what is between."""
+
+    def __init__(self, parts: list[str]):
+        self.parts = parts
+        self.edges = [0, *accumulate(len(p.rstrip("=")) for p in parts)]
+        self.text = "".join(p.rstrip("=") for p in parts).replace("-", "+").replace("_", "/")
+
+    def read(self, line: int, at: int, n: int) -> bytes:
+        first = self.edges[line] + at // 3 * 4
+        text = self.text[first : self.edges[line] + -(-(at + n) // 3) * 4]
+        return binascii.a2b_base64(text[: len(text) // 4 * 4])[at % 3 : at % 3 + n] if len(text) >= 4 else b""
+
+    def object(self, line: int, at: int) -> tuple[int, int, int] | None:
+        """Tag, and first and last byte of the object at a byte."""
+        head = self.read(line, at, 6)
+        if len(head) < 2:
+            return None
         n = head[1] & 0x7F if head[1] & 0x80 else 0
-        return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]
-    ssh = head.startswith(b"openssh-key-v1\0")
-    kind = next((b for b in _BLOBS if head[4:].startswith(b)), None)
-    if not ssh and not kind:
-        return None
-    text = "".join(parts[i:]).partition("=")[0]
-    data = unbase64(text[: len(text) // 4 * 4]) or b""
-    if kind:
-        return _prefixed(data, 0, {b"ssh-ed25519": 2, b"ssh-dss": 5}.get(kind, 3))
-    at = _prefixed(data, 15, 3)  # cipher and key derivation, then a count of public keys, and all private ones
-    if at is None or at + 4 > len(data):
-        return None
-    n = int.from_bytes(data[at : at + 4], "big")
-    return _prefixed(data, at + 4, n + 1)
+        if n > 4 or len(head) < 2 + n or head[1] == 0x80:
+            return None
+        first = at + 2 + n
+        return head[0], first, first + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+    def fields(self, line: int, at: int, n: int) -> int | None:
+        """Where ``n`` length-prefixed fields end."""
+        for _ in range(n):
+            size = self.read(line, at, 4)
+            if len(size) < 4 or at > LONGEST:
+                return None
+            at += 4 + int.from_bytes(size, "big")
+        return at
+
+    def claimed(self, line: int) -> int | None:
+        """Bytes of the private key that starts with a line, by its own lengths and parts."""
+        head = self.read(line, 0, 30)
+        if head.startswith(b"openssh-key-v1\0"):
+            at = self.fields(line, 15, 3)  # cipher and key derivation, then a count of public keys, and all private ones
+            count = self.read(line, at, 4) if at else b""
+            n = int.from_bytes(count, "big") if len(count) == 4 else PARTS
+            return self.fields(line, at + 4, n + 1) if n < PARTS else None
+        for name, n in _BLOBS.items():
+            if head[4:].startswith(name):
+                return self.fields(line, 0, n)
+        outer = self.object(line, 0) if head[:1] == b"0" else None
+        if not outer or outer[2] > LONGEST:
+            return None
+        tags, at = [], outer[1]
+        while at < outer[2] and len(tags) < PARTS:
+            part = self.object(line, at)
+            if part is None:
+                return None
+            tags.append(part[0])
+            at = part[2]
+        return outer[2] if at == outer[2] and private_parts(tags) else None
 
 
 def _wrapped(text: str) -> Iterator[tuple[int, int]]:
-    """Keys in base64 over two lines or more, from the start of a line's run to the end of another's.
-
-    Certificates and requests, a signed sequence with its signature, are no keys.
-    """
-    for block in _WRAPPED.finditer(text):
-        begins, ends = [block.start()], []
-        for gap in _GAP.finditer(text, *block.span()):
-            ends.append(gap.start())
-            begins.append(gap.end())
-        ends.append(block.end())
-        parts = [text[a:b] for a, b in zip(begins, ends, strict=True)]
-        edges = [0, *accumulate(len(p.rstrip("=")) for p in parts)]
-        i = 0
-        while i < len(parts) - 1:
-            size = _length(parts, i) if len(parts[i]) >= 40 else None
-            j = bisect_left(edges, edges[i] + -(-size * 4 // 3)) if size else 0
-            if i + 1 < j < len(edges) and edges[j] == edges[i] + -(-size * 4 // 3):
-                data = unbase64("".join(parts[i:j]))
-                if encoded_key(data) and not _signed(data):
-                    yield begins[i], ends[j - 1]
-                    i = j
-                    continue
-            i += 1
-
-
-def _signed(data: bytes) -> bool:
-    outer = _fields(data) if data[0] == 0x30 else None
-    return bool(outer) and [t for t, _ in _fields(outer[0][1]) or []] == [0x30, 0x30, 3]
+    """Keys in base64 over two lines or more, from the start of a line's run to the end of another's."""
+    done = 0
+    for lead in _LEAD.finditer(text):
+        if lead.start() < done:
+            continue
+        runs = [lead.span()]
+        while (gap := _GAP.match(text, runs[-1][1])) and (run := _RUN.match(text, gap.end())):
+            runs.append(run.span())
+        done = runs[-1][1]
+        if len(runs) == 1:
+            continue
+        lines = _Lines([text[a:b] for a, b in runs])
+        edges, i = lines.edges, 0
+        while i < len(runs) - 1:
+            size = lines.claimed(i) if len(lines.parts[i]) >= 40 else None
+            whole = edges[i] + -(-size * 4 // 3) if size and size <= LONGEST else -1
+            j = bisect_left(edges, whole)
+            if i + 1 < j < len(edges) and edges[j] == whole and private_key(unbase64("".join(lines.parts[i:j]))):
+                yield runs[i][0], runs[j - 1][1]
+                i = j
+            else:
+                i += 1
 
 
 def signed_token(header: str) -> bool:
@@ -178,14 +283,14 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if longest >= 24:
         found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     if "-----BEGIN " in text:
-        found += [("pem", m.start(), m.end()) for m in _PEM.finditer(text) if encoded_key(unbase64(m[2]))]
+        found += [("pem", *s) for s in _armoured(text)]
     if longest >= 40:
         whole = list(_wrapped(text))  # in order; a line of such a key is not reported by itself
-        lines = [m.span() for m in _BASE64.finditer(text) if encoded_key(unbase64(m[0]))]
+        lines = [m.span() for m in _BASE64.finditer(text) if private_key(unbase64(m[0]))]
         found += [("key64", *s) for s in whole]
         found += [("key64", a, b) for a, b in lines if not (k := bisect_left(whole, (a + 1,))) or whole[k - 1][1] < b]
     if longest >= 64:
-        found += [("keyhex", m.start(), m.end()) for m in _HEXKEY.finditer(text) if encoded_key(bytes.fromhex(m[0]))]
+        found += [("keyhex", m.start(), m.end()) for m in _HEXKEY.finditer(text) if private_key(bytes.fromhex(m[0]))]
     if longest >= 24:
         found += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if signed_token(m[1])]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -197,8 +302,8 @@ _SPAN = "struct<kind:string,start:bigint,end:bigint>"
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, spans`` of every text: an array of (kind, start, end), ordered by start and kind.
 
-    Null and empty texts have no spans. Rows that repeat are scanned each, spans may overlap, other
-    columns are not read; texts are scanned whole whatever their length.
+    Null and empty texts have no spans, an empty table gives an empty one. Rows that repeat are scanned each,
+    spans may overlap, other columns are not read; texts are scanned whole whatever their length.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -217,7 +322,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with every secret in ``text`` replaced by its kind in brackets.
 
     Overlapping spans are replaced together, named by the first. Other columns stay as they are; a null
-    text stays null.
+    text stays null and an empty one empty; rows that repeat stay, each with its secrets replaced; an empty
+    table stays empty.
     """
     def clean(text: str) -> str:
         out, at = [], 0

@@ -3,6 +3,7 @@ import collections
 import json
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -96,7 +97,8 @@ def test_keys_with_line_ends(end):
     assert spans(text)[0] == ("pem", pem) and spans(text.replace("/", "\\/"))[0][0] == "pem"
     length = (3).to_bytes(4, "big")
     openssh = b"openssh-key-v1\0" + (length + b"abc") * 3 + (1).to_bytes(4, "big") + (length + b"pub") + (120).to_bytes(4, "big") + bytes(120)
-    blob = b"\0\0\0\x07ssh-rsa" + length + b"\1\0\1" + (90).to_bytes(4, "big") + b"k" * 90
+    # A blob with all of a private key's numbers.
+    blob = b"\0\0\0\x07ssh-rsa" + (length + b"\1\0\1") * 4 + ((30).to_bytes(4, "big") + b"k" * 30) * 2
     for data in (KEY, openssh, blob):
         for width in (64, 76):
             key = wrapped(data, width, end)
@@ -114,6 +116,66 @@ def test_certificates_and_other_wrapped_data_are_no_keys():
         assert spans(wrapped(first + rng.randbytes(180), 64, "\n")) == []
 
 
+NUMBER = der(2, b"\x07" * 32)
+ALGORITHM = der(0x30, der(6, b"\x2a\x86\x48"), der(5))
+
+
+@pytest.mark.parametrize("data", [
+    der(0x30, der(0x30, der(2, b"\1"), ALGORITHM), ALGORITHM, der(3, bytes(130))),  # certificate
+    der(0x30, ALGORITHM, der(3, bytes(130))), der(0x30, NUMBER, der(2, b"\1\0\1")),  # public keys
+    der(0x30, NUMBER, NUMBER),  # signature
+    b"\0\0\0\x07ssh-rsa" + b"\0\0\0\x03\1\0\1" + b"\0\0\0\x80" + bytes(128), b"\0\0\0\x0bssh-ed25519" + b"\0\0\0\x20" + bytes(32),
+])
+@pytest.mark.parametrize("width", [64, 10_000])
+def test_what_is_public_is_no_secret(data, width):
+    body = wrapped(data, width, "\n")
+    for name in ("PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE"):
+        assert spans(f"{body}\n-----BEGIN {name}-----\n{body}\n-----END {name}-----") == []
+
+
+@pytest.mark.parametrize("data", [
+    der(0x30, der(2, b"\0"), ALGORITHM, der(4, bytes(60))), der(0x30, der(2, b"\1"), der(4, bytes(32)), der(0xA0, der(6, b"\x2a\x86\x48"))),
+    der(0x30, der(2, b"\0"), *[NUMBER] * 5), KEY, b"\0\0\0\x0bssh-ed25519" + (b"\0\0\0\x20" + bytes(32)) * 2])
+def test_private_forms_on_one_line_and_wrapped(data):
+    one, two = wrapped(data, 10_000, ""), wrapped(data, 64, "\n")
+    assert spans(f"a {one} b") == [("key64", one)]
+    assert spans(f"a\n{two}\nb") == [("key64", two)]
+
+
+def test_encrypted_traditional_and_armoured_keys():
+    body = base64.encodebytes(bytes(range(160))).decode()
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    text = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{body}-----END RSA PRIVATE KEY-----"
+    for given in (text, text.replace("\n", "\r\n"), text.replace("\n", "\\n")):
+        assert spans(f'x "{given}" y') == [("pem", given)]
+    assert spans(text.replace(head, "")) == [] and spans(text.replace("DEK-Info", "Comment")) == []
+    secret, name = b"\4" + bytes(200), b"someone"
+    for packets in (b"\x95" + len(secret).to_bytes(2, "big") + secret + b"\xb4" + bytes([len(name)]) + name,
+                    b"\xc5" + bytes([192, len(secret) - 192]) + secret + b"\xcd" + bytes([len(name)]) + name,
+                    b"\xc5\xe7" + secret[:128] + bytes([len(secret) - 128]) + secret[128:]):
+        text = ("-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n" + base64.encodebytes(packets).decode()
+                + "=abcd\n-----END PGP PRIVATE KEY BLOCK-----")
+        assert spans(text) == [("pem", text)]
+        for wrong in (packets[:-1], packets + b"\1\2\3", b"\x99" + packets[1:], packets.replace(b"\4", b"\x77", 1)):
+            assert not secrets.armoured_key(wrong)
+    assert spans(text.replace("PGP PRIVATE", "PGP PUBLIC", 1)) == []
+
+
+def test_time_is_linear():
+    line = base64.b64encode(KEY).decode()[:64]
+    openssh = base64.b64encode(b"openssh-key-v1\0" + bytes(33)).decode()
+    long = der(0x30, der(2, b"\0"), b"\x04\x83\x0f\0\0" + bytes(31))
+    lying = base64.b64encode(b"\x30\x83\x0f\0\x08" + long[3:46] + bytes(8)).decode()[:64]
+    texts = ["x" * 44 + "\r\n" * 500_000 + "!", (line + "\n") * 16_000, (openssh + "\n") * 16_000, (lying + "\r\n") * 16_000,
+             "-----BEGIN RSA PRIVATE KEY-----\n" * 30_000, "https://" + "a/" * 30 + "\r\n" * 300_000 + "x", "\\" * 1_000_000,
+             ("x" * 44 + " \t" * 20) * 10_000, "e" + "y" * 1_000_000, "token " + " " * 1_000_000, "0a" * 500_000 + "b",
+             base64.b64encode(b"\x30\x83\x0f\0\0" + bytes(700_000)).decode()]
+    for text in texts:
+        begin = time.process_time()
+        secrets.find(text)
+        assert time.process_time() - begin < 1.5, text[:80]
+
+
 def test_wrapped_keys_are_redacted(spark):
     key = wrapped(KEY, 76, "\n")
     done = secrets.redact(R.frame(spark, [(1, f"my key:\n{key}\nis it")])).first()
