@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from pathclear.functions.settling import settle
@@ -327,11 +327,11 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield result(compare(*key, held))
 
 
-def _bucket_figures(rows: DataFrame, *keys: str) -> DataFrame:
+def _figures(groups: GroupedData) -> DataFrame:
     mark = F.xxhash64("node")
-    return rows.groupBy(*keys).agg(
+    return groups.agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"), F.bit_xor(mark).alias("x"),
-        F.sum(F.shiftrightunsigned(mark, 20)).alias("s")).filter(F.col("n") > 1)
+        F.sum(F.shiftrightunsigned(mark, 20)).alias("s"))
 
 
 def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -352,15 +352,20 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
     nodes = settle(nodes)
     rows = nodes.select("node", "size", F.explode("buckets").alias("b")).select("node", "size", "b.path", "b.kids")
-    figures = settle(_bucket_figures(rows, "path"))
+    figures = settle(_figures(rows.groupBy("path")).filter("n > 1"))
     met = settle(rows.join(figures.select("path", "n"), "path"))
-    kids = met.filter(F.col("n") > SMALL).select("node", "size", F.col("path").alias("parent"), F.explode("kids").alias("path"))
-    split = settle(_bucket_figures(kids, "parent", "path"))
+    large = met.filter(F.col("n") > SMALL).withColumnRenamed("path", "parent").drop("n")
+    # Near copies have almost the same parts: equal lists of them are counted before any is taken apart.
+    alike = _figures(large.groupBy("parent", "kids"))
+    split = settle(alike.select("parent", F.explode("kids").alias("path"), "n", "tokens", "x", "s").groupBy("parent", "path").agg(
+        F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.bit_xor("x").alias("x"), F.sum("s").alias("s")).filter("n > 1"))
     # Comparing a bucket's parts must be less work than comparing the bucket.
     work = split.groupBy(F.col("parent").alias("path")).agg(F.sum(F.col("n") * F.col("n")).alias("work"))
     judged = figures.join(work, "path", "left").withColumn(
         "whole", (F.col("n") <= SMALL) | (F.coalesce("work", F.lit(0)) >= F.col("n") * F.col("n")))
-    parts = split.join(judged.filter(~F.col("whole")).select(F.col("path").alias("parent")), "parent", "left_semi")
+    cut = settle(judged.filter(~F.col("whole")).select(F.col("path").alias("parent")))
+    parts = split.join(cut, "parent", "left_semi")
+    kids = large.join(cut, "parent", "left_semi").select("node", F.explode("kids").alias("path"))
     last = judged.filter("whole").select("path", "n", "tokens", "x", "s").unionByName(
         parts.select("path", "n", "tokens", "x", "s"))
     # Buckets of the same nodes are one.
