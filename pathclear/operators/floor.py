@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathclear.config import DetectorConfig
+from pathclear.operators.grids import lowest_per_cell
 
 # Fixed values of the sampling sequence: attempts, seed, multiplier, increment (modulo 2^32).
 ATTEMPTS, SEED, MULTIPLIER, INCREMENT = 256, 0x9E3779B9, 1664525, 1013904223
@@ -112,6 +113,14 @@ def floor_from_seeds(x: Column, y: Column, z: Column, config: DetectorConfig) ->
     return fit(x, y, z)
 
 
+def sampled_floor(points: DataFrame, keys: list[str], config: DetectorConfig) -> DataFrame:
+    """Floor plane ``a, b, c`` per frame that has one, from the lowest returns of its floor cells."""
+    seeds = lowest_per_cell(points, keys, config).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("cell", "x", "y", "z"))).alias("seeds"))
+    axes = [F.col(f"seeds.{c}") for c in "xyz"]
+    return seeds.select(*keys, floor_from_seeds(*axes, config).alias("p")).filter("p.valid").select(*keys, "p.a", "p.b", "p.c")
+
+
 def curve_of(now: np.ndarray, then: np.ndarray, last: int) -> list[float]:
     """Mean capped difference per forward shift of two (row, bin) profiles; NaN marks gaps."""
     bins, curve = now.shape[1], []
@@ -140,37 +149,3 @@ def shift_curve(
         missing = pk is None or top is None or np.isnan(top)
         curves.append(None if missing else curve_of(dense(k, v), dense(pk, pv), int(top)))
     return pd.Series(curves)
-
-
-def touches_wall(
-    low: Column, high: Column, far_cells: Column, cell_m: float = 0.5, wall_m: float = 1.6,
-    limit: int | None = None,
-) -> Column:
-    """Whether far returns lead cell by cell from a box to the wall zone beside the route.
-
-    ``far_cells``: array of structs ix, iy, offset (one per plan cell of the frame).  ``limit`` gives up after so
-    many cells; none by default.
-    """
-
-    @F.pandas_udf("boolean")
-    def flood(lo: pd.Series, hi: pd.Series, cells: pd.Series) -> pd.Series:
-        out = []
-        for a, b, near in zip(lo, hi, cells):
-            offset = {(c["ix"], c["iy"]): c["offset"] for c in near} if near is not None else {}
-            corner = [int(np.floor(v / cell_m)) for v in (*a, *b)]
-            start = [
-                (ix, iy) for ix in range(corner[0], corner[2] + 1)
-                for iy in range(corner[1], corner[3] + 1) if (ix, iy) in offset
-            ]
-            seen, stack, hit = set(start), start, False
-            while stack and not hit and (limit is None or len(seen) < limit):
-                ix, iy = stack.pop()
-                hit = abs(offset[ix, iy]) >= wall_m
-                for near_cell in ((ix + dx, iy + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)):
-                    if near_cell in offset and near_cell not in seen:
-                        seen.add(near_cell)
-                        stack.append(near_cell)
-            out.append(hit)
-        return pd.Series(out)
-
-    return flood(low, high, far_cells)

@@ -103,6 +103,28 @@ def cell_components(cells: DataFrame, keys: list[str], reach: int = 2, by_range:
     return small.groupBy(*keys).applyInPandas(label, schema)
 
 
+def wall_contact(
+    boxes: DataFrame, cells: DataFrame, keys: list[str], id_: str, cell_m: float = 0.5, wall_m: float = 1.6
+) -> DataFrame:
+    """``keys, id_`` of the boxes from which occupied plan cells lead, side by side or corner to corner, to the wall
+    zone beside the route.
+
+    ``cells``: keys, ix, iy, offset, one per occupied cell.  ``boxes``: keys, id_, lo_x, lo_y, hi_x, hi_y.  Cells
+    are labelled once per frame; a box touches a wall if a cell in it is of a component that reaches one.
+    """
+    half = g.CELL_STRIDE // 2
+    grid = cells.select(*keys, F.col("ix").alias("az"), (F.col("iy") + half).alias("el"), "offset")
+    parts = grid.join(cell_components(grid, keys, reach=1, by_range=False), [*keys, "az", "el"])
+    walls = parts.groupBy(*keys, "component").agg(F.max(F.abs("offset")).alias("_far")).filter(F.col("_far") >= wall_m)
+    leading = parts.join(walls, [*keys, "component"], "left_semi").select(*keys, F.col("az").alias("ix"), (F.col("el") - half).alias("iy"))
+
+    def covered(axis):
+        return F.explode(F.sequence(F.floor(F.col(f"lo_{axis}") / cell_m), F.floor(F.col(f"hi_{axis}") / cell_m))).alias(f"i{axis}")
+
+    asked = boxes.select(*keys, id_, "lo_y", "hi_y", covered("x")).select(*keys, id_, "ix", covered("y"))
+    return asked.join(leading, [*keys, "ix", "iy"], "left_semi").select(*keys, id_).distinct()
+
+
 def _signature(edges: DataFrame, keys: list[str]):
     mark = F.xxhash64(*keys, "u", "v")
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(mark)).first())

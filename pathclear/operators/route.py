@@ -16,10 +16,6 @@ from pathclear.functions.ranks import array_rank
 from pathclear.operators.grids import WALL_MAX_M, WALL_MIN_M, WALL_MIN_X, WALL_NEAR_MAX_X, trunc
 
 NEAR_SLICES = int(WALL_NEAR_MAX_X - WALL_MIN_X)
-ROUTE_SCHEMA = (
-    "c0 double, c1 double, c2 double, valid boolean, max_x double, "
-    "shifts array<struct<x double, shift double>>"
-)
 
 
 def _three_or_more_median(values: Column) -> Column:
@@ -109,97 +105,114 @@ def rail_shifts(points: DataFrame, keys: list[str], rail_height: Column) -> Data
     )
 
 
-def _solve(xs, shifts):
-    """Least squares without intercept over few slices; None when singular."""
-    if len(xs) < 3:
-        return None
-    x = np.asarray(xs)
-    s = np.asarray(shifts)
-    x2 = x * x
-    s2, s3, s4 = x2.sum(), (x2 * x).sum(), (x2 * x2).sum()
-    t1, t2 = (x * s).sum(), (x2 * s).sum()
-    det = s2 * s4 - s3 * s3
-    if abs(det) < 1e-9:
-        return None
-    return (t1 * s4 - t2 * s3) / det, (s2 * t2 - s3 * t1) / det
-
-
-def _follow_walls(slices: dict, bins: int, c2_limit: float) -> dict:
-    """Follow the walls outwards around the running fit; ``slices`` maps slice to sorted y."""
-    none = {"c0": 0.0, "c1": 0.0, "c2": 0.0, "valid": False, "max_x": 0.0, "shifts": []}
-
-    def nearest(slice_no, centre):
-        y = slices.get(slice_no)
-        if y is None:
-            return None, None
-        # Sorted values: the first at or beyond the near limit, kept only inside the far limit.
-        i = np.searchsorted(y, centre + WALL_MIN_M, "left")
-        left = y[i] if i < len(y) and y[i] <= centre + WALL_MAX_M else None
-        j = np.searchsorted(y, centre - WALL_MIN_M, "right") - 1
-        right = y[j] if j >= 0 and y[j] >= centre - WALL_MAX_M else None
-        return left, right
-
-    near = [nearest(i, 0.0) for i in range(NEAR_SLICES)]
-
-    def reference(side):
-        known = sorted(v[side] for v in near if v[side] is not None)
-        return known[len(known) // 2] if len(known) >= 3 else None
-
-    origin = reference(0), reference(1)
-    if origin == (None, None):
-        return none
-    xs, shifts, c1, c2 = [], [], 0.0, 0.0
-    for i in range(bins):
-        x = WALL_MIN_X + i + 0.5
-        predicted = c1 * x + c2 * x * x
-        gate = 0.3 + 0.01 * x
-        found = [
-            wall - base for wall, base in zip(nearest(i, predicted), origin)
-            if wall is not None and base is not None and abs(wall - base - predicted) <= gate
-        ]
-        if not found:
-            continue
-        xs.append(x)
-        shifts.append(sum(found) / len(found))
-        if len(xs) >= 5:
-            c1, c2 = _solve(xs, shifts) or (c1, c2)
-    if len(xs) < 10 or xs[-1] < 20:
-        return none
-    c1, c2 = _solve(xs, shifts) or (c1, c2)
-    x, s = np.asarray(xs), np.asarray(shifts)
-    residual = np.abs(s - (c1 * x + c2 * x * x))
-    keep = residual <= np.sort(residual)[len(x) * 9 // 10]
-    fit = _solve(x[keep], s[keep])
-    if fit is None or abs(fit[0]) > 0.05 or abs(fit[1]) > c2_limit:
-        return none
-    return {
-        "c0": 0.0, "c1": fit[0], "c2": fit[1], "valid": True, "max_x": x[keep][-1] + 0.5,
-        "shifts": [{"x": a, "shift": b} for a, b in zip(x[keep], s[keep])],
-    }
-
-
-def route_from_walls(walls: Column, config: DetectorConfig) -> Column:
-    """Route struct per frame from ``array<struct<slice, ys>>`` (sorted distinct y per slice).
-
-    The slices are followed one after another around a running fit, which no window can express;
-    a frame has at most 150 slices of a bounded cloud.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, inside a higher-order function."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _fit(sums: Column) -> Column:
+    """(c1, c2) of y = c1 x + c2 x^2 from running sums; null with fewer than three places or where singular."""
+    det = sums["s2"] * sums["s4"] - sums["s3"] * sums["s3"]
+    return F.when((sums["n"] >= 3) & (F.abs(det) >= 1e-9), F.struct(
+        ((sums["t1"] * sums["s4"] - sums["t2"] * sums["s3"]) / det).alias("c1"),
+        ((sums["s2"] * sums["t2"] - sums["s3"] * sums["t1"]) / det).alias("c2")))
+
+
+_SUMS = ("s2", "s3", "s4", "t1", "t2")
+
+
+def _added(sums: Column, x: Column, s: Column) -> list[Column]:
+    more = (x * x, x * x * x, x * x * x * x, x * s, x * x * s)
+    return [(sums["n"] + 1).alias("n"), *[(sums[k] + v).alias(k) for k, v in zip(_SUMS, more, strict=True)]]
+
+
+def _none() -> list[Column]:
+    return [F.lit(0).alias("n"), *[F.lit(0.0).alias(k) for k in _SUMS]]
+
+
+def _sides(ys: Column, centre: Column) -> Column:
+    """Nearest wall return left and right of a centre, within the limits of the wall zone."""
+    return F.struct(
+        F.array_min(F.filter(ys, lambda y: y.between(centre + WALL_MIN_M, centre + WALL_MAX_M))).alias("left"),
+        F.array_max(F.filter(ys, lambda y: y.between(centre - WALL_MAX_M, centre - WALL_MIN_M))).alias("right"))
+
+
+def follow_walls(rows: DataFrame, walls: str, config: DetectorConfig) -> DataFrame:
+    """Adds ``raw``, the route of each frame, from ``walls``: ``array<struct<slice, ys>>``, the distinct lateral
+    places of its wall returns per metre.
+
+    Slices are followed outwards around the running fit: a wall counts only near where the fit so far expects it,
+    so a wall that is lost is passed over until it comes back. What a slice does depends on all before it; it is
+    an aggregate over the at most 150 slices of a frame, in the JVM.
     """
     max_x = min(config.detection_roi.high[0], 150.0)
     bins = math.ceil(max_x - WALL_MIN_X)
     limit = 1.0 / (2.0 * config.route_min_radius_m)
-    enabled = config.route_estimation and max_x > WALL_NEAR_MAX_X
-
-    @F.pandas_udf(ROUTE_SCHEMA)
-    def follow(frames: pd.Series) -> pd.DataFrame:
-        rows = []
-        for frame in frames:
-            slices = {}
-            if enabled and frame is not None:
-                slices = {s["slice"]: np.asarray(s["ys"], dtype=np.float64) for s in frame}
-            rows.append(_follow_walls(slices, bins, limit))
-        return pd.DataFrame(rows)
-
-    return follow(walls)
+    if not (config.route_estimation and max_x > WALL_NEAR_MAX_X):
+        return rows.withColumn("raw", _no_route())
+
+    def reference(side: str) -> Column:
+        known = F.array_sort(F.array_compact(F.transform("_near", lambda w: w[side])))
+        return F.when(F.size(known) >= 3, F.get(known, F.floor(F.size(known) / 2).cast("int")))
+
+    def step(acc: Column, w: Column) -> Column:
+        x = w["slice"] + F.lit(WALL_MIN_X + 0.5)
+
+        def kept(found: Column) -> Column:
+            shift = F.aggregate(found, F.lit(0.0), lambda a, v: a + v) / F.size(found)
+
+            def grown(place: Column) -> Column:
+                sums = F.struct(*_added(acc["sums"], place["x"], place["shift"]))
+                refit = F.when(acc["sums"]["n"] >= 4, _fit(sums))
+                return F.struct(sums.alias("sums"), F.coalesce(refit, acc["fit"]).alias("fit"),
+                                F.concat(acc["shifts"], F.array(place)).alias("shifts"))
+
+            return F.when(F.size(found) > 0, _let(F.struct(x.alias("x"), shift.alias("shift")), grown)).otherwise(acc)
+
+        def gated(centre: Column) -> Column:
+            def near(sides: Column) -> Column:
+                def moved(side: str) -> Column:
+                    at = sides[side] - F.col(f"_{side}0")
+                    return F.when(F.abs(at - centre) <= 0.3 + 0.01 * x, at)
+
+                return F.array_compact(F.array(moved("left"), moved("right")))
+
+            return _let(_let(_sides(w["ys"], centre), near), kept)
+
+        return _let(acc["fit"]["c1"] * x + acc["fit"]["c2"] * x * x, gated)
+
+    begin = F.struct(
+        F.struct(*_none()).alias("sums"), F.struct(F.lit(0.0).alias("c1"), F.lit(0.0).alias("c2")).alias("fit"),
+        F.array().cast("array<struct<x:double,shift:double>>").alias("shifts"))
+    slices = F.array_sort(F.filter(walls, lambda w: w["slice"] < bins))
+    df = rows.withColumn("_slices", F.transform(slices, lambda w: F.struct(
+        w["slice"].cast("int").alias("slice"), F.transform(w["ys"], lambda y: y.cast("double")).alias("ys"))))
+    df = df.withColumn("_near", F.transform(
+        F.filter("_slices", lambda w: w["slice"] < NEAR_SLICES), lambda w: _sides(w["ys"], F.lit(0.0))))
+    df = df.withColumns({"_left0": reference("left"), "_right0": reference("right")})
+    df = df.withColumn("_acc", F.aggregate("_slices", begin, step))
+    # The worst tenth of the places is left out of the last fit.
+    df = df.withColumn("_fit", F.coalesce(_fit(F.col("_acc.sums")), F.col("_acc.fit")))
+    df = df.withColumn("_places", F.transform("_acc.shifts", lambda p: F.struct(
+        p["x"].alias("x"), p["shift"].alias("shift"),
+        F.abs(p["shift"] - (F.col("_fit.c1") * p["x"] + F.col("_fit.c2") * p["x"] * p["x"])).alias("off"))))
+    worst = F.get(F.array_sort(F.transform("_places", lambda p: p["off"])), F.floor(F.size("_places") * 9 / 10).cast("int"))
+    df = df.withColumn("_worst", worst).withColumn("_places", F.filter("_places", lambda p: p["off"] <= F.col("_worst")))
+    df = df.withColumn("_last", _fit(F.aggregate("_places", F.struct(*_none()), lambda a, p: F.struct(*_added(a, p["x"], p["shift"])))))
+    enough = (F.col("_acc.sums.n") >= 10) & (F.element_at("_acc.shifts", -1)["x"] >= 20)
+    good = enough & (F.abs("_last.c1") <= 0.05) & (F.abs("_last.c2") <= limit)
+    shifts = F.transform("_places", lambda p: F.struct(p["x"].alias("x"), p["shift"].alias("shift")))
+    found = F.struct(
+        F.lit(0.0).alias("c0"), F.col("_last.c1").alias("c1"), F.col("_last.c2").alias("c2"), F.lit(True).alias("valid"),
+        (F.element_at("_places", -1)["x"] + 0.5).alias("max_x"), shifts.alias("shifts"))
+    return df.withColumn("raw", F.when(F.coalesce(good, F.lit(False)), found).otherwise(_no_route())).drop(
+        "_slices", "_near", "_left0", "_right0", "_acc", "_fit", "_places", "_worst", "_last")
+
+
+def _no_route() -> Column:
+    return F.struct(
+        *[F.lit(0.0).alias(c) for c in ("c0", "c1", "c2")], F.lit(False).alias("valid"), F.lit(0.0).alias("max_x"),
+        F.array().cast("array<struct<x:double,shift:double>>").alias("shifts"))
 
 
 REFIT = T.StructType([

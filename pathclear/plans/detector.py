@@ -22,7 +22,7 @@ from pathclear.operators import background as bg
 from pathclear.operators import candidates as cand
 from pathclear.operators import folds, graph, grids, route
 from pathclear.operators import points as ops
-from pathclear.operators.floor import floor_from_seeds, shift_curve, touches_wall
+from pathclear.operators.floor import sampled_floor, shift_curve
 from pathclear.schemas import CANDIDATE, FRAME_KEY as KEY
 
 CHAIN = ["source", "session", "chain"]
@@ -116,14 +116,7 @@ def _each(array: str, field: str):
 
 def floors(points: DataFrame, config: DetectorConfig) -> DataFrame:
     """Fitted plane and its followed reach per frame."""
-    seeds = grids.lowest_per_cell(points, KEY, config)
-    planes = seeds.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("cell", "x", "y", "z"))).alias("seeds")
-    ).select(*KEY, floor_from_seeds(
-        *[_each("seeds", c) for c in "xyz"], config
-    ).alias("p")).filter("p.valid").select(
-        *KEY, "p.a", "p.b", "p.c"
-    )
+    planes = sampled_floor(points, KEY, config)
     with_plane = points.join(planes, KEY)
     reach = grids.floor_reach(grids.floor_bins(with_plane, KEY, _h(), config), KEY, config)
     return planes.join(reach, KEY, "left").na.fill({"inliers": 0, "max_supported_x": 2.0})
@@ -155,7 +148,7 @@ def motion_inputs(used: DataFrame, points: DataFrame, config: DetectorConfig) ->
         .agg(F.array_sort(F.collect_set(F.col("y").cast("float"))).alias("ys"))
         .groupBy(*KEY).agg(F.collect_list(F.struct("slice", "ys")).alias("walls"))
     )
-    found = used.join(ys, KEY, "left").withColumn("raw", route.route_from_walls(F.col("walls"), config))
+    found = route.follow_walls(used.join(ys, KEY, "left"), "walls", config)
     rows = found.select(
         *LIFE, "frame_sequence", "measurement_time_ns",
         F.col("raw.valid").alias("route_valid"), F.col("raw.max_x").alias("route_max_x"),
@@ -308,11 +301,10 @@ def push_order(params: DataFrame, empty_held: DataFrame | None) -> DataFrame:
     return order.finish(rows).withColumn("ordinal", F.col("ordinal") - F.col("pushed")).drop("_skip")
 
 
-def history_links(params: DataFrame, config: DetectorConfig) -> DataFrame:
-    """Usable baseline frames of every frame past its warm-up, with the odometry shift."""
+def history_links(asking: DataFrame, params: DataFrame, config: DetectorConfig) -> DataFrame:
+    """Usable baseline frames of every asking frame (all past their warm-up), with the odometry shift."""
     n, lag = config.background_history_frames, config.background_lag_frames
-    rows = params.filter(F.col("ordinal") >= n)
-    asked = rows.select(
+    asked = asking.select(
         *KEY, "chain", "life", "ordinal", "odometry_m", "epoch", "stood_still",
         F.explode(F.sequence(F.col("ordinal") - n, F.col("ordinal") - lag - 1)).alias("past"),
     )
@@ -328,14 +320,17 @@ def history_links(params: DataFrame, config: DetectorConfig) -> DataFrame:
     return pairs.filter(same | F.col("stood_still")).withColumn("shift", shift)
 
 
-def foreground_cells(placed, params, links, config: DetectorConfig) -> DataFrame:
-    """Cells whose nearest return is nearer than the moved background, or newly occupied."""
+def history_image(placed: DataFrame) -> DataFrame:
+    """Nearest return per angular cell of the background's region, and whether evidence is asked of it."""
     xyz = F.struct("range", "raw_index", "x", "y", "z")
-    image = placed.filter("in_history").groupBy(*KEY, "az", "el").agg(
+    return placed.filter("in_history").groupBy(*KEY, "az", "el").agg(
         F.min(xyz).alias("p"), F.bool_or("in_band").alias("asked")
     ).select(*KEY, "az", "el", "asked", "p.range", "p.x", "p.y", "p.z")
-    image = settle(image)
-    current = image.filter("asked").withColumnRenamed("frame_sequence", "ordinal")
+
+
+def foreground_cells(image, params, links, config: DetectorConfig) -> DataFrame:
+    """Cells of the frames ``params`` whose nearest return is nearer than the moved background, or newly occupied."""
+    current = image.filter("asked").join(params.select(*KEY), KEY, "left_semi").withColumnRenamed("frame_sequence", "ordinal")
     pairs = links.select(
         "source", "session", F.col("frame_sequence").alias("ordinal"),
         F.col("past_sequence").alias("past"), "shift",
@@ -425,13 +420,10 @@ def _with_wall_contact(feats, placed, params):
         & F.col("h").between(0.5, 2.8) & (F.col("off") <= 2.6)
     )
     plan = near.groupBy(*KEY, F.floor(F.col("x") / 0.5).alias("ix"), F.floor(F.col("y") / 0.5).alias("iy")).agg(
-        F.min(F.struct("raw_index", "soff")).alias("f")
-    ).groupBy(*KEY).agg(F.collect_list(F.struct("ix", "iy", F.col("f.soff").alias("offset"))).alias("plan"))
-    far = F.col("near.distance") > F.col("end_x")
-    asked = feats.filter(far).join(plan, KEY).withColumn("_wall", touches_wall(
-        F.array("lo_x", "lo_y"), F.array("hi_x", "hi_y"), F.col("plan")
-    )).select(*KEY, "component", "_wall")
-    return feats.join(asked, [*KEY, "component"], "left").withColumn(
+        F.min(F.struct("raw_index", "soff")).alias("f")).select(*KEY, "ix", "iy", F.col("f.soff").alias("offset"))
+    far = feats.filter(F.col("near.distance") > F.col("end_x")).select(*KEY, "component", "lo_x", "lo_y", "hi_x", "hi_y")
+    touching = graph.wall_contact(far, plan, KEY, "component").withColumn("_wall", F.lit(True))
+    return feats.join(touching, [*KEY, "component"], "left").withColumn(
         "wall", F.coalesce("_wall", F.lit(False))
     ).drop("_wall")
 
@@ -530,11 +522,12 @@ def analyse(frames: DataFrame, config: DetectorConfig) -> DataFrame:
     return analyse_points(frame_rows(frames), unfold(frames, config), config)
 
 
-def analyse_points(rows: DataFrame, raw: DataFrame, config: DetectorConfig) -> DataFrame:
+def analyse_points(rows: DataFrame, raw: DataFrame, config: DetectorConfig, rounds: list[int] | None = None) -> DataFrame:
     """The same for clouds stored as one row per point.
 
     ``rows`` as from ``frame_rows``; ``raw`` as from ``unfold``.  Frames over the point limit are
-    refused from their combined counts before any per-frame group is formed.
+    refused from their combined counts before any per-frame group is formed.  ``rounds`` gets the frames
+    that each round over the history looks at.
     """
     turn, move = [F.col(f"r{i}") for i in range(9)], [F.col(f"t{i}") for i in range(3)]
     fates = ops.classify(raw, config, turn, move).select(*KEY, "fate", "in_detection", *"xyz")
@@ -555,22 +548,33 @@ def analyse_points(rows: DataFrame, raw: DataFrame, config: DetectorConfig) -> D
         rows, judged = find_candidates(points, params, placed, None, config)
         ready = params.withColumns({"ordinal": F.lit(0), "pushed": F.lit(1)})
         return _results(meta, held, ready, rows, judged, config)
-    # A held frame without candidates does not enter the history, which later frames look back
-    # on.  Start from "all enter" and repeat until the assumption and the outcome agree.
-    skipped, seen = None, None
+    image = settle(history_image(placed))
+    # A held frame without candidates does not enter the history, which later frames look back on. Start from
+    # "all enter"; where the outcome differs from the assumption, only what follows in that life is done again.
+    # The first frame that differs is right then, so the next one comes later, and rounds shrink to none.
+    skipped = settle(params.filter("false").select(*LIFE, "frame_sequence"))
+    redo, rows, judged = None, None, None
     while True:
-        ready = settle(push_order(params, skipped))
+        ready = settle(push_order(params, skipped.select(*KEY)))
         past = ready.filter(F.col("ordinal") >= history)
-        links = settle(history_links(ready, config))
-        front = foreground_cells(placed, ready, links, config)
-        judged_points = placed.join(past.select(*KEY), KEY, "left_semi")
-        rows, judged = find_candidates(points, past, judged_points, front, config)
-        now = past.filter("held").join(rows.select(*KEY).distinct(), KEY, "left_anti").select(*KEY)
-        now = settle(now)
-        mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*KEY))).first())
-        if mark == seen or (seen is None and mark[0] == 0):
+        todo = settle(past if redo is None else past.join(redo, LIFE).filter(F.col("frame_sequence") > F.col("_from")).drop("_from"))
+        if rounds is not None:
+            rounds.append(todo.count())
+        links = settle(history_links(todo, ready, config))
+        front = foreground_cells(image, todo, links, config)
+        more, judged_more = find_candidates(points, todo, placed.join(todo.select(*KEY), KEY, "left_semi"), front, config)
+        if redo is None:
+            rows, judged = more, judged_more
+        else:
+            gone = params.join(redo, LIFE).filter(F.col("frame_sequence") > F.col("_from")).select(*KEY)
+            rows = settle(rows.join(gone, KEY, "left_anti").unionByName(more))
+            judged = settle(judged.join(gone, KEY, "left_anti").unionByName(judged_more))
+        empty = settle(past.filter("held").join(rows.select(*KEY).distinct(), KEY, "left_anti").select(*LIFE, "frame_sequence"))
+        changed = empty.exceptAll(skipped).unionAll(skipped.exceptAll(empty))
+        redo = settle(changed.groupBy(*LIFE).agg(F.min("frame_sequence").alias("_from")))
+        if redo.isEmpty():
             break
-        skipped, seen = now, mark
+        skipped = empty
     return _results(meta, held, ready, rows, judged, config)
 
 

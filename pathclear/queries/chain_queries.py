@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathclear.operators import folds
+from pathclear.config import DetectorConfig
+from pathclear.operators import floor, folds, graph, grids, route
 from pathclear.queries.neighbour_queries import CURVE_SQL, curves
 from pathclear.queries.registry import query
-from pathclear.queries.views import FRAMES_SQL, frames
+from pathclear.queries.views import FRAMES_SQL, POINTS_SQL, frames, points
 
 HOLD = 3
 
@@ -143,3 +144,172 @@ def speed_track(spark, sf_dir):
     found = folds.speed_track(rows, ["chain"], ["frame_no"], CONTRAST, slice_rows=100)
     return found.select(
         "chain", "frame_no", "valid", F.round("moved_m", 9).alias("moved_m"), F.round("speed_mps", 9).alias("speed_mps"))
+
+
+WALL_PLACES_SQL = """
+seen AS (
+  SELECT frame_seq, CAST(trunc(x - 3) AS INTEGER) AS slice,
+    CASE WHEN y > 0 THEN 2.25e0 ELSE -2.25e0 END + x * x / 512 + z / 32 + CASE WHEN floor(x / 8) % 5 = frame_seq % 5 THEN 1.5e0 ELSE 0 END AS y
+  FROM points WHERE x >= 3 AND x < 120
+), places AS (
+  SELECT frame_seq, slice, list_sort(list(DISTINCT y)) AS ys, row_number() OVER (PARTITION BY frame_seq ORDER BY slice) AS n FROM seen WHERE abs(y) <= 12 GROUP BY frame_seq, slice
+)"""
+
+
+def _sides_sql(ys: str, centre: str) -> str:
+    return (f"list_min(list_filter({ys}, lambda y: y BETWEEN {centre} + 1 AND {centre} + 6)) AS l, "
+            f"list_max(list_filter({ys}, lambda y: y BETWEEN {centre} - 6 AND {centre} - 1)) AS r")
+
+
+def _fit_sql(name: str) -> str:
+    """One coefficient from the running sums."""
+    top = {"c1": "t1 * s4 - t2 * s3", "c2": "s2 * t2 - s3 * t1"}[name]
+    return f"CASE WHEN m >= 3 AND abs(s2 * s4 - s3 * s3) >= 1e-9 THEN ({top}) / (s2 * s4 - s3 * s3) END"
+
+
+ROUTE_FOLLOW_SQL = f"""
+WITH RECURSIVE {POINTS_SQL}, {WALL_PLACES_SQL}, near AS (
+  SELECT frame_seq, {_sides_sql("ys", "0")} FROM places WHERE slice < 5
+), origin AS (
+  SELECT frame_seq, CASE WHEN count(l) >= 3 THEN list_sort(list(l) FILTER (l IS NOT NULL))[count(l) // 2 + 1] END AS l0,
+    CASE WHEN count(r) >= 3 THEN list_sort(list(r) FILTER (r IS NOT NULL))[count(r) // 2 + 1] END AS r0 FROM near GROUP BY frame_seq
+), step AS (
+  SELECT DISTINCT frame_seq, CAST(0 AS BIGINT) AS n, 0.0e0 AS c1, 0.0e0 AS c2, 0 AS m, 0.0e0 AS s2, 0.0e0 AS s3, 0.0e0 AS s4, 0.0e0 AS t1, 0.0e0 AS t2,
+    CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS shift FROM places
+  UNION ALL
+  SELECT frame_seq, n, CASE WHEN shift IS NOT NULL AND m >= 5 THEN coalesce({_fit_sql("c1")}, c1) ELSE c1 END,
+    CASE WHEN shift IS NOT NULL AND m >= 5 THEN coalesce({_fit_sql("c2")}, c2) ELSE c2 END, m, s2, s3, s4, t1, t2, x, shift
+  FROM (
+    SELECT frame_seq, n, c1, c2, x, shift, CASE WHEN shift IS NULL THEN m ELSE m + 1 END AS m,
+      CASE WHEN shift IS NULL THEN s2 ELSE s2 + x * x END AS s2, CASE WHEN shift IS NULL THEN s3 ELSE s3 + x * x * x END AS s3,
+      CASE WHEN shift IS NULL THEN s4 ELSE s4 + x * x * x * x END AS s4, CASE WHEN shift IS NULL THEN t1 ELSE t1 + x * shift END AS t1,
+      CASE WHEN shift IS NULL THEN t2 ELSE t2 + x * x * shift END AS t2
+    FROM (
+      SELECT *, list_sum([v for v in [CASE WHEN abs(l - l0 - centre) <= 0.3e0 + 0.01e0 * x THEN l - l0 END, CASE WHEN abs(r - r0 - centre) <= 0.3e0 + 0.01e0 * x THEN r - r0 END] if v IS NOT NULL])
+        / nullif(len([v for v in [CASE WHEN abs(l - l0 - centre) <= 0.3e0 + 0.01e0 * x THEN l - l0 END, CASE WHEN abs(r - r0 - centre) <= 0.3e0 + 0.01e0 * x THEN r - r0 END] if v IS NOT NULL]), 0) AS shift
+      FROM (
+        SELECT *, {_sides_sql("ys", "centre")} FROM (
+          SELECT s.frame_seq, p.n, s.c1, s.c2, s.m, s.s2, s.s3, s.s4, s.t1, s.t2, o.l0, o.r0, p.ys, 3.5e0 + p.slice AS x,
+            s.c1 * (3.5e0 + p.slice) + s.c2 * (3.5e0 + p.slice) * (3.5e0 + p.slice) AS centre
+          FROM step s JOIN places p ON p.frame_seq = s.frame_seq AND p.n = s.n + 1 JOIN origin o ON o.frame_seq = s.frame_seq))))
+), ended AS (
+  SELECT *, coalesce({_fit_sql("c1")}, c1) AS f1, coalesce({_fit_sql("c2")}, c2) AS f2 FROM (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY frame_seq ORDER BY n DESC) = 1)
+), offs AS (
+  SELECT s.frame_seq, s.x, s.shift, abs(s.shift - (f1 * s.x + f2 * s.x * s.x)) AS off FROM step s JOIN ended e USING (frame_seq) WHERE s.shift IS NOT NULL
+), worst AS (
+  SELECT frame_seq, list_sort(list(off))[count(*) * 9 // 10 + 1] AS worst, count(*) AS followed, max(x) AS reach FROM offs GROUP BY frame_seq
+), sums AS (
+  SELECT frame_seq, count(*) AS m, sum(x * x) AS s2, sum(x * x * x) AS s3, sum(x * x * x * x) AS s4, sum(x * shift) AS t1, sum(x * x * shift) AS t2, max(x) AS last
+  FROM offs JOIN worst USING (frame_seq) WHERE off <= worst GROUP BY frame_seq
+), fits AS (
+  SELECT frame_seq, {_fit_sql("c1")} AS c1, {_fit_sql("c2")} AS c2, m, last FROM sums
+), kept AS (
+  SELECT frame_seq, c1, c2, m, last FROM fits JOIN worst USING (frame_seq) WHERE followed >= 10 AND reach >= 20 AND abs(c1) <= 0.05e0 AND abs(c2) <= 1 / 300.0e0
+)
+SELECT p.frame_seq, k.frame_seq IS NOT NULL AS valid, round(coalesce(c1, 0), 6) AS c1, round(coalesce(c2, 0), 8) AS c2, coalesce(last + 0.5e0, 0) AS max_x, coalesce(m, 0) AS shifts
+FROM (SELECT DISTINCT frame_seq FROM places) p LEFT JOIN kept k USING (frame_seq)"""
+
+
+@query("q_route_follow", ROUTE_FOLLOW_SQL)
+def route_follow(spark, sf_dir):
+    """Walls followed slice by slice around the running fit, lost where they jump aside and found again."""
+    x, z = F.col("x"), F.col("z")
+    aside = F.floor(x / 8) % 5 == F.col("frame_seq") % 5
+    y = F.when(F.col("y") > 0, 2.25).otherwise(-2.25) + x * x / 512 + z / 32 + F.when(aside, 1.5).otherwise(0.0)
+    seen = points(spark, sf_dir).filter((x >= 3) & (x < 120)).select("frame_seq", grids.trunc(x - 3).alias("slice"), y.alias("y"))
+    walls = seen.filter(F.abs("y") <= 12).groupBy("frame_seq", "slice").agg(F.collect_set("y").alias("ys")).groupBy("frame_seq").agg(
+        F.collect_list(F.struct("slice", "ys")).alias("walls"))
+    found = route.follow_walls(walls, "walls", DetectorConfig())
+    return found.select(
+        "frame_seq", "raw.valid", F.round("raw.c1", 6).alias("c1"), F.round("raw.c2", 8).alias("c2"), "raw.max_x",
+        F.size("raw.shifts").cast("long").alias("shifts"))
+
+
+@query("q_wall_contact", f"""
+WITH RECURSIVE {POINTS_SQL}, plan AS (
+  SELECT frame_seq, CAST(floor(x / 0.5e0) AS BIGINT) AS ix, CAST(floor(y / 0.5e0) AS BIGINT) AS iy, arg_min(y, raw_index) AS "offset"
+  FROM points WHERE z + 1 BETWEEN 0.5e0 AND 2.8e0 GROUP BY ALL
+), led AS (
+  SELECT frame_seq, ix, iy FROM plan WHERE abs("offset") >= 1.6e0
+  UNION
+  SELECT p.frame_seq, p.ix, p.iy FROM led l JOIN plan p ON p.frame_seq = l.frame_seq AND p.ix BETWEEN l.ix - 1 AND l.ix + 1 AND p.iy BETWEEN l.iy - 1 AND l.iy + 1
+), boxes AS (
+  SELECT frame_seq, ring * 100 + CAST(floor(x / 4) AS BIGINT) AS box, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y FROM points
+  WHERE z >= 0.5e0 AND abs(y) <= 1 GROUP BY ALL
+)
+SELECT b.frame_seq, b.box, EXISTS (SELECT 1 FROM led l WHERE l.frame_seq = b.frame_seq
+  AND l.ix BETWEEN floor(lo_x / 0.5e0) AND floor(hi_x / 0.5e0) AND l.iy BETWEEN floor(lo_y / 0.5e0) AND floor(hi_y / 0.5e0)) AS wall FROM boxes b""")
+def wall_contact(spark, sf_dir):
+    """K8: boxes from which occupied plan cells lead to the wall zone."""
+    pts = points(spark, sf_dir)
+    plan = pts.filter((F.col("z") + 1).between(0.5, 2.8)).groupBy(
+        "frame_seq", F.floor(F.col("x") / 0.5).alias("ix"), F.floor(F.col("y") / 0.5).alias("iy")).agg(F.min_by("y", "raw_index").alias("offset"))
+    boxes = pts.filter("z >= 0.5 AND abs(y) <= 1").groupBy("frame_seq", (F.col("ring") * 100 + F.floor(F.col("x") / 4)).alias("box")).agg(
+        *[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+    touching = graph.wall_contact(boxes, plan, ["frame_seq"], "box").withColumn("wall", F.lit(True))
+    return boxes.join(touching, ["frame_seq", "box"], "left").select("frame_seq", "box", F.coalesce("wall", F.lit(False)).alias("wall"))
+
+
+SAMPLED = DetectorConfig(ground_inlier_tolerance_m=0.125)
+
+FLOOR_SAMPLED_SQL = f"""
+WITH RECURSIVE {POINTS_SQL}, scene AS (
+  SELECT frame_seq, raw_index, x, y, CASE WHEN ring = 7 THEN z / 4 - 0.5e0 ELSE (frame_seq % 7) * x / 1024 - 1.5e0 + z / 32 END
+    + CASE WHEN frame_seq % 3 = 0 AND floor(x) % 5 < 3 THEN 0.5e0 ELSE 0 END AS z FROM points
+), celled AS (
+  SELECT *, least(CAST(trunc(x - 2) AS BIGINT), 88) * 26 + least(CAST(trunc((y + 2.5e0) / 0.2e0) AS BIGINT), 25) AS cell
+  FROM scene WHERE x BETWEEN 2 AND 90 AND abs(y) <= 2.5e0 AND z BETWEEN -3 AND 0.5e0
+), seeds AS MATERIALIZED (
+  SELECT frame_seq, p.x AS x, p.y AS y, p.z AS z, row_number() OVER (PARTITION BY frame_seq ORDER BY cell) - 1 AS i
+  FROM (SELECT frame_seq, cell, min({{'z': z, 'raw_index': raw_index, 'x': x, 'y': y}}) AS p FROM celled GROUP BY ALL)
+), draws AS (
+  SELECT 0 AS k, (2654435769 * 1664525 + 1013904223) % 4294967296 AS v
+  UNION ALL SELECT k + 1, (v * 1664525 + 1013904223) % 4294967296 FROM draws WHERE k < 767
+), picks AS MATERIALIZED (
+  SELECT k // 3 AS attempt, max(v) FILTER (k % 3 = 0) AS d0, max(v) FILTER (k % 3 = 1) AS d1, max(v) FILTER (k % 3 = 2) AS d2 FROM draws GROUP BY ALL
+), lists AS MATERIALIZED (
+  SELECT frame_seq, list({{'x': x, 'y': y, 'z': z}} ORDER BY i) AS s, count(*) AS n FROM seeds GROUP BY frame_seq HAVING count(*) >= 30
+), asked AS MATERIALIZED (
+  SELECT frame_seq, attempt, s[d0 % n + 1] AS a, s[d1 % n + 1] AS b, s[d2 % n + 1] AS c FROM lists CROSS JOIN picks
+), triples AS MATERIALIZED (
+  SELECT frame_seq, attempt, a.x AS px, a.y AS py, a.z AS pz, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz
+  FROM asked
+), planes AS (
+  SELECT frame_seq, attempt, a, b, pz - a * px - b * py AS c FROM (
+    SELECT *, (uz * vy - vz * uy) / det AS a, (ux * vz - vx * uz) / det AS b FROM (SELECT *, ux * vy - vx * uy AS det FROM triples) WHERE abs(det) >= 0.5e0)
+), good AS MATERIALIZED (
+  SELECT * FROM planes WHERE sqrt(a * a + b * b) <= 0.15e0 AND c BETWEEN -3 AND 0.5e0
+), votes AS MATERIALIZED (
+  SELECT g.frame_seq, attempt, a, b, c, a * 10 + c AS level, count(*) AS support FROM good g JOIN seeds s ON s.frame_seq = g.frame_seq AND abs(s.z - a * s.x - b * s.y - c) <= 0.125e0
+  GROUP BY ALL HAVING count(*) >= 30 AND bool_or(s.x < 25) AND bool_or(s.x >= 25) AND bool_or(s.y < -0.25e0) AND bool_or(s.y > 0.25e0)
+), best AS (
+  SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY frame_seq ORDER BY support DESC, level, attempt) = 1
+), lower AS (
+  SELECT v.* FROM votes v JOIN best b USING (frame_seq) WHERE v.support * 10 >= b.support * 6 AND v.level < b.level - 0.25e0
+  QUALIFY row_number() OVER (PARTITION BY v.frame_seq ORDER BY v.support DESC, v.level, v.attempt) = 1
+), chosen AS (
+  SELECT b.frame_seq, l.frame_seq IS NOT NULL AS lowered, coalesce(l.a, b.a) AS a, coalesce(l.b, b.b) AS b, coalesce(l.c, b.c) AS c FROM best b LEFT JOIN lower l USING (frame_seq)
+), sums AS (
+  SELECT frame_seq, c.a, c.b, c.c, sum(x * x) xx, sum(x * y) xy, sum(x) sx, sum(y * y) yy, sum(y) sy, count(*) m, sum(x * z) xz, sum(y * z) yz, sum(z) sz
+  FROM chosen c JOIN seeds USING (frame_seq) WHERE abs(z - (x * c.a + y * c.b + c.c)) <= 0.125e0 GROUP BY ALL
+), fits AS (
+  SELECT *, xx * (yy * m - sy * sy) - xy * (xy * m - sx * sy) + sx * (xy * sy - sx * yy) AS det FROM sums
+), refits AS (
+  SELECT *, (xz * (yy * m - sy * sy) - xy * (yz * m - sz * sy) + sx * (yz * sy - sz * yy)) / det AS ra,
+    (xx * (yz * m - sz * sy) - xz * (xy * m - sx * sy) + sx * (xy * sz - sx * yz)) / det AS rb,
+    (xx * (yy * sz - sy * yz) - xy * (xy * sz - sx * yz) + xz * (xy * sy - sx * yy)) / det AS rc FROM fits
+)
+SELECT frame_seq, round(CASE WHEN ok THEN ra ELSE a END, 6) AS a, round(CASE WHEN ok THEN rb ELSE b END, 6) AS b, round(CASE WHEN ok THEN rc ELSE c END, 6) AS c
+FROM (SELECT *, abs(det) >= 1e-9 AND sqrt(ra * ra + rb * rb) <= 0.15e0 AND rc BETWEEN -3 AND 0.5e0 AS ok FROM refits)"""
+
+
+@query("q_floor_sampled", FLOOR_SAMPLED_SQL)
+def floor_sampled(spark, sf_dir):
+    """K1 K2: floor planes by seeded sampling, on slopes with returns above them and with a raised floor over most of
+    some frames, and their refit."""
+    ring, x, z = F.col("ring"), F.col("x"), F.col("z")
+    raised = (F.col("frame_seq") % 3 == 0) & (F.floor(x) % 5 < 3)
+    scene = points(spark, sf_dir).withColumn(
+        "z", F.when(ring == 7, z / 4 - 0.5).otherwise((F.col("frame_seq") % 7) * x / 1024 - 1.5 + z / 32) + F.when(raised, 0.5).otherwise(0.0))
+    found = floor.sampled_floor(scene, ["frame_seq"], SAMPLED)
+    return found.select("frame_seq", *[F.round(c, 6).alias(c) for c in "abc"])

@@ -8,7 +8,7 @@ from pathclear.config import DetectorConfig, TemporalConfig
 from pathclear.operators.tracking import decide, gate_frames
 from pathclear.plans.detector import analyse_points
 from pathclear.queries.registry import query
-from pathclear.queries.views import FRAMES_SQL, frames, points
+from pathclear.queries.views import FRAMES_SQL, frames
 from pathclear.schemas import CANDIDATE
 
 
@@ -107,11 +107,45 @@ def order_gate(spark, sf_dir):
     return gate_frames(arriving)
 
 
-@query("q_detect")
-def detect(spark, sf_dir):
-    """The whole detector over every point of the table, one frame per 400 orders."""
-    config = DetectorConfig(background_history_frames=4, background_lag_frames=2, ground_hold_frames=3)
-    pts = points(spark, sf_dir)
+def tunnel_points(spark, sf_dir):
+    """Tunnel scenes made of the order lines: 400 orders are a frame, a line is a few returns of one surface.
+
+    Lines 1 to 4 are floor, 5 and 6 walls, and the rest stands on the track as a box in one frame of three, else at
+    the walls. One frame of seven has floor only up close, so that the last floor is held over it. Every
+    coordinate comes from the line's quantity, part, supplier and price.
+    """
+    line, part = F.col("l_linenumber"), F.col("l_partkey")
+    seq = F.expr("l_orderkey div 400")
+    i, blind, boxed = F.col("i"), F.col("blind"), F.col("boxed")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    mixed = F.expr("pmod(l_partkey * 31 + l_suppkey * 17 + i * 7 + l_orderkey, 64)") / 64.0
+    near = F.when(blind, F.col("l_quantity") * 0.25).otherwise(F.col("l_quantity"))
+    side = F.when((F.col("l_suppkey") + i) % 2 == 0, 1.0).otherwise(-1.0)
+    at = 16.0 + F.col("frame_seq") % 5
+    wall = (line > 4) & ~((line > 6) & boxed)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        seq.alias("frame_seq"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        cents.alias("cents"), (seq % 7 == 5).alias("blind"), (seq % 3 == 1).alias("boxed"),
+        F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    return rows.select(
+        "frame_seq", F.xxhash64("l_orderkey", line, part, "cents", i).alias("raw_index"),
+        F.when(line <= 4, 2.5 + near + mixed).when(wall, 3.0 + F.col("l_quantity") * 0.9 + mixed)
+        .otherwise(at + (i + part % 2) * 0.125).alias("x"),
+        F.when(line <= 4, F.expr("pmod(l_partkey + i * 11, 37) - 18") / 10.0)
+        .when(wall, side * 2.75).otherwise(F.expr("pmod(l_partkey, 9) - 4") / 12.0).alias("y"),
+        F.when(line <= 4, F.lit(-1.0)).when(wall, -0.25 + F.expr("pmod(l_suppkey + i * 5, 16)") * 0.125)
+        .otherwise(-0.65 + F.expr("pmod(l_partkey + l_suppkey + i * 3, 12)") * 0.125).alias("z"),
+    )
+
+
+TUNNEL = DetectorConfig(
+    background_history_frames=4, background_lag_frames=2, ground_hold_frames=2, ground_min_bin_points=15, gauge_certifies_clear=True,
+    route_smoothing=0.5,
+)
+
+
+def tunnel_analysis(spark, sf_dir, rounds=None):
+    pts = tunnel_points(spark, sf_dir)
     key = [
         F.concat(F.lit("bag "), F.expr("frame_seq div 20").cast("string")).alias("source"),
         F.lit(1).cast("long").alias("session"), F.col("frame_seq").alias("frame_sequence"),
@@ -127,11 +161,19 @@ def detect(spark, sf_dir):
     raw = pts.select(
         *key, "raw_index", *[F.lit(v).alias(f"r{i}") for i, v in enumerate(one)],
         *[F.lit(0.0).alias(f"t{i}") for i in range(3)],
-        F.col("x").alias("sx"), F.col("y").alias("sy"), F.least(F.col("z"), F.col("z") * 0.05 - 1.4).alias("sz"),
+        F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"),
     )
-    found = analyse_points(rows, raw, config)
+    return analyse_points(rows, raw, TUNNEL, rounds)
+
+
+@query("q_detect")
+def detect(spark, sf_dir):
+    """The whole detector over tunnel scenes of all order lines: routes, boxes on the track, held floors."""
+    found = tunnel_analysis(spark, sf_dir)
     return found.select(
         "source", "session", "frame_sequence", "status", "reason", "calibration_trust",
         F.round("evaluated_range_m", 3).alias("evaluated_range_m"), "evaluation_region_valid",
-        F.size("candidates").alias("candidates"), "geometry_point_count", "ground_inliers",
+        F.col("route.valid").alias("route_valid"), F.round("route.max_x", 3).alias("route_max_x"),
+        F.size("candidates").alias("candidates"), F.round(F.get("candidates", 0)["distance_m"], 3).alias("distance_m"),
+        "geometry_point_count", "ground_inliers",
     )
