@@ -101,6 +101,7 @@ def _copies(df: DataFrame, keys: list[str], *more: str) -> DataFrame:
 def carried_fold(
     df: DataFrame, keys: list[str], order: list[str], reads: list[str], start: Callable[[str | None], Callable],
     returns: Mapping[str, str], slice_rows: int = SLICE_FRAMES, rounds: list[int] | None = None,
+    sliced: SlicedOrder | None = None,
 ) -> DataFrame:
     """Adds ``returns`` (names and types), made by ``step(*reads)`` in the order of a chain.
 
@@ -109,9 +110,9 @@ def carried_fold(
     first; then every slice whose predecessor ended in another state than it started from runs again from that
     one, until none is left. So the rows are those of one run over the chain whatever the cut, and a step that
     soon forgets its past, as a tracker that follows readings does, takes two or three rounds. ``rounds`` gets
-    the number of slices of each round.
+    the number of slices of each round; ``sliced`` saves measuring the chains again.
     """
-    sliced = SlicedOrder.fit(df, keys, order)
+    sliced = sliced or SlicedOrder.fit(df, keys, order)
     placed = sliced.finish(sliced.running_sum(df, {"_place": F.lit(1)}))
     rows = settle(placed.withColumn("_cut", F.expr(f"(_place - 1) div {slice_rows}")).drop("_place"))
     cut = [*keys, "_cut"]
@@ -246,18 +247,18 @@ def speed_track(rows: DataFrame, keys: list[str], order: list[str], min_contrast
 
 
 def motion_and_route(inputs: DataFrame, keys: list[str], order: list[str], min_contrast: float, smoothing: float,
-                     slice_rows: int = SLICE_FRAMES) -> DataFrame:
+                     slice_rows: int = SLICE_FRAMES, sliced: SlicedOrder | None = None) -> DataFrame:
     """Speed, odometry and the smoothed route of all analysable frames.
 
     Only speed and route go through the fold; distance and epochs are running sums over its rows. Distances
     are added as decimals, so their sum is the same with any cut.
     """
+    sliced = sliced or SlicedOrder.fit(inputs, keys, order)
     moved = carried_fold(
         inputs, keys, order, ["motion", "errors", "dt_s", "route_valid", "raw_c0", "raw_c1", "raw_c2"],
         lambda state: MotionStep(state, min_contrast, smoothing),
         {"ego_motion_valid": "boolean", "_moved": "double", "_speed": "double", "c0": "double", "c1": "double", "c2": "double"},
-        slice_rows)
-    sliced = SlicedOrder.fit(inputs, keys, order)
+        slice_rows, sliced=sliced)
     good = F.col("ego_motion_valid")
     step = F.when(good, F.col("_moved")).otherwise(0.0).cast("decimal(24,15)")
     df = sliced.running_sum(moved, {"_way": step, "epoch": (F.col("motion") & ~good).cast("int")})

@@ -132,10 +132,13 @@ def hold_floor(meta: DataFrame, floor: DataFrame, config: DetectorConfig) -> Dat
         F.col("a").isNotNull().alias("floor_valid"), F.coalesce("inliers", F.lit(0)).alias("inliers"),
         F.least(F.lit(float(config.detection_roi.high[0])), reach + 3.0).alias("end_x"),
     )
-    return folds.hold_floors(rows, CHAIN, ["frame_sequence"], config.ground_hold_frames)
+    # Chains are measured on the settled frames, not on the floors that are yet to be fitted.
+    admitted = meta.filter(F.col("stop_reason").isNull()).select(*CHAIN, "frame_sequence")
+    order = SlicedOrder.fit(admitted, CHAIN, ["frame_sequence"])
+    return folds.hold_floors(rows, CHAIN, ["frame_sequence"], config.ground_hold_frames, order)
 
 
-def motion_inputs(used: DataFrame, points: DataFrame, config: DetectorConfig) -> DataFrame:
+def motion_inputs(used: DataFrame, points: DataFrame, config: DetectorConfig, order: SlicedOrder) -> DataFrame:
     """Error curve against the previous analysable frame and the raw route, per frame."""
     near = points.join(used.select(*KEY, "a", "b", "c"), KEY)
     ys = (
@@ -148,7 +151,8 @@ def motion_inputs(used: DataFrame, points: DataFrame, config: DetectorConfig) ->
         .agg(F.array_sort(F.collect_set(F.col("y").cast("float"))).alias("ys"))
         .groupBy(*KEY).agg(F.collect_list(F.struct("slice", "ys")).alias("walls"))
     )
-    found = route.follow_walls(used.join(ys, KEY, "left"), "walls", config)
+    # Settled: rails and the rest read a finished route, not its expression over and over.
+    found = settle(route.follow_walls(used.join(ys, KEY, "left"), "walls", config).drop("walls"))
     rows = found.select(
         *LIFE, "frame_sequence", "measurement_time_ns",
         F.col("raw.valid").alias("route_valid"), F.col("raw.max_x").alias("route_max_x"),
@@ -173,7 +177,6 @@ def motion_inputs(used: DataFrame, points: DataFrame, config: DetectorConfig) ->
     ).select(*KEY, F.struct(
         _each("m", "k").alias("at"), _each("m", "v").alias("value")
     ).alias("profile"))
-    order = SlicedOrder.fit(rows, LIFE, ["frame_sequence"])
     rows = order.running_sum(rows, {"place": F.lit(1)})
     stamp = F.when(F.col("measurement_time_ns") != 0, F.col("measurement_time_ns"))
     rows = order.finish(order.last_known(rows, {"_before": stamp}, inclusive=False))
@@ -537,8 +540,10 @@ def analyse_points(rows: DataFrame, raw: DataFrame, config: DetectorConfig, roun
     points = settle_by(kept.join(live, KEY, "left_semi"), KEY)
     held = settle(hold_floor(meta, floors(points, config), config))
     used = held.filter(F.col("geometry_reason").isNull())
+    order = SlicedOrder.fit(used.select(*LIFE, "frame_sequence"), LIFE, ["frame_sequence"])
     moved = folds.motion_and_route(
-        motion_inputs(used, points, config), LIFE, ["frame_sequence"], config.ego_min_contrast, config.route_smoothing)
+        motion_inputs(used, points, config, order), LIFE, ["frame_sequence"], config.ego_min_contrast, config.route_smoothing,
+        sliced=order)
     params = settle(frame_parameters(used, moved, config).withColumn(
         "moving", F.col("ego_motion_valid") & (F.col("ego_speed_mps") >= config.envelope_min_speed_mps)
     ))

@@ -108,7 +108,7 @@ def order_gate(spark, sf_dir):
 
 
 def tunnel_points(spark, sf_dir):
-    """Tunnel scenes made of the order lines: 400 orders are a frame, a line is a few returns of one surface.
+    """Tunnel scenes made of the order lines: 400 orders are a frame, a line is a return.
 
     Lines 1 to 4 are floor, 5 and 6 walls, and the rest stands on the track as a box in one frame of three, else at
     the walls. One frame of seven has floor only up close, so that the last floor is held over it. Every
@@ -116,25 +116,20 @@ def tunnel_points(spark, sf_dir):
     """
     line, part = F.col("l_linenumber"), F.col("l_partkey")
     seq = F.expr("l_orderkey div 400")
-    i, blind, boxed = F.col("i"), F.col("blind"), F.col("boxed")
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    mixed = F.expr("pmod(l_partkey * 31 + l_suppkey * 17 + i * 7 + l_orderkey, 64)") / 64.0
+    blind, boxed = seq % 7 == 5, seq % 3 == 1
+    mixed = F.expr("pmod(l_partkey * 31 + l_suppkey * 17 + l_orderkey, 64)") / 64.0
     near = F.when(blind, F.col("l_quantity") * 0.25).otherwise(F.col("l_quantity"))
-    side = F.when((F.col("l_suppkey") + i) % 2 == 0, 1.0).otherwise(-1.0)
-    at = 16.0 + F.col("frame_seq") % 5
+    side = F.when(F.col("l_suppkey") % 2 == 0, 1.0).otherwise(-1.0)
+    at = 16.0 + seq % 5
     wall = (line > 4) & ~((line > 6) & boxed)
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        seq.alias("frame_seq"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-        cents.alias("cents"), (seq % 7 == 5).alias("blind"), (seq % 3 == 1).alias("boxed"),
-        F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
-    return rows.select(
-        "frame_seq", F.xxhash64("l_orderkey", line, part, "cents", i).alias("raw_index"),
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        seq.alias("frame_seq"), F.xxhash64("l_orderkey", line, part, "l_extendedprice").alias("raw_index"),
         F.when(line <= 4, 2.5 + near + mixed).when(wall, 3.0 + F.col("l_quantity") * 0.9 + mixed)
-        .otherwise(at + (i + part % 2) * 0.125).alias("x"),
-        F.when(line <= 4, F.expr("pmod(l_partkey + i * 11, 37) - 18") / 10.0)
+        .otherwise(at + part % 3 * 0.125).alias("x"),
+        F.when(line <= 4, F.expr("pmod(l_partkey, 37) - 18") / 10.0)
         .when(wall, side * 2.75).otherwise(F.expr("pmod(l_partkey, 9) - 4") / 12.0).alias("y"),
-        F.when(line <= 4, F.lit(-1.0)).when(wall, -0.25 + F.expr("pmod(l_suppkey + i * 5, 16)") * 0.125)
-        .otherwise(-0.65 + F.expr("pmod(l_partkey + l_suppkey + i * 3, 12)") * 0.125).alias("z"),
+        F.when(line <= 4, F.lit(-1.0)).when(wall, -0.25 + F.expr("pmod(l_suppkey, 16)") * 0.125)
+        .otherwise(-0.65 + F.expr("pmod(l_partkey + l_suppkey, 12)") * 0.125).alias("z"),
     )
 
 
