@@ -55,15 +55,19 @@ def layout_error(limits: CloudLimits) -> Column:
     return chain
 
 
-def field_view(message: dict, name: str) -> np.ndarray:
-    """One field of a message as a flat array, row padding and byte order respected."""
+def field_grid(message: dict, name: str, data: bytes | bytearray) -> np.ndarray:
+    """One field of a message as rows and columns over its bytes, row padding and byte order respected."""
     field = next(f for f in message["fields"] if f["name"] == name)
     order = ">" if message["is_bigendian"] else "<"
     return np.ndarray(
         shape=(message["height"], message["width"]), dtype=order + FIELD_TYPES[field["datatype"] - 1],
-        buffer=message["data"], offset=field["offset"],
-        strides=(message["row_step"], message["point_step"]),
-    ).reshape(-1)
+        buffer=data, offset=field["offset"], strides=(message["row_step"], message["point_step"]),
+    )
+
+
+def field_view(message: dict, name: str) -> np.ndarray:
+    """One field of a message as a flat array."""
+    return field_grid(message, name, message["data"]).reshape(-1)
 
 
 def decode(clouds: DataFrame, limits: CloudLimits = CloudLimits(), extra: tuple = (), stride: int = 1):
@@ -104,6 +108,42 @@ def decode(clouds: DataFrame, limits: CloudLimits = CloudLimits(), extra: tuple
     return checked.mapInArrow(run, schema)
 
 
+def encode(edited: DataFrame) -> DataFrame:
+    """Cloud messages with their ``points`` written back into ``data``; ``points`` is dropped.
+
+    ``edited``: message rows with ``points`` in the order of :func:`decode`.  Only the bytes of x, y and z change;
+    other fields, padding and byte order stay, so the messages decode again.  A message whose points differ
+    in number from its width and height ends the job.
+    """
+    kept = [f for f in edited.schema if f.name != "points"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    names = [f.name for f in kept]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):  # a message at a time: clouds are wide
+                one = batch.slice(i, 1)
+                message = one.select([n for n in names if n != "data"]).to_pylist()[0]
+                flat, data = one.column("points").flatten(), bytearray(one.column("data")[0].as_py() or b"")
+                if len(flat) != message["width"] * message["height"]:
+                    raise ValueError(f"{len(flat)} points for a cloud of {message['width']} x {message['height']}")
+                for axis in "xyz" if len(flat) else "":
+                    values = flat.field(axis).to_numpy(zero_copy_only=False)
+                    field_grid(message, axis, data)[...] = values.reshape(message["height"], message["width"])
+                columns = [pa.array([bytes(data)], pa.binary()) if n == "data" else one.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return edited.mapInArrow(run, schema)
+
+
+def write_edited(edited: DataFrame, path: str) -> None:
+    """Writes edited clouds as message rows (see :func:`encode`), to be read back and decoded like any others.
+
+    Spark commits the files of whole tasks only, so a task that fails leaves nothing; an existing path is refused.
+    """
+    encode(edited).write.parquet(path)
+
+
 def to_frames(decoded: DataFrame, rotation, translation, verified: bool, allow: bool) -> DataFrame:
     """Frame input rows of decoded clouds with the fixed transform of a profile."""
     return decoded.filter(F.col("decode_error").isNull()).select(

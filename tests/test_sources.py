@@ -76,6 +76,36 @@ def test_cloud_layouts(spark):
     assert "XYZ fields overlap" in refused and None not in refused
 
 
+def test_edited_clouds_are_written_and_read_back(spark, tmp_path):
+    names = [f.split()[0] for f in CLOUD.split(", ")]
+    rows = [tuple({**row, "frame_sequence": i}[n] for n in names) for i, (row, error) in enumerate(LAYOUTS) if error is None]
+    given = spark.createDataFrame(rows, CLOUD)
+    decoded = clouds.decode(given).select("frame_sequence", F.transform("points", lambda p: F.struct(
+        (p["x"] + 1).alias("x"), p["y"].alias("y"), (p["z"] * 2).alias("z"))).alias("points"))
+    path = str(tmp_path / "edited")
+    clouds.write_edited(given.join(decoded, "frame_sequence").select(*names, "points"), path)
+    back = {r["frame_sequence"]: r for r in clouds.decode(spark.read.parquet(path)).collect()}
+    messages = {r["frame_sequence"]: r for r in spark.read.parquet(path).collect()}
+    for row in given.collect():
+        got = np.array([[p["x"], p["y"], p["z"]] for p in back[row["frame_sequence"]]["points"]]).reshape(-1, 3)
+        want = np.array(PTS) * [1, 1, 2] + [1, 0, 0] if row["width"] else np.empty((0, 3))
+        np.testing.assert_array_equal(got, want)
+        new = messages[row["frame_sequence"]]
+        assert {k: v for k, v in new.asDict().items() if k != "data"} == {k: v for k, v in row.asDict().items() if k != "data"}
+        assert len(new["data"]) == len(row["data"])
+    # The bytes between the fields stay.
+    row = message(PTS, step=19, offsets=(1, 6, 13))
+    row["data"] = bytes(b or 7 for b in row["data"])
+    one = spark.createDataFrame([tuple(row[n] for n in names)], CLOUD)
+    same = clouds.encode(one.join(clouds.decode(one).select("frame_sequence", "points"), "frame_sequence").select(*names, "points")).first()
+    assert bytes(same["data"])[::19] == row["data"][::19]
+    # A wrong number of points ends the write and leaves nothing.
+    wrong = given.withColumn("points", F.expr("array(named_struct('x', 1D, 'y', 1D, 'z', 1D))"))
+    with pytest.raises(Exception, match="points for a cloud"):
+        clouds.write_edited(wrong, str(tmp_path / "wrong"))
+    assert not [f for f in (tmp_path / "wrong").rglob("*") if f.suffix == ".parquet"]
+
+
 def cdr(row):
     """Serialized message, little-endian."""
     out = bytearray(b"\0\1\0\0")
