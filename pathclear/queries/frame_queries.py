@@ -898,16 +898,16 @@ def manifest_check(spark, sf_dir):
     return compare_hashes(recorded, current, ["doc_id"])
 
 
-@query("q_set_ops", f"""WITH {FRAMES_SQL}, used AS (SELECT DISTINCT bag_id, reason FROM frames WHERE state <> 'UNKNOWN'), quiet AS (SELECT DISTINCT bag_id, reason FROM frames WHERE k < 2)
+@query("q_set_ops", f"""WITH {FRAMES_SQL}, used AS (SELECT DISTINCT bag_id, reason FROM frames WHERE state <> 'UNKNOWN'), quiet AS (SELECT DISTINCT bag_id, reason FROM frames WHERE state <> 'OBSTACLE')
 SELECT 'except' AS op, bag_id, reason FROM (SELECT * FROM used EXCEPT SELECT * FROM quiet)
 UNION ALL SELECT 'intersect', bag_id, reason FROM (SELECT * FROM used INTERSECT SELECT * FROM quiet)
 UNION ALL SELECT 'union', bag_id, reason FROM (SELECT * FROM used UNION SELECT * FROM quiet)
 UNION ALL SELECT 'unknown_state', bag_id, state FROM (SELECT DISTINCT bag_id, state FROM frames) WHERE state NOT IN ('OBSTACLE', 'UNKNOWN')""")
 def set_ops(spark, sf_dir):
-    """Set operations on distinct values."""
+    """Set operations on distinct values: reasons of frames that decide something, and of frames without an alarm."""
     rows = frames(spark, sf_dir)
     used = rows.filter("state <> 'UNKNOWN'").select("bag_id", "reason").distinct()
-    quiet = rows.filter("k < 2").select("bag_id", "reason").distinct()
+    quiet = rows.filter("state <> 'OBSTACLE'").select("bag_id", "reason").distinct()
     known = rows.select("bag_id", F.explode(F.array(F.lit("OBSTACLE"), F.lit("UNKNOWN"))).alias("state"))
     strange = rows.select("bag_id", "state").distinct().subtract(known.distinct())
 
@@ -925,19 +925,19 @@ def set_ops(spark, sf_dir):
 @query("q_dataset_status", f"""WITH {FRAMES_SQL}, bags AS (SELECT bag_id, count(*) AS exported, max(k) AS top FROM frames GROUP BY 1),
 dataset AS (SELECT CAST(n_nationkey AS BIGINT) AS bag_id, n_name AS name, n_regionkey FROM nation)
 SELECT d.bag_id, name, CASE WHEN n_regionkey = 0 THEN 'no annotations' WHEN n_regionkey = 1 AND b.bag_id IS NULL THEN 'not selected' WHEN b.bag_id IS NULL THEN 'no results' ELSE 'scored' END AS status,
-  coalesce(r_name, 'unassigned') AS split, exported FROM dataset d LEFT JOIN bags b ON d.bag_id = b.bag_id LEFT JOIN region r ON r.r_regionkey = d.n_regionkey AND r.r_regionkey < 4""")
+  coalesce(r_name, 'unassigned') AS split, exported FROM dataset d LEFT JOIN bags b ON d.bag_id = b.bag_id LEFT JOIN region r ON r.r_regionkey = d.n_regionkey + 1""")
 def dataset_status(spark, sf_dir):
     """Registry against splits, selection and results."""
     from pathclear.plans.provenance import dataset_status as status
 
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    region = spark.read.parquet(f"{sf_dir}/region.parquet").filter("r_regionkey < 4")
+    region = spark.read.parquet(f"{sf_dir}/region.parquet")
     dataset = nation.select(
         F.col("n_nationkey").cast("long").alias("bag_id"), F.col("n_name").alias("name"), "n_regionkey",
         (F.col("n_regionkey") != 0).alias("annotated"), (F.col("n_regionkey") != 1).alias("selected"),
     )
     splits = dataset.select("bag_id", "n_regionkey").join(
-        region.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("split")), "n_regionkey"
+        region.select((F.col("r_regionkey") - 1).alias("n_regionkey"), F.col("r_name").alias("split")), "n_regionkey"
     ).select("bag_id", "split")
     results = frames(spark, sf_dir).groupBy("bag_id").agg(F.count(F.lit(1)).alias("exported"))
     return status(dataset, splits, results, ["bag_id"]).select("bag_id", "name", "status", "split", "exported")

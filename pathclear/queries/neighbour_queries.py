@@ -314,7 +314,8 @@ def low_bump_context(spark, sf_dir):
 
 
 @query("q_pole_context", f"""WITH {POINTS_SQL}, thin AS (
-  SELECT frame_seq, CAST(floor(x) AS INTEGER) AS component, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y FROM points WHERE abs(y) <= 0.5 GROUP BY ALL
+  SELECT frame_seq, CAST(floor(x) AS INTEGER) * 16 + CAST(floor(y * 2) AS INTEGER) + 8 AS component, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y
+  FROM points GROUP BY ALL
 ), h AS (
   SELECT DISTINCT t.frame_seq, component, p.z + 2 AS h FROM thin t JOIN points p ON p.frame_seq = t.frame_seq AND p.x BETWEEN lo_x - 0.2e0 AND hi_x + 0.2e0 AND p.y BETWEEN lo_y - 0.2e0 AND hi_y + 0.2e0
   WHERE hi_x - lo_x <= 0.8e0 AND hi_y - lo_y <= 0.8e0
@@ -325,9 +326,8 @@ SELECT frame_seq, component, coalesce(foot <= 0.55e0 AND reach >= 3.1e0, false)
 def pole_context(spark, sf_dir):
     """Thin columns that stand from the floor past the corridor."""
     config = DetectorConfig(corridor_height_m=3.0, hanging_tip_max_height_m=3.0)
-    thin = points(spark, sf_dir).filter(F.abs("y") <= 0.5).groupBy(
-        "frame_seq", F.floor("x").cast("int").alias("component")
-    ).agg(
+    column = F.floor("x").cast("int") * 16 + F.floor(F.col("y") * 2).cast("int") + 8
+    thin = points(spark, sf_dir).groupBy("frame_seq", column.alias("component")).agg(
         *[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))],
         F.lit(99).alias("support"),
     )
