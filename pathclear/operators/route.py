@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -137,33 +138,38 @@ def _sides(ys: Column, centre: Column) -> Column:
         F.array_max(F.filter(ys, lambda y: y.between(centre - WALL_MAX_M, centre - WALL_MIN_M))).alias("right"))
 
 
-def follow_walls(rows: DataFrame, walls: str, config: DetectorConfig) -> DataFrame:
-    """Adds ``raw``, the route of each frame, from ``walls``: ``array<struct<slice, ys>>``, the distinct lateral
-    places of its wall returns per metre.
+@dataclass(frozen=True)
+class Slices:
+    """How walls are followed: length of a slice, slices near the sensor whose walls are the reference, how many of
+    them have to be known and which middle one counts, and places after which the fit is used."""
+
+    width_m: float
+    near: int
+    least: int
+    upper: bool
+    fit_from: int
 
-    Slices are followed outwards around the running fit: a wall counts only near where the fit so far expects it,
-    so a wall that is lost is passed over until it comes back. What a slice does depends on all before it; it is
-    an aggregate over the at most 150 slices of a frame, in the JVM.
-    """
-    max_x = min(config.detection_roi.high[0], 150.0)
-    bins = math.ceil(max_x - WALL_MIN_X)
-    limit = 1.0 / (2.0 * config.route_min_radius_m)
-    if not (config.route_estimation and max_x > WALL_NEAR_MAX_X):
-        return rows.withColumn("raw", _no_route())
 
+DETECTOR, INDEPENDENT = Slices(1.0, NEAR_SLICES, 3, True, 5), Slices(2.0, 3, 2, False, 4)
+
+
+def _followed(rows: DataFrame, walls: str, bins: int, how: Slices) -> DataFrame:
+    """Adds ``_acc``: running sums, fit and shifts of the places where a wall was found."""
     def reference(side: str) -> Column:
         known = F.array_sort(F.array_compact(F.transform("_near", lambda w: w[side])))
-        return F.when(F.size(known) >= 3, F.get(known, F.floor(F.size(known) / 2).cast("int")))
+        n = F.size(known)
+        low = F.get(known, F.floor((n if how.upper else n - 1) / 2).cast("int"))
+        return F.when(n >= how.least, (low + F.get(known, F.floor(n / 2).cast("int"))) / 2)
 
     def step(acc: Column, w: Column) -> Column:
-        x = w["slice"] + F.lit(WALL_MIN_X + 0.5)
+        x = w["slice"] * how.width_m + F.lit(WALL_MIN_X + how.width_m / 2)
 
         def kept(found: Column) -> Column:
             shift = F.aggregate(found, F.lit(0.0), lambda a, v: a + v) / F.size(found)
 
             def grown(place: Column) -> Column:
                 sums = F.struct(*_added(acc["sums"], place["x"], place["shift"]))
-                refit = F.when(acc["sums"]["n"] >= 4, _fit(sums))
+                refit = F.when(acc["sums"]["n"] >= how.fit_from - 1, _fit(sums))
                 return F.struct(sums.alias("sums"), F.coalesce(refit, acc["fit"]).alias("fit"),
                                 F.concat(acc["shifts"], F.array(place)).alias("shifts"))
 
@@ -188,9 +194,32 @@ def follow_walls(rows: DataFrame, walls: str, config: DetectorConfig) -> DataFra
     df = rows.withColumn("_slices", F.transform(slices, lambda w: F.struct(
         w["slice"].cast("int").alias("slice"), F.transform(w["ys"], lambda y: y.cast("double")).alias("ys"))))
     df = df.withColumn("_near", F.transform(
-        F.filter("_slices", lambda w: w["slice"] < NEAR_SLICES), lambda w: _sides(w["ys"], F.lit(0.0))))
+        F.filter("_slices", lambda w: w["slice"] < how.near), lambda w: _sides(w["ys"], F.lit(0.0))))
     df = df.withColumns({"_left0": reference("left"), "_right0": reference("right")})
-    df = df.withColumn("_acc", F.aggregate("_slices", begin, step))
+    return df.withColumn("_acc", F.aggregate("_slices", begin, step)).drop("_slices", "_near", "_left0", "_right0")
+
+
+def independent_route(rows: DataFrame, walls: str) -> DataFrame:
+    """Adds ``c1`` and ``c2`` of the route that the walls show, apart from the detector's own: 2 m slices up to
+    121 m, plain medians of the first three as reference, every place in the fit; null where too few are seen."""
+    df = _followed(rows, walls, 59, INDEPENDENT)
+    enough = (F.col("_acc.sums.n") >= 6) & (F.element_at("_acc.shifts", -1)["x"] >= 20)
+    return df.withColumns({c: F.when(enough, F.col(f"_acc.fit.{c}")) for c in ("c1", "c2")}).drop("_acc")
+
+
+def follow_walls(rows: DataFrame, walls: str, config: DetectorConfig) -> DataFrame:
+    """Adds ``raw``, the route of each frame, from ``walls``: ``array<struct<slice, ys>>``, the distinct lateral
+    places of its wall returns per metre.
+
+    Slices are followed outwards around the running fit: a wall counts only near where the fit so far expects it,
+    so a wall that is lost is passed over until it comes back. What a slice does depends on all before it; it is
+    an aggregate over the at most 150 slices of a frame, in the JVM.
+    """
+    max_x = min(config.detection_roi.high[0], 150.0)
+    limit = 1.0 / (2.0 * config.route_min_radius_m)
+    if not (config.route_estimation and max_x > WALL_NEAR_MAX_X):
+        return rows.withColumn("raw", _no_route())
+    df = _followed(rows, walls, math.ceil(max_x - WALL_MIN_X), DETECTOR)
     # The worst tenth of the places is left out of the last fit.
     df = df.withColumn("_fit", F.coalesce(_fit(F.col("_acc.sums")), F.col("_acc.fit")))
     df = df.withColumn("_places", F.transform("_acc.shifts", lambda p: F.struct(
@@ -206,7 +235,7 @@ def follow_walls(rows: DataFrame, walls: str, config: DetectorConfig) -> DataFra
         F.lit(0.0).alias("c0"), F.col("_last.c1").alias("c1"), F.col("_last.c2").alias("c2"), F.lit(True).alias("valid"),
         (F.element_at("_places", -1)["x"] + 0.5).alias("max_x"), shifts.alias("shifts"))
     return df.withColumn("raw", F.when(F.coalesce(good, F.lit(False)), found).otherwise(_no_route())).drop(
-        "_slices", "_near", "_left0", "_right0", "_acc", "_fit", "_places", "_worst", "_last")
+        "_acc", "_fit", "_places", "_worst", "_last")
 
 
 def _no_route() -> Column:

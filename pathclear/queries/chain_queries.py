@@ -146,9 +146,10 @@ def speed_track(spark, sf_dir):
         "chain", "frame_no", "valid", F.round("moved_m", 9).alias("moved_m"), F.round("speed_mps", 9).alias("speed_mps"))
 
 
-WALL_PLACES_SQL = """
+def _places_sql(width: int) -> str:
+    return f"""
 seen AS (
-  SELECT frame_seq, CAST(trunc(x - 3) AS INTEGER) AS slice,
+  SELECT frame_seq, CAST(trunc((x - 3) / {width}) AS INTEGER) AS slice,
     CASE WHEN y > 0 THEN 2.25e0 ELSE -2.25e0 END + x * x / 512 + z / 32 + CASE WHEN floor(x / 8) % 5 = frame_seq % 5 THEN 1.5e0 ELSE 0 END AS y
   FROM points WHERE x >= 3 AND x < 120
 ), places AS (
@@ -167,18 +168,19 @@ def _fit_sql(name: str) -> str:
     return f"CASE WHEN m >= 3 AND abs(s2 * s4 - s3 * s3) >= 1e-9 THEN ({top}) / (s2 * s4 - s3 * s3) END"
 
 
-ROUTE_FOLLOW_SQL = f"""
-WITH RECURSIVE {POINTS_SQL}, {WALL_PLACES_SQL}, near AS (
-  SELECT frame_seq, {_sides_sql("ys", "0")} FROM places WHERE slice < 5
+def _follow_sql(width: int, near: int, fit_from: int, middle) -> str:
+    """Slices of a frame one after another; ``middle`` is the SQL of a side's reference."""
+    return f"""
+WITH RECURSIVE {POINTS_SQL}, {_places_sql(width)}, near AS (
+  SELECT frame_seq, {_sides_sql("ys", "0")} FROM places WHERE slice < {near}
 ), origin AS (
-  SELECT frame_seq, CASE WHEN count(l) >= 3 THEN list_sort(list(l) FILTER (l IS NOT NULL))[count(l) // 2 + 1] END AS l0,
-    CASE WHEN count(r) >= 3 THEN list_sort(list(r) FILTER (r IS NOT NULL))[count(r) // 2 + 1] END AS r0 FROM near GROUP BY frame_seq
+  SELECT frame_seq, {middle('l')} AS l0, {middle('r')} AS r0 FROM near GROUP BY frame_seq
 ), step AS (
   SELECT DISTINCT frame_seq, CAST(0 AS BIGINT) AS n, 0.0e0 AS c1, 0.0e0 AS c2, 0 AS m, 0.0e0 AS s2, 0.0e0 AS s3, 0.0e0 AS s4, 0.0e0 AS t1, 0.0e0 AS t2,
     CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS shift FROM places
   UNION ALL
-  SELECT frame_seq, n, CASE WHEN shift IS NOT NULL AND m >= 5 THEN coalesce({_fit_sql("c1")}, c1) ELSE c1 END,
-    CASE WHEN shift IS NOT NULL AND m >= 5 THEN coalesce({_fit_sql("c2")}, c2) ELSE c2 END, m, s2, s3, s4, t1, t2, x, shift
+  SELECT frame_seq, n, CASE WHEN shift IS NOT NULL AND m >= {fit_from} THEN coalesce({_fit_sql("c1")}, c1) ELSE c1 END,
+    CASE WHEN shift IS NOT NULL AND m >= {fit_from} THEN coalesce({_fit_sql("c2")}, c2) ELSE c2 END, m, s2, s3, s4, t1, t2, x, shift
   FROM (
     SELECT frame_seq, n, c1, c2, x, shift, CASE WHEN shift IS NULL THEN m ELSE m + 1 END AS m,
       CASE WHEN shift IS NULL THEN s2 ELSE s2 + x * x END AS s2, CASE WHEN shift IS NULL THEN s3 ELSE s3 + x * x * x END AS s3,
@@ -189,10 +191,21 @@ WITH RECURSIVE {POINTS_SQL}, {WALL_PLACES_SQL}, near AS (
         / nullif(len([v for v in [CASE WHEN abs(l - l0 - centre) <= 0.3e0 + 0.01e0 * x THEN l - l0 END, CASE WHEN abs(r - r0 - centre) <= 0.3e0 + 0.01e0 * x THEN r - r0 END] if v IS NOT NULL]), 0) AS shift
       FROM (
         SELECT *, {_sides_sql("ys", "centre")} FROM (
-          SELECT s.frame_seq, p.n, s.c1, s.c2, s.m, s.s2, s.s3, s.s4, s.t1, s.t2, o.l0, o.r0, p.ys, 3.5e0 + p.slice AS x,
-            s.c1 * (3.5e0 + p.slice) + s.c2 * (3.5e0 + p.slice) * (3.5e0 + p.slice) AS centre
+          SELECT s.frame_seq, p.n, s.c1, s.c2, s.m, s.s2, s.s3, s.s4, s.t1, s.t2, o.l0, o.r0, p.ys, {3 + width / 2}e0 + {width} * p.slice AS x,
+            s.c1 * ({3 + width / 2}e0 + {width} * p.slice) + s.c2 * ({3 + width / 2}e0 + {width} * p.slice) * ({3 + width / 2}e0 + {width} * p.slice) AS centre
           FROM step s JOIN places p ON p.frame_seq = s.frame_seq AND p.n = s.n + 1 JOIN origin o ON o.frame_seq = s.frame_seq))))
-), ended AS (
+)"""
+
+
+def _upper(side: str) -> str:
+    return f"CASE WHEN count({side}) >= 3 THEN list_sort(list({side}) FILTER ({side} IS NOT NULL))[count({side}) // 2 + 1] END"
+
+
+def _plain(side: str) -> str:
+    return f"CASE WHEN count({side}) >= 2 THEN median({side}) END"
+
+
+ROUTE_FOLLOW_SQL = f"""{_follow_sql(1, 5, 5, _upper)}, ended AS (
   SELECT *, coalesce({_fit_sql("c1")}, c1) AS f1, coalesce({_fit_sql("c2")}, c2) AS f2 FROM (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY frame_seq ORDER BY n DESC) = 1)
 ), offs AS (
   SELECT s.frame_seq, s.x, s.shift, abs(s.shift - (f1 * s.x + f2 * s.x * s.x)) AS off FROM step s JOIN ended e USING (frame_seq) WHERE s.shift IS NOT NULL
@@ -210,21 +223,34 @@ SELECT p.frame_seq, k.frame_seq IS NOT NULL AS valid, round(coalesce(c1, 0), 6)
 FROM (SELECT DISTINCT frame_seq FROM places) p LEFT JOIN kept k USING (frame_seq)"""
 
 
-@query("q_route_follow", ROUTE_FOLLOW_SQL)
-def route_follow(spark, sf_dir):
-    """Walls followed slice by slice around the running fit, lost where they jump aside and found again."""
+def _walls(spark, sf_dir, width: int):
+    """Distinct wall places per slice of a bent tunnel whose walls jump aside over some metres."""
     x, z = F.col("x"), F.col("z")
     aside = F.floor(x / 8) % 5 == F.col("frame_seq") % 5
     y = F.when(F.col("y") > 0, 2.25).otherwise(-2.25) + x * x / 512 + z / 32 + F.when(aside, 1.5).otherwise(0.0)
-    seen = points(spark, sf_dir).filter((x >= 3) & (x < 120)).select("frame_seq", grids.trunc(x - 3).alias("slice"), y.alias("y"))
-    walls = seen.filter(F.abs("y") <= 12).groupBy("frame_seq", "slice").agg(F.collect_set("y").alias("ys")).groupBy("frame_seq").agg(
+    seen = points(spark, sf_dir).filter((x >= 3) & (x < 120)).select("frame_seq", grids.trunc((x - 3) / width).alias("slice"), y.alias("y"))
+    return seen.filter(F.abs("y") <= 12).groupBy("frame_seq", "slice").agg(F.collect_set("y").alias("ys")).groupBy("frame_seq").agg(
         F.collect_list(F.struct("slice", "ys")).alias("walls"))
-    found = route.follow_walls(walls, "walls", DetectorConfig())
+
+
+@query("q_route_follow", ROUTE_FOLLOW_SQL)
+def route_follow(spark, sf_dir):
+    """Walls followed slice by slice around the running fit, lost where they jump aside and found again."""
+    found = route.follow_walls(_walls(spark, sf_dir, 1), "walls", DetectorConfig())
     return found.select(
         "frame_seq", "raw.valid", F.round("raw.c1", 6).alias("c1"), F.round("raw.c2", 8).alias("c2"), "raw.max_x",
         F.size("raw.shifts").cast("long").alias("shifts"))
 
 
+@query("q_synth_route", f"""{_follow_sql(2, 3, 4, _plain)}
+SELECT frame_seq, CASE WHEN ok THEN round(c1, 6) END AS c1, CASE WHEN ok THEN round(c2, 8) END AS c2
+FROM (SELECT frame_seq, arg_max(c1, n) AS c1, arg_max(c2, n) AS c2, count(shift) >= 6 AND max(x) FILTER (shift IS NOT NULL) >= 20 AS ok FROM step WHERE n > 0 GROUP BY frame_seq)""")
+def synth_route(spark, sf_dir):
+    """The route of each frame from its walls, apart from the detector's."""
+    found = route.independent_route(_walls(spark, sf_dir, 2), "walls")
+    return found.select("frame_seq", F.round("c1", 6).alias("c1"), F.round("c2", 8).alias("c2"))
+
+
 @query("q_wall_contact", f"""
 WITH RECURSIVE {POINTS_SQL}, plan AS (
   SELECT frame_seq, CAST(floor(x / 0.5e0) AS BIGINT) AS ix, CAST(floor(y / 0.5e0) AS BIGINT) AS iy, arg_min(y, raw_index) AS "offset"
