@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pathclear.functions.settling import settle
 from pathclear.operators.graph import connected_components, merge_labels
 
-#: Nodes of a block, and most pivots (cells) of a label.
-BLOCK, PIVOTS = 1024, 64
+#: Nodes of a block, most pivots (cells) of a label, and its nodes that one task assigns to them.
+BLOCK, PIVOTS, PART = 1024, 64, 16_384
 #: Members of a tree node that are its children without another level; slack of distance bounds.
 FEW, SLACK = 8, 1e-7
 
@@ -140,21 +140,36 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nearest pivot and distance of every node."""
+    """Nearest pivot and distance of every node. Rows come part by part of a label, its pivots first."""
+    key, slots, pivots = None, [], []
     for batch in batches:
-        dims = batch.column("dim").to_numpy()
-        cell, away = np.zeros(len(dims), np.int32), np.zeros(len(dims))
-        pivots = batch.column("pivots").to_pylist()
-        labels = np.array([hash((x, d)) for x, d in zip(batch.column("label").to_pylist(), dims, strict=True)])
-        for key in np.unique(labels):
-            at = np.flatnonzero(labels == key)
-            points = unit(_vectors(batch.column("vector").take(pa.array(at))))
-            distance = _apart(points @ unit(np.array(pivots[at[0]], np.float64)).T)
-            cell[at] = distance.argmin(1)
-            away[at] = distance.min(1)
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("node", "label", "dim", "vector", "copies")), pa.array(cell), pa.array(away)],
-            names=["node", "label", "dim", "vector", "copies", "cell", "away"])
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "part")), strict=True))
+        slot = batch.column("slot").to_pylist()
+        vectors = batch.column("vector")
+        nodes, cells, aways = [], [], []
+        at = 0
+        while at < len(keys):
+            end = at + 1
+            while end < len(keys) and keys[end] == keys[at] and (slot[end] is None) == (slot[at] is None):
+                end += 1
+            points = unit(_vectors(vectors.slice(at, end - at)))
+            if keys[at] != key:
+                key, slots, pivots = keys[at], [], []
+            if slot[at] is not None:
+                slots += slot[at:end]
+                pivots.append(points)
+            else:
+                pivots = [np.concatenate(pivots)]
+                distance = _apart(points @ pivots[0].T)
+                nodes += range(at, end)
+                cells.append(np.array(slots, np.int32)[distance.argmin(1)])
+                aways.append(distance.min(1))
+            at = end
+        if nodes:
+            part = batch.take(pa.array(nodes))
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in ("node", "label", "dim", "vector", "copies")), pa.array(np.concatenate(cells)), pa.array(np.concatenate(aways))],
+                names=["node", "label", "dim", "vector", "copies", "cell", "away"])
 
 
 def _compared(threshold: float):
@@ -235,17 +250,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     rows = rows.withColumn("node", F.when(F.col("good"), F.xxhash64("label", "vector")))
     nodes = settle(rows.filter("good").groupBy("node", "label", "vector").agg(
         F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")).withColumn("dim", F.size("vector")))
-    sizes = nodes.groupBy("label", "dim").agg(F.least(F.lit(PIVOTS), F.ceil(F.count(F.lit(1)) / BLOCK)).alias("cells"))
-    pivots = nodes.join(sizes, ["label", "dim"]).groupBy("label", "dim", F.expr("pmod(node, cells)").alias("slot")).agg(
-        F.min(F.struct("node", "vector")).alias("p")).groupBy("label", "dim").agg(
-        F.transform(F.sort_array(F.collect_list("p")), lambda p: p["vector"]).alias("pivots"))
-    pivots = settle(pivots)
+    sizes = nodes.groupBy("label", "dim").agg(
+        F.least(F.lit(PIVOTS), F.ceil(F.count(F.lit(1)) / BLOCK)).alias("cells"), F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    sized = nodes.join(sizes, ["label", "dim"])
+    pivots = settle(sized.groupBy("label", "dim", "parts", F.expr("pmod(node, cells)").cast("int").alias("slot")).agg(
+        F.min(F.struct("node", "vector")).alias("p")).select("label", "dim", "parts", "slot", "p.vector"))
+    # A label's pivots go to each of its parts once, in front of the nodes.
     fields = f"node long, label {kind['label']}, dim int, vector {dict(rows.dtypes)['vector']}, copies long, cell int, away double"
-    placed = settle(nodes.select("node", "label", "dim", "vector", "copies").join(pivots, ["label", "dim"]).select(
-        "node", "label", "dim", "vector", "copies", "pivots").mapInArrow(_assigned, fields))
+    none = F.lit(None).cast("long")
+    ahead = pivots.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "slot", none.alias("node"), "vector", none.alias("copies"))
+    behind = sized.select("label", "dim", F.expr("pmod(shiftright(node, 20), parts)").cast("int").alias("part"), F.lit(None).cast("int").alias("slot"), "node", "vector", "copies")
+    part = ["label", "dim", "part"]
+    placed = settle(ahead.unionByName(behind).repartition(*part).sortWithinPartitions(*part, F.col("slot").isNull()).mapInArrow(_assigned, fields))
     cells = placed.groupBy("label", "dim", "cell").agg(
-        F.max("away").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(pivots, ["label", "dim"]).select(
-        "label", "dim", "cell", "radius", "blocks", F.element_at("pivots", F.col("cell") + 1).alias("pivot"))
+        F.max("away").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(
+        pivots.select("label", "dim", F.col("slot").alias("cell"), F.col("vector").alias("pivot")), ["label", "dim", "cell"])
     cells = settle(cells)  # at most PIVOTS of each label
     other = cells.select("label", "dim", *[F.col(c).alias(f"{c}_b") for c in ("cell", "radius", "blocks", "pivot")])
     far = math.sqrt(2 - 2 * threshold)

@@ -145,3 +145,19 @@ def test_vectors(spark, monkeypatch, block):
         assert got[good[a][0]] == (near[a].sum(), least, least == good[a][0])
     assert all(got[i] == (0, i, True) for i in range(900, 907))
     assert covertree.near_vectors(frame.limit(0)).count() == 0
+
+
+def test_labels_are_told_apart_by_their_value(spark):
+    """hash(-1) equals hash(-2) in Python."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(400, 8))
+    x = (base[rng.integers(0, 400, 7500)] + rng.normal(size=(7500, 8)) * 0.12).astype(np.float32)
+    label = np.r_[np.full(6000, -1), np.full(1500, -2)]
+    frame = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    unit = covertree.unit(x)
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    got = covertree.near_vectors(frame).toPandas().sort_values("vec_id")
+    assert (got.n_links.to_numpy() == near.sum(1)).all() and near.sum() > 50_000
+    labels = merge_labels(7500, *np.nonzero(np.triu(near)))
+    assert len(got.component_id.unique()) == len(np.unique(labels))
