@@ -15,22 +15,39 @@ from pathclear.llm import jaccard, packing, quality, secrets
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, taught by ``labels``, does not reject."""
+    """Documents that the quality classifier, taught by ``labels``, does not reject.
+
+    Null and empty texts have a score like any other; rows that repeat or tie stay or go together. No documents,
+    no result; without labels nothing is rejected. Other columns stay as they are.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every class of near copies."""
+    """The first document of every class of near copies.
+
+    The smallest id stays, of equal ids the smaller hash of the text; rows without an id come before all. Null, empty
+    and blank texts are copies of each other; of rows that repeat one stays. An empty table stays empty.
+    """
     return jaccard.one_of_each(docs)
 
 
 def redacted_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with secrets replaced; ``n_chars`` follows the text."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Documents with secrets replaced; ``n_chars``, where there is one, follows the text.
+
+    A null text stays null (and so its length), an empty one empty; every row stays, ties and repeats too.
+    """
+    clean = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents' tokens in sequences of 4096."""
+    """Places of the documents' tokens in sequences of 4096.
+
+    A null or empty text is its end id alone; rows that repeat are packed each; an empty table gives no pieces.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
