@@ -68,8 +68,8 @@ def documents(n, langs):
                    (None, "Y", "lone", None, None)]
 
 
-@pytest.mark.parametrize(("n", "langs", "kept"), [(0, ["en"], 3), (7, ["en"], 3), (600, ["en", "en", "en", "de", None, ""], 3),
-                                                 (700, ["en", "en", None], 1), (150, [f"l{i}" for i in range(20)], 1), (600, ["en", "b"], 2)])
+@pytest.mark.parametrize(("n", "langs", "kept"), [(7, ["en"], 3), (600, ["en", "en", "en", "de", None, ""], 3),
+                                                 (700, ["en", "en", None], 1), (150, [f"l{i}" for i in range(20)], 1)])
 def test_proofs_are_those_of_whole_trees(spark, n, langs, kept):
     rows = documents(n, langs)
     made = merkle.document_manifest(frame(spark, rows), merkle.tampered_text(), kept)

@@ -68,7 +68,7 @@ def conversations(seed):
     return rows
 
 
-@pytest.mark.parametrize(("size", "chunk"), [(20_000, 5000), (60, 7), (4, 1)])
+@pytest.mark.parametrize(("size", "chunk"), [(20_000, 5000), (4, 3)])
 def test_nodes_are_those_of_all_prefixes(spark, monkeypatch, size, chunk):
     monkeypatch.setattr(trie, "CONTAINER", size)
     monkeypatch.setattr(trie, "CHUNK", chunk)
