@@ -152,21 +152,23 @@ def rotation_from_quaternion(q: Column) -> Column:
 
 def transforms_at(
     clouds: DataFrame, transforms: DataFrame, keys: list[str], stamp: str, tf_stamp: str, bounds,
-    lookahead: int, record: str | None = None, tf_record: str | None = None,
+    lookahead: int, record: str | None = None, tf_record: str | None = None, oldest: str | None = None,
 ) -> DataFrame:
     """Transform of every cloud at its measurement time, interpolated between two neighbours.
 
     ``transforms`` carry arrays ``translation`` (3) and ``quaternion`` (4).  There is no
     extrapolation and no use of the latest transform: a missing side, a record that arrived more
-    than ``lookahead`` after the cloud or a quaternion that is not of unit length leaves the cloud
-    without a transform.
+    than ``lookahead`` after the cloud, a side before the cloud's ``oldest`` stamp or a quaternion that is
+    not of unit length leaves the cloud without a transform.
     """
     beside = beside_in_time(clouds, transforms, keys, stamp, tf_stamp, bounds)
     record, tf_record = record or stamp, tf_record or tf_stamp
     at, b, a = F.col(stamp), F.col("before"), F.col("after")
     exact = b[tf_stamp] == at
-    arrived = a[tf_record] <= F.col(record) + lookahead
-    usable = b.isNotNull() & (exact | (a.isNotNull() & arrived))
+    seen = F.col(record) + lookahead
+    usable = (b[tf_record] <= seen) & (exact | (a[tf_record] <= seen))
+    if oldest is not None:
+        usable = usable & (b[tf_stamp] >= F.col(oldest))
     share = F.when(exact, 0.0).otherwise(
         (at - b[tf_stamp]) / F.nullif(a[tf_stamp] - b[tf_stamp], F.lit(0))
     )

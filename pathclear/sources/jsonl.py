@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pathclear.schemas import EXPORT
 
 
+# Calibration trust by number, from 0.
+TRUST = ["UNKNOWN", "ASSUMED", "VERIFIED"]
+
+
 class OutputExists(FileExistsError):
     """Results are never overwritten."""
 
@@ -55,7 +59,11 @@ def write_exports(frames: DataFrame, path: str) -> None:
 
 
 def export_rows(analyses: DataFrame, assessments: DataFrame, frames: DataFrame, bag_id) -> DataFrame:
-    """Joins analysis, decision and input facts into export rows."""
+    """Joins analysis, decision and input facts into export rows.
+
+    ``route`` is an array of numbers and one boolean, in the order that :func:`read_exports` takes. ``rejected`` is there
+    where the analysis recorded it; ``processing_ms`` is null, as frames are not worked on one after another.
+    """
     key = ["source", "session", "frame_sequence"]
     d = assessments.select(
         *key, "state", F.col("reason").alias("decision_reason"), "distance_m", "distance_valid", "tracks"
@@ -72,14 +80,18 @@ def export_rows(analyses: DataFrame, assessments: DataFrame, frames: DataFrame,
         F.size("candidates").alias("candidate_count"), "candidates", "evaluation_region_valid",
         "evaluated_range_m", "ego_motion_valid", "ego_speed_mps", "ground_inliers", "ground_plane",
         "tracks",
-        F.when(line.isNotNull(), F.array(*[
-            line[c].cast("string") for c in ("c1", "c2", "valid", "max_x", "c0", "rail_slices")
-        ])).alias("route"),
-        F.col("status").alias("processing_status"), "calibration_trust", "transform_applied",
+        F.parse_json(F.concat(F.lit("["), F.concat_ws(",", *[
+            F.coalesce(line[c].cast("string"), F.lit(empty)) for c, empty in
+            (("c1", "0"), ("c2", "0"), ("valid", "false"), ("max_x", "0"), ("c0", "0"), ("rail_slices", "0"))
+        ]), F.lit("]"))).alias("route"),
+        F.col("status").alias("processing_status"),
+        (F.array_position(F.array(*[F.lit(t) for t in TRUST]), F.col("calibration_trust")) - 1).cast("int").alias("calibration_trust"),
+        "transform_applied",
         "calibration_verified",
         (~F.col("calibration_verified") & F.col("allow_unverified_calibration")).alias("calibration_assumed"),
         "geometry_point_count", "detection_point_count", "invalid_point_count", "blind_point_count",
-        "outside_roi_point_count",
+        "outside_roi_point_count", F.lit(None).cast("double").alias("processing_ms"),
+        *(["rejected"] if "rejected" in analyses.columns else []),
     )
 
 

@@ -3,6 +3,7 @@
 ``spark.read.format("rosbag").option("path", "a.db3,b.db3").load()`` gives one row per message:
 file, topic, type, timestamp, id, data.  Files are cut into timestamp ranges that are read in
 parallel; topic and timestamp filters and the choice of columns are applied inside the file.
+Spark keeps the filters of a loaded table for all its uses in a plan: load once for each filter.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ CLOUD_FIELDS = (
 def _arrow_schema() -> pa.Schema:
     field = pa.struct([("name", pa.string()), *[(n, pa.int32()) for n in ("offset", "datatype", "count")]])
     return pa.schema([
-        ("file", pa.string()), ("bag_stamp_ns", pa.int64()), ("stamp_sec", pa.int64()),
+        ("file", pa.string()), ("bag_stamp_ns", pa.int64()), ("message_id", pa.int64()), ("stamp_sec", pa.int64()),
         ("stamp_nanosec", pa.int64()), ("frame_id", pa.string()), ("height", pa.int64()),
         ("width", pa.int64()), ("fields", pa.list_(field)), ("is_bigendian", pa.bool_()),
         ("point_step", pa.int64()), ("row_step", pa.int64()), ("data", pa.binary()),
@@ -162,11 +163,11 @@ def read_clouds(spark: SparkSession, paths: list[str], topic: str) -> DataFrame:
                     row = {**parse_cloud(message["data"]), "parse_error": None}
                 except (struct.error, UnicodeDecodeError, IndexError):
                     row = {"parse_error": "DESERIALIZATION_ERROR"}
-                out.append({"file": message["file"], "bag_stamp_ns": message["timestamp"], **row})
+                out.append({"file": message["file"], "bag_stamp_ns": message["timestamp"], "message_id": message["id"], **row})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return raw.filter(F.col("type") == CLOUD_TYPE).mapInArrow(
-        run, "file string, bag_stamp_ns long, " + CLOUD_FIELDS
+        run, "file string, bag_stamp_ns long, message_id long, " + CLOUD_FIELDS
     )
 
 
