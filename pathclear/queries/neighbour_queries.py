@@ -212,7 +212,7 @@ SELECT frame_seq, CAST(component AS BIGINT) AS component, CASE WHEN inside_cells
   WHEN channels = 2 AND coalesce(gauge_length, 0) > 3 THEN 'LONG_GAUGE_STRUCTURE' WHEN closest_offset > 0.9e0 AND hi_x - lo_x > 3 THEN 'LONG_EDGE_STRUCTURE'
   WHEN channels & 2 = 0 AND mid > 1.5 THEN 'OUTSIDE_ENVELOPE' WHEN top < 1 AND abs(mean_offset) > 0.5 AND NOT raised THEN 'LOW_OFF_CENTRE' END AS reason FROM centred""")
 def rejection_chain(spark, sf_dir):
-    """First matching rejection of every component, null for candidates."""
+    """First matching rejection of every component, null for candidates; without walls and poles (``q_rejection_rules``)."""
     mid = F.abs(g.route_offset(
         (F.col("lo_x") + F.col("hi_x")) / 2, (F.col("lo_y") + F.col("hi_y")) / 2, pq.ROUTE
     ))
@@ -222,6 +222,38 @@ def rejection_chain(spark, sf_dir):
     return features(spark, sf_dir).select("frame_seq", "component", reason.alias("reason"))
 
 
+# Every rule is on, the two that a profile may switch off too.
+RULES = DetectorConfig(side_structure_max_length_m=2.5, static_inner_half_width_m=0.625)
+
+
+@query("q_rejection_rules", """WITH f AS (
+  SELECT l_orderkey, l_linenumber, 2 + l_partkey % 16 AS inside_cells, 3 + l_suppkey % 32 AS support, (l_partkey % 13) * 0.0625e0 AS extent, 2 * l_quantity AS distance,
+    1 + l_suppkey % 3 AS channels, CASE WHEN l_tax > 0 THEN round(l_tax * 100) * 0.5e0 END AS gauge_length, round(l_discount * 100) * 0.125e0 AS closest_offset,
+    (l_partkey % 7) * 0.75e0 AS length, (l_suppkey % 5) * 0.125e0 AS width, (l_partkey % 11) * 0.25e0 AS top, (round(l_discount * 100) - 5) * 0.25e0 AS mean_offset,
+    l_returnflag = 'R' AS raised, l_partkey % 2 = 0 AS moving, l_returnflag = 'N' AS wall, l_partkey % 9 = 0 AS pole, (l_suppkey % 8) * 0.25e0 AS centre FROM lineitem
+) SELECT l_orderkey, l_linenumber, CASE WHEN inside_cells < 3 THEN 'FEW_CELLS' WHEN support < 5 THEN 'FEW_POINTS'
+  WHEN extent < CASE WHEN channels >= 2 THEN 0.1e0 ELSE 0.25e0 END THEN 'LOW_EXTENT' WHEN distance > 60 AND extent < 0.4e0 THEN 'FAR_LOW_EXTENT'
+  WHEN distance > 60 AND wall THEN 'FAR_WALL_CONTACT' WHEN channels = 2 AND coalesce(gauge_length, 0) > 3 THEN 'LONG_GAUGE_STRUCTURE' WHEN pole THEN 'POLE_STRUCTURE'
+  WHEN closest_offset > 0.9e0 AND length > 3 THEN 'LONG_EDGE_STRUCTURE' WHEN closest_offset > 0.5 AND greatest(length, coalesce(gauge_length, 0)) > 2.5 THEN 'LONG_SIDE_STRUCTURE'
+  WHEN channels >= 2 AND centre > 0.625e0 AND (length > 1 OR width < 0.15e0 OR support < 10) THEN 'WEAK_OUTER_STATIC' WHEN moving AND channels = 1 AND centre > 1.5 THEN 'OUTSIDE_ENVELOPE'
+  WHEN top < 1 AND abs(mean_offset) > 0.5 AND NOT raised THEN 'LOW_OFF_CENTRE' END AS reason FROM f""")
+def rejection_rules(spark, sf_dir):
+    """The order of all twelve rules, on one component for each order line."""
+    part, supp, zero = F.col("l_partkey"), F.col("l_suppkey"), F.lit(0.0)
+    discount, tax = F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100)
+    found = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumns({
+        "inside_cells": 2 + part % 16, "support": 3 + supp % 32, "in_lo_z": zero, "in_hi_z": (part % 13) * 0.0625,
+        "near": F.struct((2 * F.col("l_quantity")).alias("distance")), "channels": (1 + supp % 3).cast("int"),
+        "gauge_length": F.when(F.col("l_tax") > 0, tax * 0.5), "closest_offset": discount * 0.125,
+        "lo_x": zero, "hi_x": (part % 7) * 0.75, "lo_y": zero, "hi_y": (supp % 5) * 0.125, "top": (part % 11) * 0.25,
+        "mean_offset": (discount - 5) * 0.25, "raised": F.col("l_returnflag") == "R",
+    })
+    reason = cand.rejection_reason(
+        RULES, F.lit(60.0), part % 2 == 0, F.col("l_returnflag") == "N", part % 9 == 0, (supp % 8) * 0.25)
+    return found.select("l_orderkey", "l_linenumber", reason.alias("reason"))
+
+
+
 NODES_SQL = f"""
 nodes AS (
   SELECT frame_seq, x, y, z, min(raw_index) AS id, count(*) AS copies, greatest(0.15e0, least(0.6e0, 2.5e0 * ({pq.RANGE_SQL} * 0.008726646259971648e0))) AS eps FROM points GROUP BY ALL
