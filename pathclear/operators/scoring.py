@@ -28,6 +28,19 @@ def is_state(state: str) -> Column:
     return F.col("state") == state
 
 
+def checked(frames: DataFrame) -> DataFrame:
+    """The same rows; reading one with an unknown state or an impossible time ends the job.
+
+    A time that is null was not measured, which is no error.
+    """
+    state, time = F.col("state"), F.col("processing_ms")
+    named = F.coalesce(state.isin(STATES), F.lit(False))
+    timed = time.isNull() | (g.finite(time) & (time >= 0))
+    told = F.concat(F.lit("no result row: state "), F.coalesce(state, F.lit("null")),
+                    F.lit(", processing_ms "), F.coalesce(time.cast("string"), F.lit("null")))
+    return frames.filter(F.when(named & timed, F.lit(True)).otherwise(F.raise_error(told).cast("boolean")))
+
+
 def run_summary(frames: DataFrame, keys: list[str]) -> DataFrame:
     """State counts, share of UNKNOWN, timing percentiles and counts of rows that are invalid."""
     time = F.col("processing_ms")

@@ -37,10 +37,11 @@ def score(
 ) -> dict[str, DataFrame]:
     """Tables of one run, keyed by recording.
 
-    ``ranges``: bag_id, working_range_m.  Only recordings with intervals are scored.
+    ``ranges``: bag_id, working_range_m.  Only recordings with intervals are scored.  A row with an unknown
+    state or an impossible time ends the job.
     """
     scored = intervals.select("bag_id").distinct()
-    frames = exports.join(scored, BAG, "left_semi").withColumn(
+    frames = sc.checked(exports.join(scored, BAG, "left_semi")).withColumn(
         "objects", sc.decisive(F.col("tracks"), F.col("candidates"))
     )
     order = SlicedOrder.fit(frames.select("bag_id", STAMP), BAG, [STAMP])
@@ -87,6 +88,20 @@ def score(
     return tables
 
 
+def summary_of_run(exports: DataFrame) -> dict:
+    """Frames, states and times of a whole run without labels, for ``runtime_report`` and ``write_summary``.
+
+    A run without frames is refused, as are rows that are no results (``scoring.checked``).
+    """
+    if exports.isEmpty():
+        raise ValueError("a run without frames")
+    found = sc.run_summary(sc.checked(exports), []).first()
+    if found is None:  # no frame has a time
+        found = sc.run_summary(sc.checked(exports).withColumn("processing_ms", F.lit(0.0)), []).first()
+        return {**found.asDict(), "p50": None, "p95": None, "p99": None, "bad_timings": 0}
+    return {**found.asDict(), "bad_timings": 0}
+
+
 def bag_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """One row of summable counts per recording."""
     events = tables["events"].groupBy(*BAG).agg(
