@@ -18,6 +18,7 @@ SCENARIOS = {
 }
 CROSSING_SPEED_MPS, CROSSING_HALF_WIDTH_M, RAIL_BELOW_LIDAR_M = 1.0, 1.5, 1.075
 MIN_VISIBLE_POINTS, MAX_EVENT_DISTANCE_M, MAX_RANGE_M, ROI_PAD_M = 10, 200.0, 200.0, 0.1
+FLOOR_RESIDUAL_M, ROUNDING_M = 0.2, 1e-9
 
 
 def _box_entry(df: DataFrame, direction: list[str], low, high, unit: Column) -> DataFrame:
@@ -78,7 +79,11 @@ def ray_directions(rays: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def estimate_floor(points: DataFrame, keys: list[str], min_returns: int = 20) -> DataFrame:
-    """Floor line per group: low percentile per 2 m slice, refitted without outliers."""
+    """Floor line per group: low percentile per 2 m slice, refitted without outliers.
+
+    A slice exactly at the residual limit stays; the rounding of sums, which depends on the order in which rows
+    arrive, does not decide it.
+    """
     x = F.col("x")
     band = points.filter((F.abs("y") < 1.2) & (x >= 3) & (x < 60)).withColumn(
         "slice", F.floor((x - 3) / 2)
@@ -94,7 +99,8 @@ def estimate_floor(points: DataFrame, keys: list[str], min_returns: int = 20) ->
             F.count(F.lit(1)).alias("slices"), F.regr_slope("z", "x").alias("slope"),
             F.regr_intercept("z", "x").alias("intercept"),
         ).filter(F.col("slices") >= 5)
-        near = F.abs(F.col("z") - (F.col("intercept") + F.col("slope") * F.col("x"))) <= 0.2
+        near = F.abs(F.col("z") - (F.col("intercept") + F.col("slope") * F.col("x")))
+        near = near <= FLOOR_RESIDUAL_M + ROUNDING_M
         kept = slices.join(line.select(*keys, "slope", "intercept"), keys).filter(near).select(
             *keys, "x", "z"
         )

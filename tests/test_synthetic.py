@@ -1,5 +1,7 @@
 """Synthetic obstacles: rays, plans and annotations; region verification."""
 
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +48,20 @@ def test_region_verification(spark):
     found = {r["ref"]: r for r in annotate.verify_roi(refs, pts, empty, cand).collect()}
     assert found["ok"]["passed"] and not found["dirty"]["passed"]
     assert found["ok"]["points"] == 120 and found["ok"]["nearest"] == pytest.approx(20.0)
+
+
+def test_floor_keeps_a_slice_at_the_residual_limit(spark):
+    # The residual of one slice is 0.2 m in real numbers; it stays, and every fit is that of all slices.
+    xs, rows, expected = [4 + 2 * i for i in range(28)], [], {}
+    mean = Fraction(sum(xs), len(xs))
+    spread = sum((x - mean) ** 2 for x in xs)
+    for frame in range(60):
+        at = frame % len(xs)
+        share = Fraction(1, len(xs)) + (xs[at] - mean) ** 2 / spread
+        lift = float(Fraction(1, 5) / (1 - share))
+        zs = [-1.5 + 0.01 * frame + (lift if i == at else 0.0) for i in range(len(xs))]
+        expected[frame] = float((xs[at] - mean) / spread) * lift
+        rows += [(frame, x - 0.5, 0.0, z) for x, z in zip(xs, zs) for _ in range(5)]
+    points = spark.createDataFrame(rows, "frame_seq int, x double, y double, z double").repartition(7)
+    found = {r.frame_seq: r.slope for r in synthetic.estimate_floor(points, ["frame_seq"], 5).collect()}
+    assert found == pytest.approx(expected, abs=1e-9)
