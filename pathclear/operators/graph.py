@@ -45,9 +45,12 @@ def adjacent_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*keys, "az1", "el1", F.col("az").alias("az2"), F.col("el").alias("el2"))
 
 
-def merge_labels(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member index of every node's component, by hooking and pointer jumping."""
-    label = np.arange(count)
+def merge_labels(count: int, a: np.ndarray, b: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """Smallest member index of every node's component, by hooking and pointer jumping.
+
+    ``known``: labels that earlier links have led to.
+    """
+    label = np.arange(count) if known is None else known
     while len(a):
         low = np.minimum(label[a], label[b])
         np.minimum.at(label, label[a], low)
@@ -171,30 +174,6 @@ def neighbour_radius(range_m: Column, az_res_deg: float, el_step_deg: float, k=2
     return F.greatest(F.lit(low), F.least(F.lit(high), k * (range_m * side)))
 
 
-def close_pairs(nodes: DataFrame, keys: list[str], reach_m: float = 0.6) -> DataFrame:
-    """Pairs of distinct places with distance <= the larger of their radii ``eps``.
-
-    Nodes carry ``id x y z eps``.  Places are bucketed by the largest radius and meet only the
-    neighbouring buckets; equal coordinates must have been merged before.
-    """
-    # The cube root of the bucket count bounds what a bucket can hold; pairs are kept once.
-    bucket = {f"b{c}": F.floor(F.col(c) / reach_m) for c in "xyz"}
-    placed = nodes.select(*keys, "id", "x", "y", "z", "eps").withColumns(bucket)
-    names = ["bx", "by", "bz"]
-    near = [(0, 0, 0), *shifts(1, axes=3, half=True)]
-    left = placed.withColumn("s", F.explode(shift_array(near)))
-    left = left.select(
-        *keys, *[F.col(c).alias(f"{c}1") for c in ("id", "x", "y", "z", "eps")],
-        (F.col("s.d0") == 0).__and__(F.col("s.d1") == 0).__and__(F.col("s.d2") == 0).alias("own"),
-        *[(F.col(n) + F.col(f"s.d{i}")).alias(n) for i, n in enumerate(names)],
-    )
-    apart = g.norm(*[F.col(f"{c}1") - F.col(c) for c in "xyz"])
-    once = ~F.col("own") | (F.col("id1") < F.col("id"))
-    return left.join(placed, [*keys, *names]).filter(
-        once & (apart <= F.greatest("eps1", "eps"))
-    ).select(*keys, F.col("id1").alias("u"), F.col("id").alias("v"))
-
-
 def unmatched_near(
     left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, radius: float
 ) -> DataFrame:
