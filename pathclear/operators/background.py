@@ -61,8 +61,9 @@ def history_clearance(
     """Least clearance of every current cell against each linked past frame.
 
     ``current``: keys, ordinal, az, el, x, y, z - nearest return per cell.  ``links``: keys,
-    ordinal, past (ordinal), shift.  ``history``: keys, ordinal, az, el, range.  A return moved
-    back by the shift looks up its nine neighbouring cells in the past frame.
+    ordinal, past (ordinal), shift, at most one row for each ordinal and past.  ``history``: keys,
+    ordinal, az, el, range.  A return moved back by the shift meets the nearest of nine neighbouring
+    cells in the past frame; these are found once per past frame, on its own bounded grid.
     """
     at = [*keys, "ordinal"]
     moved = current.join(links, at).withColumn("px", F.col("x") + F.col("shift")).filter(
@@ -73,17 +74,15 @@ def history_clearance(
         "paz": g.azimuth_cell(dx, dy, cell_deg), "pel": g.elevation_cell(dx, dy, dz, cell_deg),
         "prange": g.norm(dx, dy, dz),
     })
-    asked = moved.withColumn("s", F.explode(shift_array([(0, 0), *shifts(1)]))).select(
-        *at, "az", "el", "past", "prange", (F.col("paz") + F.col("s.d0")).alias("haz"),
-        (F.col("pel") + F.col("s.d1")).alias("hel"),
+    # A frame's image is in one task, so its nine copies are combined where they are made.
+    around = history.select(*keys, F.col("ordinal").alias("past"), "az", "el", "range").repartition(*keys, "past")
+    seen = around.withColumn("s", F.explode(shift_array([(0, 0), *shifts(1)]))).groupBy(
+        *keys, "past", (F.col("az") + F.col("s.d0")).alias("paz"), (F.col("el") + F.col("s.d1")).alias("pel")
+    ).agg(F.min("range").alias("seen"))
+    asked = moved.select(*at, "az", "el", "past", "prange", "paz", "pel")
+    return asked.join(seen, [*keys, "past", "paz", "pel"]).select(
+        *at, "az", "el", "past", (F.col("seen") - F.col("prange")).alias("clearance"), "seen"
     )
-    seen = history.select(
-        *keys, F.col("ordinal").alias("past"), F.col("az").alias("haz"), F.col("el").alias("hel"),
-        F.col("range").alias("seen"),
-    )
-    return asked.join(seen, [*keys, "past", "haz", "hel"]).groupBy(*at, "az", "el", "past").agg(
-        F.min(F.struct((F.col("seen") - F.col("prange")).alias("clearance"), "seen")).alias("c")
-    ).select(*at, "az", "el", "past", "c.*")
 
 
 def foreground_vote(

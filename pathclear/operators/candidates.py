@@ -41,15 +41,17 @@ def _part(prefix: str, condition: Column, inside: Column, origin_x: Column) -> l
 
 
 def cell_features(points: DataFrame, cells: DataFrame, keys: list[str], config: DetectorConfig):
-    """One row per cell.
+    """One row per cell, with its ``component`` if the cells have one.
 
     ``points``: keys, raw_index, az, el, x, y, z, range, h, off (absolute), soff (signed),
     gauge_near (near-gauge test incl. an active gauge), in_gauge, in_band, origin_x.
     ``cells``: keys, az, el, cell_range, cell_channels, motion (band points count as evidence).
     """
     cell = [*keys, "az", "el"]
-    p = salted_join(points, cells, cell, "raw_index")
+    # A cell is a small part of a frame: its key alone spreads the points.
+    p = points.join(cells, cell)
     p = p.filter(F.col("in_gauge") | (F.col("in_band") & F.col("motion")))
+    facts = [c for c in ("cell_range", "cell_channels", "component") if c in cells.columns]
     front = F.col("range") <= F.col("cell_range") + DEPTH_M
     inside = F.col("off") <= config.corridor_half_width_m
     structure = (F.col("cell_channels").bitwiseAND(MOTION) == 0) & structure_point(
@@ -58,7 +60,7 @@ def cell_features(points: DataFrame, cells: DataFrame, keys: list[str], config:
     long_part = F.col("gauge_near") & (F.col("range") <= F.col("cell_range") + GAUGE_DEPTH_M)
     inner = long_part & (F.col("off") <= config.static_inner_half_width_m)
     origin = F.col("origin_x")
-    return p.groupBy(*cell, "cell_range", "cell_channels").agg(
+    return p.groupBy(*cell, *facts).agg(
         *_box("possible", front & inside),
         F.max(F.when(front & inside, F.col("h"))).alias("top"),
         F.sum(F.when(front & inside, F.col("soff"))).alias("offset_sum"),

@@ -88,13 +88,13 @@ def label_cells(az: np.ndarray, el: np.ndarray, range_m: np.ndarray | None, reac
     return out
 
 
-def cell_components(cells: DataFrame, keys: list[str], reach: int = 2, by_range: bool = True):
-    """Adds ``component`` to angular (or plan) cells, per frame.
+def cell_components(cells: DataFrame, keys: list[str], reach: int = 2, by_range: bool = True, carried=()):
+    """Adds ``component`` to angular (or plan) cells, per frame; ``carried`` names columns that go with a cell.
 
     A frame's cells are distinct places of one fixed grid (1440 x 720 at a quarter degree), so a
     frame is a bounded group however many points it has.
     """
-    columns = [*keys, "az", "el", *(["range"] if by_range else [])]
+    columns = [*keys, "az", "el", *(["range"] if by_range else []), *carried]
     small = cells.select(*columns)
     schema = ", ".join(f"{c} {t}" for c, t in small.dtypes) + ", component long"
 

@@ -380,13 +380,10 @@ def evidence_cells(placed: DataFrame, front: DataFrame | None) -> DataFrame:
 
 def judged_components(placed, points, cells, params, config: DetectorConfig):
     """Components with features and their rejection reason (null for candidates)."""
-    parts = graph.cell_components(cells.withColumnRenamed("cell_range", "range"), KEY).drop("range")
-    cells = settle(cells.join(parts, [*KEY, "az", "el"]))
-    per_cell = cand.cell_features(placed, cells.drop("component"), KEY, config)
-    merged = cand.component_features(
-        per_cell.join(cells.select(*KEY, "az", "el", "component"), [*KEY, "az", "el"]), KEY
-    )
-    merged = settle(merged)
+    cells = settle(graph.cell_components(
+        cells.withColumnRenamed("cell_range", "range"), KEY, carried=["cell_channels", "motion"]
+    ).withColumnRenamed("range", "cell_range"))
+    merged = settle(cand.component_features(cand.cell_features(placed, cells, KEY, config), KEY))
     line = params.select(*KEY, "a", "b", "c", "c0", "c1", "c2", F.col("end_x").alias("_end"))
     if config.static_channel:
         low = points.join(line, KEY).withColumn("h", _h()).filter(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pathclear.config import DetectorConfig
 from pathclear.functions import geometry as g
+from pathclear.functions.settling import settle
 from pathclear.operators import background as bg
 from pathclear.operators import candidates as cand
 from pathclear.operators import graph, grids, tiles
@@ -73,9 +74,9 @@ SELECT frame_seq, az, el, votes, round(median_clearance, 6) AS median_clearance,
   votes >= 2 AND median_clearance > 0.5e0 + 0.02e0 * reference AS foreground FROM v""")
 def history_clearance(spark, sf_dir):
     """J7 ST4 ST23: clearance against past frames moved by odometry, and the foreground vote."""
-    current = image(spark, sf_dir).withColumnRenamed("frame_seq", "ordinal")
+    current = settle(image(spark, sf_dir).withColumnRenamed("frame_seq", "ordinal"))
     back = F.explode(F.array(*[F.lit(b) for b in range(6, 11)])).alias("back")
-    links = points(spark, sf_dir).select(F.col("frame_seq").alias("ordinal")).distinct().select(
+    links = current.select("ordinal").distinct().select(
         "ordinal", back
     ).select("ordinal", (F.col("ordinal") - F.col("back")).alias("past"), (F.col("back") * 0.5).alias("shift"))
     zero = (F.lit(0.0), F.lit(0.0), F.lit(0.0))
@@ -136,21 +137,17 @@ def candidate_points(spark, sf_dir):
 
 
 def labelled_cells(spark, sf_dir):
-    found = cells(spark, sf_dir).select(
-        "frame_seq", "az", "el", F.col("range").alias("cell_range"),
-        F.col("channels").alias("cell_channels"), F.lit(True).alias("motion"),
-    )
-    parts = graph.cell_components(
-        found.withColumnRenamed("cell_range", "range"), FRAME
-    ).drop("range")
-    return found.join(parts, ["frame_seq", "az", "el"])
+    found = cells(spark, sf_dir).select("frame_seq", "az", "el", "range", "channels")
+    return graph.cell_components(found, FRAME, carried=["channels"]).withColumnsRenamed(
+        {"range": "cell_range", "channels": "cell_channels"}
+    ).withColumn("motion", F.lit(True))
 
 
 def features(spark, sf_dir):
-    pts, found = candidate_points(spark, sf_dir), labelled_cells(spark, sf_dir)
-    per_cell = cand.cell_features(pts, found.drop("component"), FRAME, pq.EVIDENCE)
-    parts = found.select("frame_seq", "az", "el", "component")
-    merged = cand.component_features(per_cell.join(parts, ["frame_seq", "az", "el"]), FRAME)
+    pts = candidate_points(spark, sf_dir).filter(F.col("channels") > 0)
+    per_cell = cand.cell_features(pts, labelled_cells(spark, sf_dir), FRAME, pq.EVIDENCE)
+    # The strip beside a low component is asked of the features and joined to them: they are read twice.
+    merged = settle(cand.component_features(per_cell, FRAME))
     low = points(spark, sf_dir).withColumn("h", pq._height()).filter(
         F.col("x").between(0, 60) & (F.abs(pq._offset()) <= 1.15) & F.col("h").between(0, 1)
     )
