@@ -171,17 +171,23 @@ def _in_roi(obj, low, high, margin):
     )
 
 
-def object_checks(refs, frames, keys, ref_stamp, stamp, bounds, tolerance, margin=ROI_MARGIN_M):
+def _objects(frame):
+    return frame["objects"]
+
+
+def object_checks(refs, frames, keys, ref_stamp, stamp, bounds, tolerance, margin=ROI_MARGIN_M, objects=_objects):
     """hit, miss, wrong_object or no_frame for every positive reference frame with a ROI.
 
     ``refs`` carry ``reference_m``, ``roi_min`` and ``roi_max`` arrays; ``frames`` carry ``state``
-    and ``objects`` (array of structs with ``center`` and ``distance_m``).
+    and ``objects`` (array of structs with ``center`` and ``distance_m``), or what the function ``objects`` makes
+    them of: only frames that a reference meets need them, so they are not sorted along time.
     """
     near = nearest_in_time(refs, frames, keys, ref_stamp, stamp, bounds).filter(
         F.col("frame").isNotNull()
     )
+    near = near.withColumn("_objects", objects(F.col("frame")))
     matched = F.filter(
-        F.col("frame.objects"), lambda o: _in_roi(o, F.col("roi_min"), F.col("roi_max"), margin)
+        F.col("_objects"), lambda o: _in_roi(o, F.col("roi_min"), F.col("roi_max"), margin)
     )
     near = near.withColumns({
         "far": F.abs(F.col(f"frame.{stamp}") - F.col(ref_stamp)) > tolerance,
@@ -199,7 +205,7 @@ def object_checks(refs, frames, keys, ref_stamp, stamp, bounds, tolerance, margi
         "state": F.when(~F.col("far"), F.col("frame.state")),
         "reported_m": F.when(hit, F.col("reported_m")),
         "error_m": F.when(hit, F.col("reported_m") - F.col("reference_m")),
-    }).drop("frame", "far", "matched")
+    }).drop("frame", "far", "matched", "_objects")
 
 
 def distance_error(checks: DataFrame, keys: list[str]) -> DataFrame:
@@ -252,12 +258,16 @@ def event_confirmation(checks: DataFrame, events: DataFrame, keys, ref_stamp, st
     )
 
 
-def negative_object_checks(refs, labelled, keys, ref_stamp, stamp, bounds, tolerance, margin=ROI_MARGIN_M):
-    """Alarms on annotated objects that must not raise one; one row per usable reference."""
+def negative_object_checks(refs, labelled, keys, ref_stamp, stamp, bounds, tolerance, margin=ROI_MARGIN_M, objects=_objects):
+    """Alarms on annotated objects that must not raise one; one row per usable reference.
+
+    ``objects`` as in ``object_checks``.
+    """
     near = nearest_in_time(refs, labelled, keys, ref_stamp, stamp, bounds)
+    near = near.withColumn("_objects", objects(F.col("frame")))
     close = F.abs(F.col(f"frame.{stamp}") - F.col(ref_stamp)) <= tolerance
     on_object = F.exists(
-        F.col("frame.objects"), lambda o: _in_roi(o, F.col("roi_min"), F.col("roi_max"), margin)
+        F.col("_objects"), lambda o: _in_roi(o, F.col("roi_min"), F.col("roi_max"), margin)
     )
     alarm = (F.col("frame.state") == "OBSTACLE") & F.coalesce(on_object, F.lit(False))
     return near.filter(close).select(

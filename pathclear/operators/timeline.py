@@ -79,9 +79,12 @@ def beside_in_time(
     )
     line = seen.unionByName(asked, allowMissingColumns=True)
     order = _sweep(keys, bounds)
+    asks = F.col("_kind") == 1
     line = order.last_known(line, {"before": F.col("_frame")})
+    # Only questions keep what was found: a frame goes on with its own columns, not with its neighbour's too.
+    line = line.withColumn("before", F.when(asks, F.col("before")))
     line = order.next_known(line, {"after": F.col("_frame")}, inclusive=False)
-    return line.filter(F.col("_kind") == 1).select("_ref.*", "before", "after")
+    return line.filter(asks).select("_ref.*", "before", "after")
 
 
 def count_in_spans(

@@ -186,6 +186,14 @@ def tracks(k, distance, event_id):
     )
 
 
+def objects_of(frame):
+    return sc.decisive(tracks(frame["k"], frame["distance_m"], frame["event_id"]))
+
+
+def plain_frames(spark, sf_dir):
+    return frames(spark, sf_dir).select("bag_id", "stamp_us", "event_id", "state", "distance_m", "k")
+
+
 def frames_with_objects(spark, sf_dir):
     made = tracks(F.col("k"), F.col("distance_m"), F.col("event_id"))
     return frames(spark, sf_dir).withColumn("objects", sc.decisive(made))
@@ -256,8 +264,8 @@ CHECKS = f"WITH {FRAMES_SQL}, {CHECKS_SQL}"
 def checks(spark, sf_dir):
     refs = references(spark, sf_dir).filter("kind = 'positive'")
     return sc.object_checks(
-        refs, frames_with_objects(spark, sf_dir), BAG, "at_us", "stamp_us",
-        frames_order(spark, sf_dir).bounds, TOLERANCE_US,
+        refs, plain_frames(spark, sf_dir), BAG, "at_us", "stamp_us",
+        frames_order(spark, sf_dir).bounds, TOLERANCE_US, objects=objects_of,
     )
 
 
@@ -352,10 +360,10 @@ NEG_SQL = f"""{CHECKS}, {LABELLED_SQL}, neg AS (
 
 
 def negative_checks(spark, sf_dir):
-    rows = labelled(spark, sf_dir, frames_with_objects(spark, sf_dir))
+    rows = labelled(spark, sf_dir, plain_frames(spark, sf_dir))
     return sc.negative_object_checks(
         references(spark, sf_dir).filter("kind = 'negative'"), rows, BAG, "at_us", "stamp_us",
-        frames_order(spark, sf_dir).bounds, TOLERANCE_US,
+        frames_order(spark, sf_dir).bounds, TOLERANCE_US, objects=objects_of,
     )
 
 

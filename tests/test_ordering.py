@@ -120,3 +120,24 @@ def test_rank_rules(spark):
             s[n // 2], s[9 * (n - 1) // 10], s[n * 9 // 10], s[int(0.95 * (n - 1))],
             float(np.median(s)), round(float(np.percentile(s, 95)), 6),
         )
+
+
+def test_a_frame_meets_its_neighbour_without_carrying_it(spark):
+    # Frames went on with their neighbour's columns beside their own; only questions need them.
+    from pathclear.operators.scoring import object_checks
+    from pathclear.operators.timeline import beside_in_time
+
+    frames = spark.createDataFrame([(0, t, "OBSTACLE", float(t)) for t in (0, 10, 20)], "bag int, t long, state string, at double")
+    refs = spark.createDataFrame([(0, 12, 5.0), (0, 3, 900.0)], "bag int, asked long, reference_m double").selectExpr(
+        "*", "array(-100D, -1D, -1D) AS roi_min", "array(100D, 1D, 1D) AS roi_max")
+    beside = beside_in_time(refs, frames, ["bag"], "asked", "t", [])
+    assert {(r.asked, r.before.t, r.after.t) for r in beside.collect()} == {(12, 10, 20), (3, 0, 10)}
+
+    def objects(frame):
+        return F.array(F.struct(F.array(frame["at"], F.lit(0.0), F.lit(0.0)).alias("center"), frame["at"].alias("distance_m")))
+
+    found = object_checks(refs, frames, ["bag"], "asked", "t", [], 100, objects=objects)
+    assert {(r.asked, r.result, r.error_m) for r in found.collect()} == {(12, "hit", 5.0), (3, "hit", -900.0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line]
+    assert windows and "center" not in plan.split("Window")[-1]
