@@ -72,3 +72,27 @@ def test_chunks_and_batches_change_nothing(monkeypatch):
     monkeypatch.setattr(tiles, "CHUNK", 7)
     for size in (1, 30, 100, 130):
         assert pairs(table.to_batches(max_chunksize=size)) == whole
+
+
+def test_history_is_asked_once_for_each_cell(spark):
+    from pathclear.operators.background import history_clearance
+
+    cells = spark.createDataFrame(
+        [(0, 0, 90, 10.0, 10.0, 0.0, 0.0), (0, 1, 90, 7.0, 7.0, 0.1, 0.0), (1, 0, 90, 9.0, 9.0, 0.0, 0.0)],
+        "ordinal long, az int, el int, range double, x double, y double, z double")
+    links = spark.createDataFrame([(1, 0, 0.5)], "ordinal long, past long, shift double")
+    zero = (F.lit(0.0),) * 3
+    first = history_clearance(cells, links, cells, [], 1.0, 120.0, zero)
+    names = {r.ordinal: r for r in first.collect()}
+    # Which cells the point at 9.5 m meets depends on the grid's origin; where it meets any, the nearest counts.
+    assert all(r.clearance == r.seen - 9.5 for r in names.values())
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+
+
+def test_components_carry_the_facts_of_a_cell(spark):
+    from pathclear.operators.graph import cell_components
+
+    cells = spark.createDataFrame([(0, 1, 1, 5.0, 3), (0, 2, 2, 5.1, 1), (0, 9, 9, 5.0, 2)], "f int, az int, el int, range double, channels int")
+    found = {r.az: (r.component, r.channels) for r in cell_components(cells, ["f"], carried=["channels"]).collect()}
+    assert found[1][0] == found[2][0] != found[9][0] and [found[a][1] for a in (1, 2, 9)] == [3, 1, 2]
