@@ -194,18 +194,8 @@ class SlicedOrder:
         df = df.withColumns({n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in values})
         return df.drop(*[f"_c_{n}" for n in values])
 
-    def neighbours(self, df, name: str, value: Column, count: int = 1, following: bool = False):
-        """Array of up to ``count`` (<= 32) values of the rows before (after) each row.
-
-        The nearest row is the last (first) element; every element is wrapped as ``struct<v>`` so
-        that nulls survive.
-        """
-        df = self._next_pass(df)
-        wrapped = F.struct(value.alias("v"))
-        near = (1, count) if following else (-count, -1)
-        beside = F.collect_list(wrapped).over(self.local().rowsBetween(*near))
-        if not self.bounds:
-            return df.withColumn(name, beside)
+    def _beyond(self, df, wrapped: Column, count: int, following: bool):
+        """Per slice: ``_far``, up to ``count`` values of the rows before (after) it, in order."""
         edge = [F.col(c).asc() if following else F.col(c).desc() for c in self.order]
         rank = F.row_number().over(Window.partitionBy(*self.parts).orderBy(*edge))
         tails = (
@@ -223,7 +213,21 @@ class SlicedOrder:
             if following
             else F.reverse(F.slice(F.reverse(gathered), 1, count))
         )
-        tails = tails.select(*self.parts, kept.alias("_c"))
+        return tails.select(*self.parts, kept.alias("_far"))
+
+    def neighbours(self, df, name: str, value: Column, count: int = 1, following: bool = False):
+        """Array of up to ``count`` (<= 32) values of the rows before (after) each row.
+
+        The nearest row is the last (first) element; every element is wrapped as ``struct<v>`` so
+        that nulls survive.
+        """
+        df = self._next_pass(df)
+        wrapped = F.struct(value.alias("v"))
+        near = (1, count) if following else (-count, -1)
+        beside = F.collect_list(wrapped).over(self.local().rowsBetween(*near))
+        if not self.bounds:
+            return df.withColumn(name, beside)
+        tails = self._beyond(df, wrapped, count, following).withColumnRenamed("_far", "_c")
         df = df.withColumn(name, beside)
         df = self._attach(df, tails)
         carried = F.coalesce(F.col("_c"), F.array().cast(df.schema[name].dataType))
@@ -233,6 +237,29 @@ class SlicedOrder:
             joined = F.reverse(F.slice(F.reverse(F.concat(carried, F.col(name))), 1, count))
         return df.withColumn(name, joined).drop("_c")
 
+    def around(self, df, name: str, value: Column, count: int):
+        """Columns ``name_-1`` to ``name_-count`` and ``name_1`` to ``name_count``: the value so many rows before (after).
+
+        Each is wrapped as ``struct<v>``; null where there is no such row.
+        """
+        df = self._next_pass(df)
+        wrapped = F.struct(value.alias("v"))
+        at = self.local()
+        near = {f"{name}_{-i}": F.lag(wrapped, i).over(at) for i in range(1, count + 1)}
+        near |= {f"{name}_{i}": F.lead(wrapped, i).over(at) for i in range(1, count + 1)}
+        if not self.bounds:
+            return df.withColumns(near)
+        before = self._beyond(df, wrapped, count, False).select(*self.parts, F.reverse("_far").alias("_before"))
+        after = self._beyond(df, wrapped, count, True).withColumnRenamed("_far", "_after")
+        df = self._attach(self._attach(df.withColumns(near), before), after)
+        filled = {}
+        for sign, far in ((-1, "_before"), (1, "_after")):
+            # A slice with fewer rows on this side goes on in the rows beyond it.
+            inside = sum((F.col(f"{name}_{sign * i}").isNotNull().cast("int") for i in range(1, count + 1)), F.lit(0))
+            for i in range(1, count + 1):
+                filled[f"{name}_{sign * i}"] = F.coalesce(f"{name}_{sign * i}", F.get(far, i - 1 - inside))
+        return df.withColumns(filled).drop("_before", "_after")
+
     def lag(self, df, name: str, value: Column, back: int = 1):
         if not self.bounds:
             return df.withColumn(name, F.lag(value, back).over(self.local()))

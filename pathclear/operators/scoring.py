@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pathclear.functions import geometry as g
 from pathclear.functions.ordering import SlicedOrder
 from pathclear.functions.ranks import linear_percentiles, rank_values, truncated
+from pathclear.functions.settling import settle
 from pathclear.operators.timeline import count_in_spans, nearest_in_time
 
 STATES = ["OBSTACLE", "NO_OBSTACLE_DETECTED", "UNKNOWN"]
@@ -361,35 +362,39 @@ def theil_sen(rows, order: SlicedOrder, time_s: Column, distance: Column, half_w
     At most ``2 half_window + 1`` points per row, so the pairs stay inside one small array.
     """
     point = F.when(distance.isNotNull(), F.struct(time_s.alias("t"), distance.alias("d")))
-    df = order.neighbours(rows.withColumn("_p", point), "_back", F.col("_p"), half_window)
-    df = order.neighbours(df, "_ahead", F.col("_p"), half_window, following=True)
-    own = F.array(F.struct(F.col("_p").alias("v")))
-    df = df.filter(F.col("_p").isNotNull()).withColumn(
-        "_pts", F.filter(F.transform(F.concat("_back", own, "_ahead"), lambda s: s["v"]),
-                         lambda v: v.isNotNull())
-    ).filter(F.size("_pts") >= 2 * half_window)
-    slopes = F.flatten(F.transform("_pts", lambda a: F.transform(
-        F.filter("_pts", lambda b: b["t"] > a["t"]),
-        lambda b: (b["d"] - a["d"]) / (b["t"] - a["t"]),
-    )))
-    ordered = F.array_sort(slopes)
-    n = F.size(ordered)
-    median = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
-    return df.withColumn("approach_mps", -median).filter(n > 0).drop("_p", "_back", "_ahead", "_pts")
+    df = order.around(rows.withColumn("_p", point), "_p", F.col("_p"), half_window)
+    # Written out pair by pair: lambdas over arrays run interpreted, at many times the cost.
+    own = [f"_p_{i}" for i in range(-half_window, 0)] + ["_p"] + [f"_p_{i}" for i in range(1, half_window + 1)]
+    near = [F.col("_p") if c == "_p" else F.col(c)["v"] for c in own]
+    present = sum((p.isNotNull().cast("int") for p in near), F.lit(0))
+    times = [p["t"] for p in near]
+    df = df.filter(
+        F.col("_p").isNotNull() & (present >= 2 * half_window) & (F.greatest(*times) > F.least(*times))
+    )
+    slopes = [
+        F.when(a["t"] != b["t"], (b["d"] - a["d"]) / (b["t"] - a["t"])) for i, a in enumerate(near) for b in near[i + 1:]
+    ]
+    df = df.withColumn("_slopes", F.sort_array(F.array_compact(F.array(*slopes))))
+    n = F.size("_slopes")
+    median = (F.get("_slopes", F.floor((n - 1) / 2).cast("int")) + F.get("_slopes", F.floor(n / 2).cast("int"))) / 2
+    return df.withColumn("approach_mps", -median).drop("_slopes", *own)
 
 
 def speed_error(rows: DataFrame, keys: list[str], bounds=None) -> DataFrame:
     """Absolute speed error against the reference; invalid rows are counted apart."""
     error = F.when(F.col("ego_motion_valid"), F.abs(F.col("ego_speed_mps") - F.col("approach_mps")))
-    rows = rows.withColumn("_error", error)
+    # Settled: the errors are made once, for the counts and for the ranks.
+    rows = settle(rows.select(*keys, "ego_motion_valid", error.alias("_error")))
     counts = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("reference_frames"),
         F.count_if(~F.col("ego_motion_valid")).alias("invalid_frames"),
         F.max("_error").alias("max_mps"), F.count_if(F.col("_error") > 1.0).alias("over_1_mps"),
     )
-    p95 = rank_values(rows, keys, "_error", {"p95_mps": truncated(0.95)}, bounds).drop("n")
-    median = linear_percentiles(rows, keys, "_error", {"median_mps": 0.5}, bounds).drop("n")
-    return counts.join(p95, keys, "left").join(median, keys, "left")
+    half = {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.ceil((n - 1) / 2)}
+    ranks = rank_values(rows, keys, "_error", {"p95_mps": truncated(0.95), **half}, bounds).drop("n")
+    middle = F.col("_low") + (F.col("_high") - F.col("_low")) * 0.5
+    ranks = ranks.withColumn("median_mps", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(middle))
+    return counts.join(ranks.drop("_low", "_high"), keys, "left")
 
 
 def bag_audit(rows, order: SlicedOrder, stamp, frame_id, points, gap, bounds=None) -> DataFrame:

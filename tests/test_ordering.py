@@ -48,6 +48,16 @@ def test_windows_do_not_depend_on_the_cut(rows, cuts):
     assert values(found) == values(expected)
 
 
+@pytest.mark.parametrize("cuts", CUTS)
+def test_rows_around_do_not_depend_on_the_cut(rows, cuts):
+    order = SlicedOrder(["bag"], ["t", "n"], cuts)
+    w = Window.partitionBy("bag").orderBy("t", "n")
+    wrapped = F.struct(F.col("v").alias("v"))
+    expected = rows.withColumns({f"p_{i}": F.lag(wrapped, -i).over(w) for i in (-3, -2, -1, 1, 2, 3)})
+    found = order.finish(order.around(rows, "p", F.col("v"), 3))
+    assert values(found) == values(expected)
+
+
 @pytest.mark.parametrize("cuts", CUTS)
 @pytest.mark.parametrize("gap", [0, 1, 3])
 def test_islands_do_not_depend_on_the_cut(rows, cuts, gap):
