@@ -9,9 +9,12 @@ from pyspark.sql.window import Window
 from pathclear.functions import geometry as g
 from pathclear.functions.ordering import SlicedOrder
 from pathclear.functions.ranks import linear_percentiles
+from pathclear.functions.settling import settle
 from pathclear.operators.points import salted_join
 
 TOLERANCE_DEG = 0.02
+# Rows of a task that sorts whole groups twice, at some 400 bytes each.
+TASK_ROWS = 500_000
 
 
 def ring_rows(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,19 +103,30 @@ def block_report(points: DataFrame, channels: DataFrame, keys: list[str]) -> Dat
     )
 
 
+def dealt(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """The rows shuffled by ``keys`` to tasks of about ``task_rows``, whatever the number of shuffle partitions."""
+    rows = df.agg(F.count(F.lit(1))).first()[0]
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows))
+    return df.repartition(tasks, *keys)
+
+
 def gap_clusters(
     points: DataFrame, keys: list[str], gap_x: float = 3.0, gap_y: float = 1.5
 ) -> DataFrame:
     """Points cut at gaps along x, then each part at gaps across y: count and exact box.
 
-    Equal coordinates are merged before the ordered passes, so copies cannot pile up in a slice.
+    Equal coordinates are merged before the ordered passes, so copies cannot pile up in a slice. Rows are dealt to as
+    many tasks as they need, so that a task holds no more of a larger table.
     """
-    merged = points.groupBy(*keys, "x", "y").agg(
+    spread = dealt(points.select(*keys, *"xyz"), [*keys, "x", "y"])
+    merged = settle(spread.groupBy(*keys, "x", "y").agg(
         F.count(F.lit(1)).alias("n"), F.min("z").alias("lo_z"), F.max("z").alias("hi_z")
-    )
+    ))
     x_order = SlicedOrder.fit(merged, keys, ["x", "y"])
-    parts = x_order.finish(x_order.tag_islands(merged, gap_x, "gx"))
-    y_order = SlicedOrder.fit(parts, [*keys, "gx"], ["y", "x"])
+    parts = x_order.finish(x_order.tag_islands(merged if x_order.hot else dealt(merged, keys), gap_x, "gx"))
+    # Where no group is cut along x, no part of one has to be cut along y.
+    along_y = [*keys, "gx"], ["y", "x"]
+    y_order = SlicedOrder.fit(parts, *along_y) if x_order.hot else SlicedOrder(*along_y, [])
     parts = y_order.finish(y_order.tag_islands(parts, gap_y, "gy"))
     return parts.groupBy(*keys, "gx", "gy").agg(
         F.sum("n").alias("n"), F.min("x").alias("min_x"), F.min("y").alias("min_y"),
