@@ -116,7 +116,7 @@ def _each(array: str, field: str):
 
 def floors(points: DataFrame, config: DetectorConfig) -> DataFrame:
     """Fitted plane and its followed reach per frame."""
-    planes = sampled_floor(points, KEY, config)
+    planes = settle(sampled_floor(points, KEY, config))
     with_plane = points.join(planes, KEY)
     reach = grids.floor_reach(grids.floor_bins(with_plane, KEY, _h(), config), KEY, config)
     return planes.join(reach, KEY, "left").na.fill({"inliers": 0, "max_supported_x": 2.0})
@@ -530,10 +530,12 @@ def analyse_points(rows: DataFrame, raw: DataFrame, config: DetectorConfig, roun
     that each round over the history looks at.
     """
     turn, move = [F.col(f"r{i}") for i in range(9)], [F.col(f"t{i}") for i in range(3)]
-    fates = ops.classify(raw, config, turn, move).select(*KEY, "fate", "in_detection", *"xyz")
-    meta = settle(chains(admission(rows, fates, config)))
+    # Written as they come: a filter on the fate would carry whatever makes the clouds down into one method, too
+    # long for the JIT, and every reader would make them again.
+    fates = settle(ops.classify(raw, config, turn, move).select(*KEY, "raw_index", "fate", "in_detection", *"xyz"))
+    meta = settle(chains(settle(admission(rows, fates, config))))
     live = meta.filter(F.col("stop_reason").isNull()).select(*KEY)
-    kept = ops.geometry_points(raw, config, turn, move).select(*KEY, "raw_index", *"xyz", "in_detection")
+    kept = fates.filter(F.col("fate") == ops.GEOMETRY).drop("fate")
     points = settle_by(kept.join(live, KEY, "left_semi"), KEY)
     held = settle(hold_floor(meta, floors(points, config), config))
     used = held.filter(F.col("geometry_reason").isNull())
