@@ -38,23 +38,6 @@ def classify(df: DataFrame, config: DetectorConfig, rotation, translation) -> Da
     return df.withColumn("in_detection", seen)
 
 
-def geometry_points(df: DataFrame, config: DetectorConfig, rotation, translation) -> DataFrame:
-    """Only the points that ``classify`` calls GEOMETRY, with ``in_detection``.
-
-    The tests are separate plain filters: pushed down together they still compile to a method
-    small enough for the JIT.
-    """
-    sx, sy, sz = F.col("sx"), F.col("sy"), F.col("sz")
-    r = g.norm(sx, sy, sz)
-    df = df.filter(g.finite(r) & (r >= config.blind_radius_m) & (r > 0))
-    df = df.withColumns(dict(zip("xyz", g.rigid(sx, sy, sz, rotation, translation))))
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
-    df = df.filter(g.within(x, y, z, config.geometry_roi))
-    return df.withColumn("in_detection", g.within(x, y, z, config.detection_roi)).drop(
-        "sx", "sy", "sz"
-    )
-
-
 def overflowed() -> Column:
     """A finite, unblinded point whose transformed coordinates are not finite."""
     return (F.col("fate") == OUTSIDE) & ~g.all_finite(F.col("x"), F.col("y"), F.col("z"))
